@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import HOT_ROWS, RANGE, lookup_join, neighbour, ranged
+from tidemark.operators.skew import HOT_ROWS, lookup_join, neighbour, ranged
 from tidemark.session import stage
 
 FIRST = -(2**63)
@@ -76,5 +76,3 @@ def snapshot_changes(
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(differs, "changed")
     return pair.select(file, *key, kind.alias("change_kind"), "old", "new").where("change_kind IS NOT NULL")
 
-
-__all__ = ["snapshot_chain", "snapshot_changes", "RANGE"]
