@@ -24,8 +24,14 @@ STRETCH, WORD, SENTENCE, FORMULA, PARAGRAPH, SECTION, END = range(7)
 STEP = 16
 
 BLANK, LETTER, DIGIT, SIGN = range(4)
-SENTENCES = re.compile("[.!?][\"')\\]}»”]*(?=[" + SPACE + "])|[。！？]")
+# Bits that a character's kind has besides: it ends a sentence before white space, it may close one, it ends one by itself, it is an apostrophe.
+STOP, CLOSER, FULL_STOP, APOSTROPHE = 4, 8, 16, 32
+#: The characters with those bits.
+SIGNS = {STOP: ".!?", CLOSER: "\"')]}»”", FULL_STOP: "。！？", APOSTROPHE: "'"}
+#: Closing characters that may stand between a sentence's end and white space.
+CLOSERS = 3
 FORMULAS = re.compile(r"\\end\{[A-Za-z]+\*?\}|\\\]|\$\$")
+BLANKS = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{SPACE}]", chr(c)))
 PARAGRAPHS = re.compile(r"\n[ \t\r]*\n|\r[ \t]*\r")
 SECTIONS = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|paragraph|appendix|bibliography|begin\{(?:document|abstract|thebibliography)\})(?![A-Za-z])")
 
@@ -43,9 +49,24 @@ def _classes() -> np.ndarray:
         elif k == "N":
             out[c] = DIGIT
     out[[c for c in range(0x3001) if re.match(f"[{SPACE}]", chr(c))]] = BLANK
+    for bit, signs in SIGNS.items():
+        out[[ord(c) for c in signs]] |= bit
     return out
 
 
+def _before_blank(found: Iterator[int], text: str) -> Iterator[int]:
+    """The ends of what comes before the white space at each of the places found."""
+    end = floor = 0
+    for at in found:
+        p = at
+        while p > floor and text[p - 1] in BLANKS:
+            p -= 1
+        if p > floor or not floor:
+            end = p
+        floor = at
+        yield end
+
+
 class Cuts:
     """The places where a text may be cut: position in characters, kind, and the cost of the text before it in tokens.
 
@@ -57,44 +78,37 @@ class Cuts:
     def __init__(self, text: str, tok: Tokenizer, ids: np.ndarray, gap: int):
         ends = tok.ends(ids)
         if text.isascii():
-            cls = _classes()[np.frombuffer(text.encode(), np.uint8)]
+            bits = _classes()[np.frombuffer(text.encode(), np.uint8)]
             offset = None
         else:
             points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            cls = _classes()[points]
+            bits = _classes()[points]
             offset = np.zeros(len(points) + 1, np.int64)
             np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), out=offset[1:])
-        n = len(cls)
-        inside = np.flatnonzero((cls[1:] != cls[:-1]) & (cls[:-1] != BLANK)) + 1
-        if "'" in text:
-            quote = np.fromiter((m.start() + 1 for m in re.finditer("'", text)), np.int64)
-            quote = quote[quote < n]
-            bad = quote[cls[quote] == LETTER]
-            inside = inside[~np.isin(inside, bad)]
-        place = np.concatenate([[0], inside, [n]])
+        n = len(bits)
+        cls = bits & 3
+        part = (cls[1:] != cls[:-1]) & (cls[:-1] != BLANK)
+        part &= ~((bits[:-1] >= APOSTROPHE) & (cls[1:] == LETTER))  # a pre-token may be an apostrophe with letters
+        place = np.concatenate([[0], np.flatnonzero(part) + 1, [n]])
         byte = place if offset is None else offset[place]
         index = np.searchsorted(ends, byte, side="left") + 1  # tokens before the place
         index[0] = 0
         exact = np.concatenate([[True], ends[index[1:] - 1] == byte[1:]])
         place, cost = place[exact], index[exact].astype(np.int64)
-        kind = np.full(len(place), WORD, np.int8)
-        last = np.maximum.accumulate(np.where(cls != BLANK, np.arange(1, n + 1), 0))  # end of the last non-blank up to each character
-
-        def mark(found: Iterator[int], what: int, back: bool) -> None:
-            at = np.fromiter(found, np.int64)
-            if back:
-                at = at[at > 0]
-                at = last[at - 1]
-            i = np.searchsorted(place, at)
-            i = i[(i < len(place)) & (i > 0)] if len(at) == 0 else i[(i > 0) & (i < len(place)) & (place[np.minimum(i, len(place) - 1)] == at)]
-            kind[i] = np.maximum(kind[i], what)
-
-        mark((m.end() for m in SENTENCES.finditer(text)), SENTENCE, False)
-        mark((m.end() for m in FORMULAS.finditer(text)), FORMULA, False)
-        mark((m.start() for m in PARAGRAPHS.finditer(text)), PARAGRAPH, True)
-        mark((m.start() for m in SECTIONS.finditer(text)), SECTION, True)
-        kind[-1] = END
-        if len(cost) > 1 and int(np.max(np.diff(cost))) > gap:
+
+        kinds = np.full(n + 1, WORD, np.int8)
+        stop = (bits & STOP) != 0
+        closer = (bits & CLOSER) != 0
+        for _ in range(CLOSERS):
+            stop[1:] |= closer[1:] & stop[:-1]
+        stop[:-1] &= cls[1:] == BLANK
+        kinds[1:][stop | ((bits & FULL_STOP) != 0)] = SENTENCE
+        for pattern, what in ((FORMULAS, FORMULA), (PARAGRAPHS, PARAGRAPH), (SECTIONS, SECTION)):
+            at = (m.end() for m in pattern.finditer(text)) if what == FORMULA else _before_blank((m.start() for m in pattern.finditer(text)), text)
+            kinds[list(at)] = what
+        kinds[n] = END
+        kind = kinds[place]
+        if int(np.max(np.diff(cost))) > gap:
             place, cost, kind = self._stretches(text, ends, byte[exact], place, cost, kind, gap)
         self.place, self.cost, self.kind = place, cost, kind
 
@@ -123,21 +137,34 @@ def successors(cost: np.ndarray, kind: np.ndarray, limit: int, overlap: int, fil
     natural boundary before that, and if there is none, at the farthest place.
     """
     n = len(cost) - 1
-    here = np.arange(n + 1)
-    begin = np.maximum(np.searchsorted(cost, cost - overlap, side="right") - 1, 0)
+    states = np.flatnonzero(kind >= SENTENCE)
+    if states[0] != 0:
+        states = np.concatenate([[0], states])
+    begin, end, natural = _follow(cost, kind, states, limit, overlap, fill)
+    if natural:  # no cut is ever between words: other places than natural ones are never reached
+        all_begin, all_end = np.zeros(n + 1, np.int64), np.full(n + 1, n)
+        all_begin[states], all_end[states] = begin, end
+        return all_begin, all_end
+    return _follow(cost, kind, np.arange(n + 1), limit, overlap, fill)[:2]
+
+
+def _follow(cost: np.ndarray, kind: np.ndarray, here: np.ndarray, limit: int, overlap: int, fill: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """successors for the places here; whether all of them end at natural boundaries."""
+    n = len(cost) - 1
+    begin = np.maximum(np.searchsorted(cost, cost[here] - overlap, side="right") - 1, 0)
     far = np.searchsorted(cost, cost[begin] + limit, side="right") - 1
     low = np.maximum(here, np.searchsorted(cost, cost[begin] + int(limit * fill), side="left") - 1)
-    end = far.copy()
-    open_ = np.ones(n + 1, bool)
+    end, undecided = far.copy(), np.ones(len(here), bool)
     for what in (END, SECTION, PARAGRAPH, FORMULA, SENTENCE):
-        latest = np.maximum.accumulate(np.where(kind >= what, here, -1))[far]
-        good = open_ & (latest > low)
+        at = np.flatnonzero(kind >= what)
+        latest = np.where(far >= at[0], at[np.maximum(np.searchsorted(at, far, side="right") - 1, 0)], -1)
+        good = undecided & (latest > low)
         end[good] = latest[good]
-        open_ &= ~good
-    latest = np.maximum.accumulate(np.where(kind >= SENTENCE, here, -1))[far]
-    good = open_ & (latest > here)
+        undecided &= ~good
+    good = undecided & (latest > here)
     end[good] = latest[good]
-    return begin, np.minimum(np.maximum(end, here + 1), n)
+    undecided &= ~good & (here < n)
+    return begin, np.minimum(np.maximum(end, here + 1), n), not undecided.any()
 
 
 def refine(text: str, tok: Tokenizer, c: Cuts, begin: np.ndarray, end: np.ndarray, limit: int, overlap: int) -> None:
