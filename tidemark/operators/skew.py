@@ -83,16 +83,17 @@ def neighbour(rows: Ranged, order: Sequence[str], values: Mapping[str, Column |
     out = df.withColumn(name, (F.lead(value) if step > 0 else F.lag(value)).over(w))
     if rows.hot:
         pick = F.min_by if step > 0 else F.max_by
-        ends = df.where(F.col(RANGE) >= 0).groupBy(*keys, RANGE).agg(pick(value, F.struct(*order)).alias("__end"))
+        ends = df.where(F.col(RANGE) >= 0).groupBy(*keys, RANGE).agg(pick(value, F.struct(*order)).alias("__nb_value"))
         by = Window.partitionBy(*keys).orderBy(RANGE)
+        own = {k: f"__nb_key_{i}" for i, k in enumerate(keys)}
         ends = ends.select(
-            *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)),
-            F.col(RANGE).alias("__r"),
-            (F.lead("__end") if step > 0 else F.lag("__end")).over(by).alias("__end"),
+            *(F.col(k).alias(n) for k, n in own.items()),
+            F.col(RANGE).alias("__nb_range"),
+            (F.lead("__nb_value") if step > 0 else F.lag("__nb_value")).over(by).alias("__nb_value"),
         )
-        same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col(RANGE) == F.col("__r")]
-        out = out.join(F.broadcast(ends), same, "left").withColumn(name, F.coalesce(name, "__end"))
-        out = out.drop("__end", "__r", *(f"__k{i}" for i in range(len(keys))))
+        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()] + [F.col(RANGE) == F.col("__nb_range")]
+        out = out.join(F.broadcast(ends), same, "left").withColumn(name, F.coalesce(name, "__nb_value"))
+        out = out.drop("__nb_value", "__nb_range", *own.values())
     return rows.on(out)
 
 
