@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import HOT_ROWS, RANGE, hot_keys, neighbour, ranged
+from tidemark.operators.skew import HOT_ROWS, RANGE, Ranged, hot_keys, neighbour, neighbours, ranged
 from tidemark.session import stage
 from tidemark.store.versioned import FILE, POS, VersionedTable
 
@@ -38,22 +38,33 @@ def build_chains(updates: DataFrame, key: str, start: str, end: str, rank: tuple
     rows = ranged(one, [key], "valid_from_us", hot_rows)
     rows = neighbour(rows, ["valid_from_us"], {"at": "valid_from_us"}, 1, "__next")
     held = rows.df.withColumn("valid_to_us", F.least("__end", F.coalesce("__next.at", "__end"))).drop("__next", "__end")
-    held = held.where("valid_to_us > valid_from_us")
-    rows = neighbour(rows.on(held), ["valid_from_us"], {"to": "valid_to_us", **{k: k for k in names}}, -1, "__before")
-    same = F.coalesce(F.col("__before.to") == F.col("valid_from_us"), F.lit(False))
-    for k in names:
-        same = same & F.col(f"__before.{k}").eqNullSafe(F.col(k))
-    last = rows.df.groupBy(key, RANGE).agg(F.max("valid_to_us").alias("__last"))
-    first = rows.df.where(~same).withColumn("__before_to", F.col("__before.to"))
-    rows = neighbour(rows.on(first), ["valid_from_us"], {"to": "__before_to"}, 1, "__next")
-    # a version ends where the row before the next version's first row ends; the last one where the key's last row ends
-    last = last.groupBy(key).agg(F.max("__last").alias("__last"))
-    if not rows.hot:
-        out = rows.df.join(last, key)
-        return out.select(key, "valid_from_us", F.coalesce("__next.to", "__last").alias("valid_to_us"), *names)
-    done = rows.df.where("__next IS NOT NULL").select(key, "valid_from_us", F.col("__next.to").alias("valid_to_us"), *names)
-    tail = rows.df.where("__next IS NULL").join(last, key)  # one row per key
-    return done.unionByName(tail.select(key, "valid_from_us", F.col("__last").alias("valid_to_us"), *names))
+    rows = _apart(rows.on(held.where("valid_to_us > valid_from_us")))
+    both = {"from": "valid_from_us", "to": "valid_to_us", **{k: k for k in names}}
+    rows = neighbours(rows, ["valid_from_us"], [(both, -1, "__before"), (both, 1, "__after")])
+
+    def joins(touch: Column, other: str) -> Column:
+        for k in names:
+            touch = touch & F.col(f"{other}.{k}").eqNullSafe(F.col(k))
+        return F.coalesce(touch, F.lit(False))
+
+    marked = rows.df.select(
+        key,
+        RANGE,
+        "valid_from_us",
+        "valid_to_us",
+        *names,
+        (~joins(F.col("__before.to") == F.col("valid_from_us"), "__before")).alias("__first"),
+        (~joins(F.col("__after.from") == F.col("valid_to_us"), "__after")).alias("__last"),
+    )
+    # a version ends where its last row ends: that of its first row, or else of the next row that is first or last
+    rows = _apart(rows.on(marked.where("__first OR __last")))
+    rows = neighbour(rows, ["valid_from_us"], {"to": "valid_to_us"}, 1, "__next")
+    return rows.df.where("__first").select(key, "valid_from_us", F.when(F.col("__last"), F.col("valid_to_us")).otherwise(F.col("__next.to")).alias("valid_to_us"), *names)
+
+
+def _apart(rows: Ranged) -> Ranged:
+    """Rows written once where they are read twice next."""
+    return rows.on(stage(rows.df, "ranges")) if rows.hot else rows
 
 
 def rebuild_chains(table: VersionedTable, raw: DataFrame, touched: DataFrame, key: str, hot_rows: int = HOT_ROWS, **how) -> int:

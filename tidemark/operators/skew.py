@@ -72,28 +72,34 @@ def ranged(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_R
 
 
 def neighbour(rows: Ranged, order: Sequence[str], values: Mapping[str, Column | str], step: int, name: str) -> Ranged:
-    """Adds struct name of values, taken from the next (step 1) or previous (step -1) row of the key in order; null where there is none.
+    """Adds struct name of values, taken from the next (step 1) or previous (step -1) row of the key in order; null where there is none."""
+    return neighbours(rows, order, [(values, step, name)])
+
+
+def neighbours(rows: Ranged, order: Sequence[str], wanted: Sequence[tuple[Mapping[str, Column | str], int, str]]) -> Ranged:
+    """neighbour for several (values, step, name) at once.
 
     order must be unique within a key. Hot keys: the first (last) row of each range is kept per range, at most
-    LARGEST * RANGES rows, and joined by broadcast to where a range ends.
+    LARGEST * RANGES rows, and joined by broadcast to where a range ends; for that the rows are read once more.
     """
     df, keys = rows.df, rows.keys
-    value = F.struct(*(F.col(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in values.items()))
     w = Window.partitionBy(*keys, RANGE).orderBy(*order)
-    out = df.withColumn(name, (F.lead(value) if step > 0 else F.lag(value)).over(w))
+    found = [(F.struct(*(F.col(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in values.items())), step, name) for values, step, name in wanted]
+    out = df.withColumns({name: (F.lead(value) if step > 0 else F.lag(value)).over(w) for value, step, name in found})
     if rows.hot:
-        pick = F.min_by if step > 0 else F.max_by
-        ends = df.where(F.col(RANGE) >= 0).groupBy(*keys, RANGE).agg(pick(value, F.struct(*order)).alias("__nb_value"))
+        at = F.struct(*order)
+        ends = df.where(F.col(RANGE) >= 0).groupBy(*keys, RANGE)
+        ends = ends.agg(*((F.min_by if step > 0 else F.max_by)(value, at).alias(f"__nb_{i}") for i, (value, step, _) in enumerate(found)))
         by = Window.partitionBy(*keys).orderBy(RANGE)
         own = {k: f"__nb_key_{i}" for i, k in enumerate(keys)}
         ends = ends.select(
             *(F.col(k).alias(n) for k, n in own.items()),
             F.col(RANGE).alias("__nb_range"),
-            (F.lead("__nb_value") if step > 0 else F.lag("__nb_value")).over(by).alias("__nb_value"),
+            *((F.lead if step > 0 else F.lag)(f"__nb_{i}").over(by).alias(f"__nb_{i}") for i, (_, step, _) in enumerate(found)),
         )
         same = [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()] + [F.col(RANGE) == F.col("__nb_range")]
-        out = out.join(F.broadcast(ends), same, "left").withColumn(name, F.coalesce(name, "__nb_value"))
-        out = out.drop("__nb_value", "__nb_range", *own.values())
+        out = out.join(F.broadcast(ends), same, "left").withColumns({name: F.coalesce(name, f"__nb_{i}") for i, (_, _, name) in enumerate(found)})
+        out = out.drop("__nb_range", *own.values(), *(f"__nb_{i}" for i in range(len(found))))
     return rows.on(out)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import HOT_ROWS, lookup_join, neighbour, ranged
+from tidemark.operators.skew import HOT_ROWS, lookup_join, neighbours, ranged
 from tidemark.session import stage
 
 FIRST = -(2**63)
@@ -22,8 +22,7 @@ def snapshot_chain(files: DataFrame, source: str = "data_source", ts: str = "dat
     best = files.groupBy(source, ts).agg(F.max(F.struct(F.col(upload), F.col(file))).alias("__best"))
     chosen = stage(best.select(source, F.coalesce(F.unix_micros(ts), F.lit(FIRST)).alias("__at"), F.col(f"__best.{file}").alias(file)), "chain")
     r = ranged(chosen, [source], "__at", hot_rows)
-    r = neighbour(r, ["__at"], {file: file}, -1, "__prev")
-    r = neighbour(r, ["__at"], {file: file}, 1, "__next")
+    r = neighbours(r, ["__at"], [({file: file}, -1, "__prev"), ({file: file}, 1, "__next")])
     return r.df.select(file, F.col(f"__prev.{file}").alias("__prev"), F.col(f"__next.{file}").alias("__next"))
 
 
