@@ -113,3 +113,23 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Se
     left = big.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "__salt"], how)
+
+
+def dense_numbers(df: DataFrame, order: Sequence[str], name: str, start: int = 1) -> DataFrame:
+    """Adds name: start, start + 1, ... in the order of df's rows by order, which must be unique.
+
+    Rows are range-partitioned and numbered within their partition; the driver gets one count per partition.
+    """
+    from tidemark.session import stage
+
+    spark = df.sparkSession
+    sorted_ = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    kept = stage(sorted_, "numbers")
+    counts = sorted((r["__part"], r["n"]) for r in kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], start - 1
+    for part, n in counts:
+        offsets.append((part, total))
+        total += n
+    table = spark.createDataFrame(offsets, "__part int, __offset long")
+    w = Window.partitionBy("__part").orderBy(*order)
+    return kept.withColumn(name, F.row_number().over(w)).join(F.broadcast(table), "__part").withColumn(name, F.col(name) + F.col("__offset")).drop("__part", "__offset")
