@@ -16,17 +16,22 @@ def filter_items(items: DataFrame, log: DataFrame, table_name: str, source: str
     """Items whose source was not loaded into the table and that are no older than the newest one loaded; all of them
     if none was."""
     mine = log.where(F.col("table_name") == table_name)
-    newest = mine.agg(F.max("data_source_ts").alias("__newest"))
+    newest = _edge(mine, F.max)
+    if newest is None:
+        return items
     fresh = items.distinct().join(mine.select(F.col("data_source").alias(source)), source, "left_anti").select(*items.columns)
-    kept = fresh.crossJoin(F.broadcast(newest)).where(F.col(ts) >= F.col("__newest")).drop("__newest")  # one row
-    return kept.unionByName(items.crossJoin(F.broadcast(newest)).where("__newest IS NULL").drop("__newest"))
+    return fresh.where(F.unix_micros(ts) >= newest)
+
+
+def _edge(log: DataFrame, pick) -> int | None:
+    return log.agg(pick(F.unix_micros("data_source_ts"))).first()[0]
 
 
 def late_items(items: DataFrame, log: DataFrame, table_name: str, ts: str = "__created_at", strict: bool = False) -> DataFrame:
     """Items no newer than the table's earliest entry, or with strict than its latest."""
     mine = log.where(F.col("table_name") == table_name)
-    edge = mine.agg((F.max if strict else F.min)("data_source_ts").alias("__edge"))
-    return items.crossJoin(F.broadcast(edge)).where(F.col(ts) <= F.col("__edge")).drop("__edge")  # one row
+    edge = _edge(mine, F.max if strict else F.min)
+    return items.where(F.unix_micros(ts) <= edge) if edge is not None else items.limit(0)
 
 
 def latest_entries(log: DataFrame, asof: datetime | None = None, table_name: str | None = None, data_source_type: str | None = None) -> DataFrame:

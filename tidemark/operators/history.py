@@ -61,10 +61,11 @@ def bulk_history(current: DataFrame, batches: DataFrame, keys: Sequence[str], fi
             every = every.unionByName(times.select(F.col(time).alias("__t")))
         # one row per batch, not per record: the only window over all of a table
         order = Window.orderBy("__t")
-        n = every.distinct().select("__t", F.row_number().over(order).alias("__i"), F.lead("__t").over(order).alias("__nt"))
-        first = n.agg(F.min("__t").alias("__first"))
-        rows = rows.join(n, "__t", "left").crossJoin(F.broadcast(first))  # one row
-        rows = rows.withColumns({"__i": F.when(F.col("__cur"), 0).otherwise(F.col("__i")), "__nt": F.when(F.col("__cur"), F.col("__first")).otherwise(F.col("__nt"))})
+        n = every.distinct().select(F.col("__t").alias("__k"), F.row_number().over(order).alias("__i"), F.lead("__t").over(order).alias("__nt"))
+        # live rows stand for a batch 0, with no time of its own, that ends with the first batch
+        n = n.unionByName(n.agg(F.min("__k").alias("__nt")).select(F.lit(None).cast("timestamp").alias("__k"), F.lit(0).alias("__i"), "__nt"))
+        rows = rows.withColumn("__b", F.when(~F.col("__cur"), F.col("__t")))
+        rows = rows.join(n, rows["__b"].eqNullSafe(n["__k"]), "left")
         rows = rows.withColumns({"__before": F.lag(value).over(w), "__pi": F.lag("__i").over(w)})
         gap = F.col("__before").isNull() | (F.col("__pi") != F.col("__i") - 1)
         start = gap | ~reduce(lambda a, b: a & b, (F.col(f"__before.{n}").eqNullSafe(F.col(n)) for n in data), F.lit(True))
