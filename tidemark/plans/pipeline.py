@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time as clock
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -115,7 +116,9 @@ class DatasetRunner:
         delta = stage(delta, "delta")
         if not self.dataset.is_temporary_table:
             name = f"{self.dataset.delta_table_schema or self.main.schema}.{self.dataset.name}"
-            tx.state.setdefault("deltas", {})[name] = None
+            path = f"{self.db.root}/_deltas/{name.replace('.', '/')}/{tx.base + 1:08d}-{uuid.uuid4().hex}"
+            delta.write.parquet(path)
+            tx.state.setdefault("deltas", {})[name] = path
         changed = []
         for item in self.dataset.pipeline.items:
             table = self.tables[item.table]
