@@ -277,7 +277,7 @@ class InputConfig:
         paths = []
         for p in d.get("search_paths") or ():
             root = p["root_path"]
-            if not os.path.isabs(root):
+            if not os.path.isabs(root) and "://" not in root and not root.startswith("file:"):
                 root = os.path.abspath(os.path.join(os.path.dirname(base) if base else os.getcwd(), root))
             paths.append({**p, "root_path": root})
         known = {k: d[k] for k in ("filter_past_events", "delimiter", "jetstream", "payload_ingest", "run_until") if d.get(k) is not None}

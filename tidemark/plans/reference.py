@@ -5,6 +5,7 @@ Times come out as microseconds since 1970, so that no zone or display matters.
 
 from __future__ import annotations
 
+import io
 import zipfile
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
@@ -433,9 +434,9 @@ def _found(df: DataFrame) -> DataFrame:
     return df.select(F.col("__path").alias("path"), *us("__created_at"))
 
 
-@query(f"with {_AUDIT}, {_IT} select p path, epoch_us(c) created_at from i where p not in (select data_source from a where table_name = 'food_prices') and c >= (select max(data_source_ts) from a where table_name = 'food_prices')")
+@query(f"with {_AUDIT}, {_IT} select p path, epoch_us(c) created_at from i where p not in (select data_source from a where table_name = 'food_prices' and data_source_ts < timestamptz '1998-01-20 00:00:00+00') and c >= (select max(data_source_ts) from a where table_name = 'food_prices' and data_source_ts < timestamptz '1998-01-20 00:00:00+00')")
 def audit_filter(spark, d):
-    return _found(audit.filter_items(_items(spark, d), _log(spark, d), "food_prices"))
+    return _found(audit.filter_items(_items(spark, d), _log(spark, d).where(F.col("data_source_ts") < moment(utc(1998, 1, 20))), "food_prices"))
 
 
 @query(f"with {_AUDIT}, {_IT} select p path, epoch_us(c) created_at from i where c <= (select min(data_source_ts) from a where table_name = 'food_prices')")
@@ -499,15 +500,13 @@ def dsv_scan(spark, d):
 
 @query("select n_nationkey, n_name, n_regionkey from nation")
 def zip_scan(spark, d):
-    import tempfile
-
-    with tempfile.NamedTemporaryFile(suffix=".zip") as f:  # the driver's own file; its content goes to the shared folder
-        with zipfile.ZipFile(f, "w") as z:
-            for i, part in enumerate(("n_nationkey < 10", "n_nationkey >= 10")):
-                rows = table(spark, d, "nation").where(part).toPandas()
-                z.writestr(f"{i}.csv", rows.to_csv(index=False))
-        f.flush()
-        return read_zipfile(spark, f.name, {"n_nationkey": T.IntegerType(), "n_name": T.StringType(), "n_regionkey": T.IntegerType()})
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        for i, part in enumerate(("n_nationkey < 10", "n_nationkey >= 10")):
+            rows = table(spark, d, "nation").where(part).toPandas()  # 25 rows
+            z.writestr(f"{i}.csv", rows.to_csv(index=False))
+    archive.seek(0)
+    return read_zipfile(spark, archive, {"n_nationkey": T.IntegerType(), "n_name": T.StringType(), "n_regionkey": T.IntegerType()})
 
 
 @query("select * from region")
@@ -578,11 +577,11 @@ def _activity(spark: SparkSession, d: str) -> Database:
     """Events as a delimited file through a pipeline with a lookup table and daily buckets."""
     e = table(spark, d, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
     path = _csv(e, "events")
-    folder, _, name = path.removeprefix("file:").rpartition("/")
+    folder, _, name = path.rpartition("/")
     dataset = {
         "name": "activity_feed",
         "delta_table_schema": "web",
-        "input_config": {"type": "dsv", "search_paths": [{"root_path": "/" + folder.lstrip("/"), "file_include": [name], "timestamp": {"method": "manual", "datetime": "2024-03-01T00:00:00", "source_tz": "UTC"}}]},
+        "input_config": {"type": "dsv", "search_paths": [{"root_path": folder, "file_include": [name], "timestamp": {"method": "manual", "datetime": "2024-03-01T00:00:00", "source_tz": "UTC"}}]},
         "time_partition": {"column": "time", "bucket_interval": "1d", "bucket_strategy": "round_down", "unique_strategy": "last"},
         "delta_config": {"drop_unchanged_rows": True, "on_duplicate_key": "take_last"},
         "pipeline": [

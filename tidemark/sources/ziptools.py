@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zipfile
 from collections.abc import Mapping
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -12,8 +13,8 @@ from pyspark.sql import types as T
 from tidemark.session import scratch
 
 
-def read_zipfile(spark: SparkSession, filename: str, schema: Mapping[str, T.DataType] | T.StructType) -> DataFrame:
-    """All members of an archive, one below the other, with the schema; an empty archive has no rows. Members are
+def read_zipfile(spark: SparkSession, filename: str | BinaryIO, schema: Mapping[str, T.DataType] | T.StructType) -> DataFrame:
+    """All members of an archive (path or open file), one below the other, with the schema; an empty archive has no rows. Members are
     unpacked as a stream into the shared folder, where Spark reads them in parallel."""
     schema = schema if isinstance(schema, T.StructType) else T.StructType([T.StructField(k, v) for k, v in schema.items()])
     where, paths = scratch(spark, "zip"), []
