@@ -37,6 +37,13 @@ def test_stitched_ids_are_those_of_the_whole_text(spark, name):
     assert back == {i: t or "" for i, t in rows}
 
 
+def test_equal_keys_come_out_each(spark):
+    long_a, long_b = "ab c " * 100, "de f " * 100
+    rows = [(1, long_a), (1, long_a), (1, long_b), (None, long_b), (2, "x"), (2, "x")]
+    got = [(r.doc_id, tuple(r.ids)) for r in encode_corpus(spark.createDataFrame(rows, "doc_id long, text string"), chunk=64, overlap=16).collect()]
+    assert sorted(got, key=repr) == sorted(((k, tuple(tok().encoding.encode_ordinary(t))) for k, t in rows), key=repr)
+
+
 def test_chunks_cover_and_overlap():
     for t in texts(200, 300, 1):
         cs = chunks(t, 40, 8)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Consecutive words of an item that make a leak.
 WORDS = 13
-#: Characters of items that one automaton is built of; more items are searched for in several scans.
-BLOCK_CHARS = 50_000_000
+#: Characters of items that one automaton is built of, and that are broadcast; more items are searched for in several scans.
+BLOCK_CHARS = 4_000_000
 
 # Commands that stand for letters, that put an accent on the next letter, and that make space.
 LETTERS = {"i": "i", "j": "j", "ss": "ss", "ae": "ae", "AE": "ae", "oe": "oe", "OE": "oe", "o": "ø", "O": "ø", "l": "ł", "L": "ł", "aa": "a", "AA": "a", "dh": "ð", "DH": "ð", "th": "þ", "TH": "þ", "dj": "đ", "DJ": "đ", "ng": "ŋ", "NG": "ŋ"}
@@ -272,8 +272,10 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     schema = f"k {kind}, i {item_kind}, item_word int, n_words int, start bigint, end bigint"
 
     def scan(block: tuple):
+        sent = documents.sparkSession.sparkContext.broadcast(block)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f = finder(block, words)
+            f = finder(sent.value, words)
             for batch in batches:
                 rows, take = [], []
                 for r, t in enumerate(batch.column(1)):

@@ -131,11 +131,12 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     Texts of up to chunk characters are encoded where they are read, without an exchange. Longer ones are cut into
     overlapping chunks that are spread over all tasks; each is pre-tokenised and encoded from its own start, and two
     neighbours are stitched at the first pre-token boundary that both have in their overlap: from there on they agree,
-    as no pre-token depends on what is before it. key must be unique; null is a key. Other columns are dropped.
+    as no pre-token depends on what is before it. Rows with equal keys, null too, come out each; other columns are dropped.
     """
     if not 2 <= overlap <= chunk:
         raise ValueError("overlap must be from 2 to chunk")
     docs = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    texts = docs.withColumn("h", F.xxhash64("t"))  # tells apart the texts of one key
     kind = docs.schema["k"].dataType.simpleString()
     is_long = F.length("t") > chunk
 
@@ -152,29 +153,31 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
                 t = batch.column(1)[i].as_py()
                 for j, (a, b, e) in enumerate(chunks(t, chunk, overlap)):
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(i, 1), pa.array([j], pa.int32()), pa.array([b - a], pa.int64()), pa.array([e == len(t)]), pa.array([t[a:e]])],
-                        names=["k", "i", "own", "last", "w"],
+                        [batch.column(0).slice(i, 1), batch.column(2).slice(i, 1), pa.array([j], pa.int32()), pa.array([b - a], pa.int64()), pa.array([e == len(t)]), pa.array([t[a:e]])],
+                        names=["k", "h", "i", "own", "last", "w"],
                     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(folder, name)
         for batch in batches:
             for r in range(batch.num_rows):
-                i, own, last, w = (batch.column(c)[r].as_py() for c in range(1, 5))
+                i, own, last, w = (batch.column(c)[r].as_py() for c in range(2, 6))
                 ids = tok.encode(w)
                 ends = tok.ends(ids)
                 head = _indices(w, ends, boundaries(w, 0, min(len(w), overlap), last)) if i else ([0], [0])
                 tail = _indices(w, ends, boundaries(w, own, len(w), False)) if not last else ([], [])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(r, 1), pa.array([i], pa.int32()), _lists([ids])]
+                    [batch.column(0).slice(r, 1), batch.column(1).slice(r, 1), pa.array([i], pa.int32()), _lists([ids])]
                     + [_lists([np.array(x, np.int32)]) for x in (head[0], head[1], [p - own for p in tail[0]], tail[1])],
-                    names=["k", "i", "ids", "hp", "hi", "tp", "ti"],
+                    names=["k", "h", "i", "ids", "hp", "hi", "tp", "ti"],
                 )
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                parts = sorted(batch.column(1)[r].as_py(), key=lambda c: c["i"])
+                given = batch.column(1)[r].as_py()
+                parts = [c for _, c in sorted({c["i"]: c for c in given}.items())]
+                copies = sum(c["i"] == 0 for c in given)
                 out, begin = [], 0
                 for a, b in zip(parts, parts[1:] + [None]):
                     stop = len(a["ids"])
@@ -187,12 +190,13 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
                         stop, after = met
                     out.append(np.array(a["ids"][begin:stop], np.int32))
                     begin = after
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), _lists([np.concatenate(out)])], names=["k", "ids"])
+                row = pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), _lists([np.concatenate(out)])], names=["k", "ids"])
+                yield from [row] * copies
 
     short = docs.where(~is_long).mapInArrow(whole, f"k {kind}, ids array<int>")
-    cuts = docs.where(is_long).mapInArrow(cut, f"k {kind}, i int, own bigint, last boolean, w string").repartition("k", "i")
-    coded = cuts.mapInArrow(encode, f"k {kind}, i int, ids array<int>, hp array<int>, hi array<int>, tp array<int>, ti array<int>")
-    grouped = coded.groupBy("k").agg(F.collect_list(F.struct("i", "ids", "hp", "hi", "tp", "ti")).alias("c"))
+    cuts = texts.where(is_long).mapInArrow(cut, f"k {kind}, h bigint, i int, own bigint, last boolean, w string").repartition("k", "h", "i")
+    coded = cuts.mapInArrow(encode, f"k {kind}, h bigint, i int, ids array<int>, hp array<int>, hi array<int>, tp array<int>, ti array<int>")
+    grouped = coded.groupBy("k", "h").agg(F.collect_list(F.struct("i", "ids", "hp", "hi", "tp", "ti")).alias("c")).select("k", "c")
     return short.unionByName(grouped.mapInArrow(stitch, f"k {kind}, ids array<int>")).withColumnRenamed("k", key)
 
 
