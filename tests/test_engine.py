@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import random
 import zipfile
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
@@ -85,24 +86,50 @@ def test_dropout_sequence(spark, db, unchanged):
     db.begin().compact("test.simple")
 
 
-@pytest.mark.parametrize("finality", ["dropout", "disabled"])
-def test_one_pass_equals_the_sequence(spark, finality):
+@pytest.mark.parametrize("finality,hot_rows", [("dropout", 10**6), ("disabled", 10**6), ("dropout", 2), ("disabled", 2)])
+def test_one_pass_equals_the_sequence(spark, finality, hot_rows):
     fields = [Field("id", "INT", False), Field("double_col", "DOUBLE"), Field("varchar_col", "VARCHAR(20)")]
     empty = spark.createDataFrame([], f"id int, double_col double, varchar_col string, {FROM} timestamp")
     rows = spark.createDataFrame([(i, d, None, y(t)) for t, rs in STEPS for i, d in rs], "id int, double_col double, varchar_col string, t timestamp")
-    got = bulk_history(empty, rows, ["id"], fields, "t", finality == "dropout")
+    got = bulk_history(empty, rows, ["id"], fields, "t", finality == "dropout", hot_rows=hot_rows)
     if finality == "dropout":
         assert seen(got) == sorted(LIVE + ENDED, key=repr)
     else:
         gone = [(5, -500.5, 1985), (6, 600.6, 1985), (8, -800.8, 1985)]
         assert seen(got) == sorted(LIVE + gone + [e for e in ENDED if e[0] not in (5, 6, 8)], key=repr)
     # in two passes, the second one on what the first left
-    first = bulk_history(empty, rows.where(F.year("t") < 1989), ["id"], fields, "t", finality == "dropout")
+    first = bulk_history(empty, rows.where(F.year("t") < 1989), ["id"], fields, "t", finality == "dropout", hot_rows=hot_rows)
     live = first.where(F.year(TO) == 2038).drop(TO)
-    second = bulk_history(live, rows.where(F.year("t") >= 1989), ["id"], fields, "t", finality == "dropout")
+    second = bulk_history(live, rows.where(F.year("t") >= 1989), ["id"], fields, "t", finality == "dropout", hot_rows=hot_rows)
     assert sorted(seen(first.where(F.year(TO) != 2038)) + seen(second), key=repr) == seen(got)
 
 
+@pytest.mark.parametrize("dropout", [True, False])
+@pytest.mark.parametrize("hot_rows", [10**6, 3])
+def test_one_pass_equals_merging_in_turn(spark, db, dropout, hot_rows):
+    """Random batches, one value column of each kind of null policy."""
+    rnd = random.Random(11 + dropout)
+    table = {"schema": "s", "name": "t", "is_temporal": True, "primary_keys": ["id"], "columns": [{"name": "id", "data_type": "INT"}, {"name": "a", "data_type": "INT"}, {"name": "b", "data_type": "INT", "nullable": False, "default_value": 7}, {"name": "c", "data_type": "INT", "nullable": False}]}
+    config = TableConfig.of(table)
+    db.create(config)
+    rows, known = [], set()
+    for t in range(2000, 2005):
+        now = {k for k in (1, 2, 3) if rnd.random() < 0.6}
+        rows.append((9, None, 1, 1, y(t)))  # no batch is empty
+        rows += [(k, rnd.choice([None, 1]), rnd.choice([None, 7, 8]), rnd.choice([None, 1, 2]) if k in known else 1, y(t)) for k in sorted(now)]
+        known = now if dropout else known | now
+    df = spark.createDataFrame(rows, "id int, a int, b int, c int, t timestamp")
+    p = Policy(False, "take_last", row_finality="dropout" if dropout else "disabled")
+    for t in range(2000, 2005):
+        tx = db.begin()
+        # a default also stands in for a null of a new row
+        tx.merge("s.t", df.where(F.year("t") == t).drop("t").withColumn("b", F.coalesce("b", F.lit(7))), y(t), p)
+        tx.commit()
+    show = lambda d: sorted(((r.id, r.a, r.b, r.c, r.f, r.t) for r in d.select("id", "a", "b", "c", F.year(FROM).alias("f"), F.year(TO).alias("t")).collect()), key=repr)
+    empty = spark.createDataFrame([], f"id int, a int, b int, c int, {FROM} timestamp")
+    assert show(bulk_history(empty, df, ["id"], config.fields, "t", dropout, hot_rows=hot_rows)) == show(db.from_table("s", "t", TimeSlice("all")))
+
+
 def test_empty_upload_ends_all_and_reinsert(spark, db):
     db.create(TableConfig.of(SIMPLE))
     p = Policy(True, "take_last", row_finality="dropout")
@@ -142,8 +169,9 @@ def test_null_policies(spark, db):
     f = [Field("id", "INT", False), Field("a", "INT"), Field("b", "INT", False, "7"), Field("c", "INT", False)]
     rows = spark.createDataFrame([(1, 1, 1, 1, y(2000)), (1, None, None, None, y(2001)), (1, 2, 3, 4, y(2002))], "id int, a int, b int, c int, t timestamp")
     empty = spark.createDataFrame([], f"id int, a int, b int, c int, {FROM} timestamp")
-    got = sorted((r.a or 0, r.b, r.c) for r in bulk_history(empty, rows, ["id"], f, "t").collect())
-    assert got == [(0, 7, 1), (1, 1, 1), (2, 3, 4)]
+    for hot_rows in (10**6, 1):
+        got = sorted((r.a or 0, r.b, r.c) for r in bulk_history(empty, rows, ["id"], f, "t", hot_rows=hot_rows).collect())
+        assert got == [(0, 7, 1), (1, 1, 1), (2, 3, 4)]
     with pytest.raises(Exception, match="lacks a value"):
         bulk_history(empty, rows.where("a IS NULL"), ["id"], f, "t").collect()
 

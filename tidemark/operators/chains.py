@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import HOT_ROWS, RANGE, Ranged, hot_keys, neighbour, neighbours, ranged
+from tidemark.operators.skew import HOT_ROWS, RANGE, apart, hot_keys, neighbour, neighbours, ranged
 from tidemark.session import stage
 from tidemark.store.versioned import FILE, POS, VersionedTable
 
@@ -38,7 +38,7 @@ def build_chains(updates: DataFrame, key: str, start: str, end: str, rank: tuple
     rows = ranged(one, [key], "valid_from_us", hot_rows)
     rows = neighbour(rows, ["valid_from_us"], {"at": "valid_from_us"}, 1, "__next")
     held = rows.df.withColumn("valid_to_us", F.least("__end", F.coalesce("__next.at", "__end"))).drop("__next", "__end")
-    rows = _apart(rows.on(held.where("valid_to_us > valid_from_us")))
+    rows = apart(rows.on(held.where("valid_to_us > valid_from_us")))
     both = {"from": "valid_from_us", "to": "valid_to_us", **{k: k for k in names}}
     rows = neighbours(rows, ["valid_from_us"], [(both, -1, "__before"), (both, 1, "__after")])
 
@@ -57,16 +57,11 @@ def build_chains(updates: DataFrame, key: str, start: str, end: str, rank: tuple
         (~joins(F.col("__after.from") == F.col("valid_to_us"), "__after")).alias("__last"),
     )
     # a version ends where its last row ends: that of its first row, or else of the next row that is first or last
-    rows = _apart(rows.on(marked.where("__first OR __last")))
+    rows = apart(rows.on(marked.where("__first OR __last")))
     rows = neighbour(rows, ["valid_from_us"], {"to": "valid_to_us"}, 1, "__next")
     return rows.df.where("__first").select(key, "valid_from_us", F.when(F.col("__last"), F.col("valid_to_us")).otherwise(F.col("__next.to")).alias("valid_to_us"), *names)
 
 
-def _apart(rows: Ranged) -> Ranged:
-    """Rows written once where they are read twice next."""
-    return rows.on(stage(rows.df, "ranges")) if rows.hot else rows
-
-
 def rebuild_chains(table: VersionedTable, raw: DataFrame, touched: DataFrame, key: str, hot_rows: int = HOT_ROWS, **how) -> int:
     """Rebuilds the chains of the keys in touched from all their raw updates and replaces them in table, in one commit.
 

@@ -9,11 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.delta import Field
+from tidemark.operators.skew import HOT_ROWS, RANGE, apart, carried, neighbour, neighbours, ranged
 from tidemark.operators.temporal import FROM, SENTINEL, TO, moment
+from tidemark.session import stage
 from tidemark.types import literal
 
+#: Column by which a key's rows are put in order: times in half microseconds, a live row before a batch of its time.
+AT = "__at"
 
-def bulk_history(current: DataFrame, batches: DataFrame, keys: Sequence[str], fields: Sequence[Field], time: str, dropout: bool = False, times: DataFrame | None = None) -> DataFrame:
+
+def bulk_history(
+    current: DataFrame, batches: DataFrame, keys: Sequence[str], fields: Sequence[Field], time: str, dropout: bool = False, times: DataFrame | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """(fields, FROM, TO): the versions of every key of current and batches, as merging the batches one after the other
     would leave them; TO is SENTINEL for live ones. Live rows that end in the batches come with their end.
 
@@ -22,63 +29,55 @@ def bulk_history(current: DataFrame, batches: DataFrame, keys: Sequence[str], fi
     the batches that had no rows at all. Nulls follow the fields: nullable columns take them, a default stands in for
     one, and a column with neither keeps its last value; a new row without such a value fails the job, and so does a
     batch older than a live row of its keys. Versions that hold for no time are left out.
+
+    The rows of a key with more than hot_rows of them are worked on in ranges of time.
     """
     keys, names = list(keys), [f.name for f in fields]
     kinds = {f.name: f.dataType for f in current.schema.fields}
     given = [n for n in names if n in batches.columns]
+    data = [n for n in names if n not in keys]
     cur = current.select(*names, F.col(FROM).alias("__t"), F.lit(True).alias("__cur"))
     inp = batches.select(*(F.col(n) if n in given else F.lit(None).cast(kinds[n]).alias(n) for n in names), F.col(time).alias("__t"), F.lit(False).alias("__cur"))
-    rows = cur.unionByName(inp)
-    w = Window.partitionBy(*keys).orderBy("__t", F.desc("__cur"))
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    values: dict[str, Column] = {}
-    needed: list[Column] = []
-    for f in fields:
-        if f.name in keys:
-            continue
-        c = F.col(f.name)
-        if f.name not in given:
-            values[f.name] = F.last(c, True).over(before)
-        elif not f.nullable and f.default is not None:
-            values[f.name] = F.coalesce(c, literal(f.default, kinds[f.name]))
-        elif not f.nullable:
-            values[f.name] = F.last(c, True).over(before)
-            needed.append(c)
-    rows = rows.withColumn("__has", F.lit(True) if not needed else reduce(lambda a, b: a & b, (c.isNotNull() for c in needed)))
-    rows = rows.withColumns({**values, "__late": F.max(F.when(F.col("__cur"), F.col("__t"))).over(Window.partitionBy(*keys)) > F.col("__t")})
-    data = [n for n in names if n not in keys]
-    value = F.struct(*data, F.lit(0).alias("__"))
-    if not dropout:
-        rows = rows.withColumns({"__before": F.lag(value).over(w)})
-        start = F.col("__before").isNull() | ~reduce(lambda a, b: a & b, (F.col(f"__before.{n}").eqNullSafe(F.col(n)) for n in data), F.lit(True))
-        fresh = F.col("__before").isNull()
-        rows = _checked(rows, fresh, keys).where(start)
-        out = rows.withColumn(TO, F.coalesce(F.lead("__t").over(w), moment(SENTINEL)))
-        out = out.select(*names, F.col("__t").alias(FROM), TO)
-    else:
-        every = batches.select(F.col(time).alias("__t"))
-        if times is not None:
-            every = every.unionByName(times.select(F.col(time).alias("__t")))
-        # one row per batch, not per record: the only window over all of a table
-        order = Window.orderBy("__t")
-        n = every.distinct().select(F.col("__t").alias("__k"), F.row_number().over(order).alias("__i"), F.lead("__t").over(order).alias("__nt"))
-        # live rows stand for a batch 0, with no time of its own, that ends with the first batch
-        n = n.unionByName(n.agg(F.min("__k").alias("__nt")).select(F.lit(None).cast("timestamp").alias("__k"), F.lit(0).alias("__i"), "__nt"))
-        rows = rows.withColumn("__b", F.when(~F.col("__cur"), F.col("__t")))
-        rows = rows.join(n, rows["__b"].eqNullSafe(n["__k"]), "left")
-        rows = rows.withColumns({"__before": F.lag(value).over(w), "__pi": F.lag("__i").over(w)})
-        gap = F.col("__before").isNull() | (F.col("__pi") != F.col("__i") - 1)
-        start = gap | ~reduce(lambda a, b: a & b, (F.col(f"__before.{n}").eqNullSafe(F.col(n)) for n in data), F.lit(True))
-        rows = _checked(rows.withColumn("__start", start), gap, keys).withColumn("__island", F.sum(F.col("__start").cast("int")).over(before))
-        g = rows.groupBy(*keys, "__island").agg(F.min_by(F.struct(*names), "__t").alias("__v"), F.min("__t").alias(FROM), F.max_by(F.struct("__nt"), F.struct("__t", F.col("__i"))).alias("__e"))
-        out = g.select(*(F.col(f"__v.{n}").alias(n) for n in names), FROM, F.coalesce("__e.__nt", moment(SENTINEL)).alias(TO))
-    return out.where(F.col(FROM) < F.col(TO))
+    defaults = {f.name: F.coalesce(F.col(f.name), literal(f.default, kinds[f.name])) for f in fields if f.name in data and f.name in given and not f.nullable and f.default is not None}
+    keeps = [f.name for f in fields if f.name in data and (f.name not in given or (not f.nullable and f.default is None))]
+    needed = [F.col(n).isNotNull() for n in keeps if n in given]
+    rows = cur.unionByName(inp).withColumns({**defaults, "__has": reduce(lambda a, b: a & b, needed, F.lit(True)), AT: F.unix_micros("__t") * 2 + (~F.col("__cur")).cast("long")})
+    if dropout:
+        rows = _numbered(rows, batches, times, time)
+    r = carried(ranged(stage(rows, "batches"), keys, AT, hot_rows), [AT], keeps)
+    more = {"i": "__i", "nt": "__nt"} if dropout else {}
+    value = {**{f"v{n}": c for n, c in enumerate(data)}, **more}
+    r = apart(r) if keeps else r
+    r = neighbours(r, [AT], [(value, -1, "__before"), (value, 1, "__after")] if dropout else [(value, -1, "__before")])
 
+    def joins(side: str, step: int) -> Column:
+        """Whether the row and its neighbour are one version."""
+        touch = F.col(side).isNotNull() & (F.col(f"{side}.i") == F.col("__i") + step) if dropout else F.col(side).isNotNull()
+        return F.coalesce(reduce(lambda a, b: a & b, (F.col(f"{side}.v{n}").eqNullSafe(F.col(c)) for n, c in enumerate(data)), touch), F.lit(False))
 
-def _checked(rows: DataFrame, fresh: Column, keys: list[str]) -> DataFrame:
-    """Fails the job where a new row lacks a value it needs, or a batch is older than the live row."""
+    fresh = F.col("__before").isNull() | (F.coalesce(F.col("__before.i") != F.col("__i") - 1, F.lit(False)) if dropout else F.lit(False))
     what = F.to_json(F.struct(*keys))
     bad = F.when(fresh & ~F.col("__has") & ~F.col("__cur"), F.raise_error(F.concat(F.lit("a new row lacks a value: "), what))).when(
-        ~F.col("__cur") & F.coalesce("__late", F.lit(False)), F.raise_error(F.concat(F.lit("a live row is newer than its update: "), what))
+        F.col("__cur") & F.col("__before").isNotNull(), F.raise_error(F.concat(F.lit("a live row is newer than its update: "), what))
     )
-    return rows.where(bad.cast("boolean").isNull())
+    df = r.df.where(bad.cast("boolean").isNull()).withColumns({"__first": ~joins("__before", -1), "__last": ~joins("__after", 1) if dropout else F.lit(True)})
+    marks = df.where("__first OR __last" if dropout else "__first").select(*names, RANGE, AT, "__t", "__first", "__last", *(["__nt"] if dropout else []))
+    r = apart(r.on(marks))
+    # a version's end: of dropout, where its last row's batch is followed by the next; else where the next version begins
+    r = neighbour(r, [AT], {"end": "__nt" if dropout else "__t"}, 1, "__next")
+    end = F.when(F.col("__last"), F.col("__nt")).otherwise(F.col("__next.end")) if dropout else F.col("__next.end")
+    out = r.df.where("__first").select(*names, F.col("__t").alias(FROM), F.coalesce(end, moment(SENTINEL)).alias(TO))
+    return out.where(F.col(FROM) < F.col(TO))
+
+
+def _numbered(rows: DataFrame, batches: DataFrame, times: DataFrame | None, time: str) -> DataFrame:
+    """rows with the number of their batch and the time of the one after it. Live rows stand for a batch 0 that has no
+    time of its own and ends with the first batch. The only window over a whole table has one row per batch."""
+    every = batches.select(F.col(time).alias("__k"))
+    if times is not None:
+        every = every.unionByName(times.select(F.col(time).alias("__k")))
+    order = Window.orderBy("__k")
+    n = every.distinct().select("__k", F.row_number().over(order).alias("__i"), F.lead("__k").over(order).alias("__nt"))
+    n = n.unionByName(n.agg(F.min("__k").alias("__nt")).select(F.lit(None).cast("timestamp").alias("__k"), F.lit(0).alias("__i"), "__nt"))
+    rows = rows.withColumn("__b", F.when(~F.col("__cur"), F.col("__t")))
+    return rows.join(n, rows["__b"].eqNullSafe(n["__k"]), "left").drop("__b", "__k")

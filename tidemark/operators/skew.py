@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import stage
+
 RANGE = "__range"
 #: As many of the largest keys are looked at; any other key holds less than this part of the rows.
 LARGEST = 256
@@ -103,6 +105,32 @@ def neighbours(rows: Ranged, order: Sequence[str], wanted: Sequence[tuple[Mappin
     return rows.on(out)
 
 
+def apart(rows: Ranged) -> Ranged:
+    """Rows written once where they are read twice next."""
+    return rows.on(stage(rows.df, "ranges")) if rows.hot else rows
+
+
+def carried(rows: Ranged, order: Sequence[str], columns: Sequence[str]) -> Ranged:
+    """Each of columns with its nulls replaced by the key's last value before, in order. Hot keys: the last value of each
+    range goes on to the next ranges by a broadcast table of at most LARGEST * RANGES rows."""
+    if not columns:
+        return rows
+    df, keys = rows.df, rows.keys
+    w = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumns({c: F.last(c, True).over(w) for c in columns})
+    if rows.hot:
+        at = F.struct(*order)
+        ends = df.where(F.col(RANGE) >= 0).groupBy(*keys, RANGE)
+        ends = ends.agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"__nb_{i}") for i, c in enumerate(columns)))
+        before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        own = {k: f"__nb_key_{i}" for i, k in enumerate(keys)}
+        ends = ends.select(*(F.col(k).alias(n) for k, n in own.items()), F.col(RANGE).alias("__nb_range"), *(F.last(f"__nb_{i}", True).over(before).alias(f"__nb_{i}") for i in range(len(columns))))
+        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()] + [F.col(RANGE) == F.col("__nb_range")]
+        out = out.join(F.broadcast(ends), same, "left").withColumns({c: F.coalesce(c, f"__nb_{i}") for i, c in enumerate(columns)})
+        out = out.drop("__nb_range", *own.values(), *(f"__nb_{i}" for i in range(len(columns))))
+    return rows.on(out)
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """big joined to small, unique by on, where one key may hold a large share of big.
 
@@ -120,8 +148,6 @@ def dense_numbers(df: DataFrame, order: Sequence[str], name: str, start: int = 1
 
     Rows are range-partitioned and numbered within their partition; the driver gets one count per partition.
     """
-    from tidemark.session import stage
-
     spark = df.sparkSession
     sorted_ = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
     kept = stage(sorted_, "numbers")
