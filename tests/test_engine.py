@@ -160,6 +160,16 @@ def test_slices_at_the_edges(spark, db):
         TimeSlice("never")
 
 
+def test_collation(spark, db):
+    db.create(TableConfig.of({"schema": "s", "name": "t", "collation": "UNICODE_CI", "is_temporal": True, "primary_keys": ["k"], "columns": [{"name": "k", "data_type": "VARCHAR(9)"}, {"name": "v", "data_type": "VARCHAR(9)"}]}))
+    df = lambda *r: spark.createDataFrame(list(r), "k string, v string")
+    p = Policy(True, "take_last")
+    db.table_upsert_temporal(df(("a", "x"), ("b", "y")), "s", "t", p, y(2000))
+    assert tuple(db.table_upsert_temporal(df(("A", "X"), ("B", "z")), "s", "t", p, y(2001))) == (0, 1, 1)
+    assert db.from_table("s", "t", TimeSlice("all")).count() == 3
+    assert db.timed("count", lambda: db.row_count("s", "t")) == 2 and Clock.shared().get_avg("count") > 0
+
+
 def test_null_policies(spark, db):
     db.create(TableConfig.of({"schema": "s", "name": "t", "primary_keys": ["id"], "columns": [{"name": "id", "data_type": "INT"}, {"name": "a", "data_type": "INT"}, {"name": "b", "data_type": "INT", "nullable": False, "default_value": 7}, {"name": "c", "data_type": "INT", "nullable": False}]}))
     df = lambda *r: spark.createDataFrame(list(r), "id int, a int, b int, c int")

@@ -87,9 +87,15 @@ class TableConfig:
         keys = set(self.primary_keys)
         return [Field(c.name, c.data_type, c.nullable and c.name not in keys, c.default_value, c.autoincrement) for c in self.columns]
 
+    @property
+    def kinds(self) -> dict[str, T.DataType]:
+        """Column types; texts compare by the table's collation, such as UNICODE_CI, or else by their bytes."""
+        text = T.StringType(self.collation) if self.collation else None
+        return {c.name: text if text is not None and isinstance(c.kind, T.StringType) else c.kind for c in self.columns}
+
     @property
     def spark_schema(self) -> T.StructType:
-        return T.StructType([T.StructField(c.name, c.kind) for c in self.columns])
+        return T.StructType([T.StructField(n, k) for n, k in self.kinds.items()])
 
     @property
     def unique_sets(self) -> list[list[str]]:

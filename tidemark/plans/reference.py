@@ -21,13 +21,15 @@ from tidemark.operators.delta import Field, Merge, Policy
 from tidemark.operators.foreign_keys import deduce_keys
 from tidemark.operators.history import bulk_history
 from tidemark.operators.temporal import FROM, TO, TimeSlice, close_rows, moment
-from tidemark.plans.pipeline import run_datasets
+from tidemark.plans.audit_log import AuditLog
+from tidemark.plans.pipeline import DatasetRunner, run_datasets
 from tidemark.plans.tables import table
 from tidemark.session import jpath, scratch
 from tidemark.sources.dsv import load_typed_dsv
 from tidemark.sources.ipc import from_ipc_b64, to_ipc_b64
 from tidemark.sources.ziptools import read_zipfile
 from tidemark.store.tables import Database
+from tidemark.streaming.messages import start_stream
 from tidemark.types import cast_columns, failed_casts, spark_type
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -608,3 +610,82 @@ def pipeline_history(spark, d):
 @query(f"with {_ACT} select id::int id, event_type as name from k")
 def extract_lookup(spark, d):
     return _activity(spark, d).from_table("web", "kinds")
+
+
+_PLAIN = TableConfig.of(
+    {"schema": "shop", "name": "orders", "primary_keys": ["o_orderkey"], "columns": [{"name": "o_orderkey", "data_type": "BIGINT"}, {"name": "o_orderstatus", "data_type": "VARCHAR(1)", "default_value": "?"}, {"name": "o_totalprice", "data_type": "DOUBLE", "default_value": "0.5"}, {"name": "o_custkey", "data_type": "BIGINT"}]}
+)
+
+
+def _orders(spark: SparkSession, d: str) -> Database:
+    db = _database(spark)
+    db.create(_PLAIN)
+    db.table_insert(_delta(spark, d), "shop", "orders", ["o_orderkey"], True)
+    return db
+
+
+_ORD = "x as (select o_orderkey, o_orderstatus, coalesce(o_totalprice, 0.5) o_totalprice, o_custkey from d)"
+
+
+@query(f"with {_TD}, {_ORD} select * from x")
+def table_insert(spark, d):
+    return _orders(spark, d).from_table("shop", "orders")
+
+
+@query(f"with {_TD}, {_ORD} select o_orderkey, coalesce(t.o_orderstatus, x.o_orderstatus) o_orderstatus, coalesce(t.p, x.o_totalprice) o_totalprice, o_custkey from x left join (select o_orderkey, o_orderstatus, o_totalprice * 2 p from t) t using (o_orderkey)")
+def table_update(spark, d):
+    db = _orders(spark, d)
+    db.table_update(_target(spark, d).select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") * 2).alias("o_totalprice")), "shop", "orders")
+    return db.from_table("shop", "orders")
+
+
+@query(f"with {_TD}, {_ORD} select * from x where o_orderkey not in (select o_orderkey from t)")
+def table_delete_rows(spark, d):
+    db = _orders(spark, d)
+    db.table_delete_rows(_target(spark, d).select("o_orderkey"), "shop", "orders")
+    return db.from_table("shop", "orders")
+
+
+@query(f"with {_CV} select c_custkey, epoch_us(vf) valid_from, epoch_us(case when vt = {_SENT} and c_custkey % 7 = 0 then timestamp '2003-01-01' else vt end) valid_to from v")
+def table_delete_rows_temporal(spark, d):
+    db = _customers(spark, d)
+    db.table_delete_rows_temporal(table(spark, d, "customer").where("c_custkey % 7 = 0").select("c_custkey"), "shop", "customer", utc(2003, 1, 1))
+    return db.from_table("shop", "customer", TimeSlice("all")).select("c_custkey", *us(FROM, TO))
+
+
+@query("select count(*) filter (c_custkey % 5 <> 0 and c_custkey % 3 = 0 and c_acctbal <> 0.5) updates, 0::bigint inserts, count(*) filter (c_custkey % 5 = 0) + count(*) filter (c_custkey % 5 <> 0 and not (c_custkey % 3 = 0 and c_acctbal <> 0.5)) deletions from customer")
+def upsert_counts(spark, d):
+    db = _database(spark)
+    db.create(_CUST)
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    policy = Policy(True, "take_last", row_finality="dropout")
+    db.table_upsert_temporal(c, "shop", "customer", policy, utc(2001, 1, 1))
+    edited = c.where("c_custkey % 5 != 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 3 == 0, 0.5).otherwise(F.col("c_acctbal")))
+    n = db.table_upsert_temporal(edited, "shop", "customer", policy, utc(2002, 1, 1))
+    return spark.createDataFrame([tuple(n)], "inserts bigint, updates bigint, deletions bigint")
+
+
+@query("select 'activity' table_name, 'dsv' data_source_type, 1709251200000000 data_source_ts union all select 'kinds', 'dsv', 1709251200000000")
+def audit_entries(spark, d):
+    return AuditLog(_activity(spark, d), "web").rows().select("table_name", "data_source_type", *us("data_source_ts"))
+
+
+@query("select user_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc) = 1")
+def stream_upsert(spark, d):
+    """The events as a stream of files into a table that keeps the last one of each user."""
+    config = TableConfigs([{"schema": "web", "name": "last_event", "primary_keys": ["user_id"], "columns": [{"name": "user_id", "data_type": "BIGINT"}, {"name": "event_type", "data_type": "VARCHAR(16)"}, {"name": "value", "data_type": "DOUBLE"}]}])
+    dataset = DatasetConfig.of(
+        {
+            "name": "last_events",
+            "input_config": {"type": "nats-jetstream"},
+            "time_partition": {"column": "ts", "bucket_interval": "1d", "bucket_strategy": "round_down"},
+            "delta_config": {"on_duplicate_key": "take_last"},
+            "pipeline": [{"schema": "web", "table": "last_event", "type": "primary", "columns": [*({"source": c, "target": c} for c in ("user_id", "event_type", "value")), {"target": "ts", "column_type": "time_partition_only", "target_data_type": "DATETIME"}]}],
+        }
+    )
+    db = _database(spark)
+    db.create_all(config)
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    start_stream(DatasetRunner(db, dataset, config), stream, scratch(spark, "stream")).awaitTermination()
+    return db.from_table("web", "last_event")

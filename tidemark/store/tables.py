@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import re
+import time as clock
 import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
@@ -20,8 +22,9 @@ from tidemark.operators.temporal import FROM, SENTINEL, TO, VALIDITY, TimeSlice,
 from tidemark.session import stage
 from tidemark.store.log import CommitLog
 from tidemark.types import cast_columns, literal
-from tidemark.utils import utc
+from tidemark.utils import Clock, utc
 
+LOG = logging.getLogger(__name__)
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -119,7 +122,9 @@ class Transaction:
         """One delta into a table at one time. columns: delta column -> table column."""
         config = self.config(name)
         rows = rows.select(*(F.col(s).alias(t) for s, t in (columns or {c: c for c in rows.columns if c in config.names}).items() if s in rows.columns), *([ops.ORD] if ops.ORD in rows.columns else []))
-        kinds = {c.name: c.kind for c in config.columns}
+        kinds = config.kinds
+        if config.collation:
+            rows = cast_columns(rows, {n: k for n, k in kinds.items() if isinstance(k, T.StringType)})
         ops.check_types(rows.schema, config.fields, {c: c for c in rows.columns}, kinds)
         if main and policy.drop_unchanged_rows and not set(config.primary_keys) & set(rows.columns):
             raise ValueError("no key among the compared columns")
@@ -137,7 +142,9 @@ class Transaction:
         config = self.config(name)
         keys = list(config.primary_keys)
         rows = batches.select(*(F.col(s).alias(t) for s, t in (columns or {c: c for c in batches.columns if c in config.names}).items() if s in batches.columns), time, *([ops.ORD] if ops.ORD in batches.columns else []))
-        kinds = {c.name: c.kind for c in config.columns}
+        kinds = config.kinds
+        if config.collation:
+            rows = cast_columns(rows, {n: k for n, k in kinds.items() if isinstance(k, T.StringType)})
         ops.check_types(rows.schema, config.fields, {c: c for c in rows.columns}, kinds)
         every = batches.select(time).distinct()
         times = every if times is None else every.unionByName(times.select(time)).distinct()
@@ -196,6 +203,15 @@ class Database:
     def begin(self) -> Transaction:
         return Transaction(self)
 
+    def timed(self, description: str, action):
+        """The result of action; how long it took goes to the shared clock and the log."""
+        began = clock.perf_counter()
+        out = action()
+        took = clock.perf_counter() - began
+        Clock.shared().add_timing(description, took)
+        LOG.info("%s: %.3f s", description, took)
+        return out
+
     # --- definition
 
     def create(self, config: TableConfig) -> None:
@@ -300,7 +316,7 @@ class Database:
         full, tx = f"{schema}.{name}", self.begin()
         config = tx.config(full)
         rows = df.select(*(c for c in df.columns if c in config.names), *([ops.ORD] if ops.ORD in df.columns else []))
-        kinds = {c.name: c.kind for c in config.columns}
+        kinds = config.kinds
         rows = cast_columns(rows, kinds)
         defaults = {c.name: (c.default_value, c.kind) for c in config.columns if c.default_value is not None}
         if prefill_nulls_with_default:
@@ -331,7 +347,7 @@ class Database:
         full, tx = f"{schema}.{name}", self.begin()
         config = tx.config(full)
         keys = list(primary_keys_override or config.primary_keys)
-        rows = ops.dedupe(cast_columns(df.select(*(c for c in df.columns if c in config.names)), {c.name: c.kind for c in config.columns}), keys)
+        rows = ops.dedupe(cast_columns(df.select(*(c for c in df.columns if c in config.names)), config.kinds), keys)
         fields = [ops.Field(f.name, f.data_type) for f in config.fields]
         live = tx.live(full)
         new = ops.update_matched(live, rows, keys, fields)
@@ -373,7 +389,7 @@ class Database:
         columns = {s: t for s, t in columns.items() if t in config.names}
         if not columns:
             raise ValueError("no columns in common")
-        kinds = {c.name: c.kind for c in config.columns}
+        kinds = config.kinds
         rows = cast_columns(df, {s: kinds[t] for s, t in columns.items()})
         if policy.prefill_nulls_with_default:
             rows = ops.fill_defaults(rows, {s: (c.default_value, c.kind) for s, t in columns.items() for c in config.columns if c.name == t and c.default_value is not None})
