@@ -94,10 +94,11 @@ def resolve_duplicates(delta: DataFrame, keys: Sequence[str], policy: str) -> Da
     if policy != "error":
         return dedupe(delta, keys, "last" if policy == "take_last" else "first")
     cols = [c for c in delta.columns if c != ORD]
-    one = delta.groupBy(*(f"`{c}`" for c in cols)).agg(*([F.max(ORD).alias(ORD)] if ORD in delta.columns else []), F.lit(1).alias("__one"))
-    g = one.groupBy(*(f"`{k}`" for k in keys)).agg(F.any_value(F.struct(*(F.col(f"`{c}`") for c in delta.columns))).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    row = F.struct(*(F.col(f"`{c}`") for c in cols))
+    g = delta.groupBy(*(f"`{k}`" for k in keys)).agg(F.min(row).alias("__row"), F.max(row).alias("__other"), *([F.max(ORD).alias(ORD)] if ORD in delta.columns else []))
     many = F.raise_error(F.concat(F.lit("duplicate key "), F.to_json(F.struct(*keys)))).cast("boolean")
-    return g.where(F.when(F.col("__n") > 1, many).otherwise(True)).select(*(F.col(f"__row.`{c}`").alias(c) for c in delta.columns))
+    g = g.where(F.when(F.col("__row").eqNullSafe(F.col("__other")), True).otherwise(many))
+    return g.select(*(F.col(ORD) if c == ORD else F.col(f"__row.`{c}`").alias(c) for c in delta.columns))
 
 
 def fill_defaults(df: DataFrame, defaults: Mapping[str, tuple[str, T.DataType]]) -> DataFrame:
