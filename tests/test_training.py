@@ -11,7 +11,7 @@ from tidemark.functions.clean import clean_double, clean_text
 from tidemark.operators.chains import OPEN, build_chains, rebuild_chains
 from tidemark.operators.errparse import error_parse, header_of, loaded, parse_lines, parse_record, rejects, split_free
 from tidemark.operators.incremental import pending_items
-from tidemark.operators.skew import neighbour, ranged
+from tidemark.operators.skew import lookup_join, neighbour, ranged
 from tidemark.operators.skyline import survivors
 from tidemark.operators.snapshots import snapshot_chain, snapshot_changes
 from tidemark.session import scratch
@@ -57,6 +57,16 @@ def test_neighbour_crosses_ranges(spark, hot_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_lookup_join_broadcasts_only_what_is_small(spark, most):
+    big = spark.createDataFrame([(i % 3 if i % 7 else None, i) for i in range(100)], "k int, n int")
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (None, "c")], "k int, s string")
+    j = lookup_join(big, small, ["k"], ["n"], broadcast_bytes=most)
+    assert sorted((r.k, r.n, r.s) for r in j.collect()) == sorted((i % 3, i, "ab"[i % 3]) for i in range(100) if i % 7 and i % 3 < 2)
+    assert lookup_join(big, small, ["k"], ["n"], how="left", broadcast_bytes=most).count() == 100
+    assert ("Broadcast" in j._jdf.queryExecution().toString()) == bool(most)
+
+
 def brute_changes(files, rows):
     best = {}
     for f, s, t, u in files:

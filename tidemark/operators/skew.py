@@ -21,6 +21,8 @@ LARGEST = 256
 RANGES = 64
 #: A key with more rows than this is hot if it is among the largest.
 HOT_ROWS = 100_000
+#: A lookup table is broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -131,16 +133,26 @@ def carried(rows: Ranged, order: Sequence[str], columns: Sequence[str]) -> Range
     return rows.on(out)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
+def byte_size(df: DataFrame) -> int:
+    """About how many bytes df's rows take in memory; runs df once."""
+    per = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) + 24 if f.dataType.simpleString() in ("string", "binary") else F.lit(16) for f in df.schema.fields), F.lit(16))
+    return int(df.agg(F.sum(per.cast("long"))).first()[0] or 0)
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str], salts: int = 16, how: str = "inner", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """big joined to small, unique by on, where one key may hold a large share of big.
 
-    big's rows of a key go to salts groups by a hash of salt_by, small's row to each of them. Keeps column __salt:
-    big's rows are then partitioned by (on, __salt), which a groupBy of (on, __salt, ...) uses without another exchange.
-    Null keys match nothing.
+    small is written once and measured. Up to broadcast_bytes it is broadcast. Beyond that big's rows of a key go to
+    salts groups by a hash of salt_by, small's row to each of them, and both are shuffled by key and group; then big's
+    rows are partitioned by (on, __salt), which a groupBy of (on, __salt, ...) uses without another exchange. Column
+    __salt is there either way. Null keys match nothing.
     """
     left = big.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+    small = stage(small, "lookup")
+    if byte_size(small) <= broadcast_bytes:
+        return left.join(F.broadcast(small), list(on), how)
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "__salt"], how)
+    return left.join(right.hint("merge"), [*on, "__salt"], how)
 
 
 def dense_numbers(df: DataFrame, order: Sequence[str], name: str, start: int = 1) -> DataFrame:
