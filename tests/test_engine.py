@@ -29,7 +29,7 @@ from tidemark.sources.ipc import from_ipc_b64, to_ipc_b64
 from tidemark.sources.ziptools import convert_zipped_csvs_to_parquet, read_zipfile
 from tidemark.store.log import CommitConflict
 from tidemark.store.tables import Database
-from tidemark.streaming.messages import MessageDataSource, StreamMissing, message_batches, start_stream
+from tidemark.streaming.messages import MessageDataSource, StreamMissing, decode_json, message_batches, start_stream
 from tidemark.streaming.tracker import UpdateTracker
 from tidemark.types import cast, literal, spark_type, sql_type, text_length
 from tidemark.utils import Clock, NonRetryable, as_sql_date, as_sql_datetime, flatten_list, is_text_type, load_yaml, nested, strip_outer_quotes
@@ -278,6 +278,27 @@ def test_raw_sql_and_lookup(spark, db):
     assert db.variables("spark.sql.session.time%").first()[0] == "UTC"
 
 
+ALL_TYPES = [
+    ("bigint_col", "BIGINT", "9223372036854775807"), ("bit_col", "BIT", "0"), ("bool_col", "BOOL", "0"), ("boolean_col", "BOOLEAN", "false"), ("char_col", "CHAR(1)", "?"), ("date_col", "DATE", "1985-10-26"), ("datetime_col", "DATETIME", "1985-10-26T01:21:00"),
+    ("decimal_col", "DECIMAL(10,2)", "2.71"), ("double_col", "DOUBLE", "1.618033988749895"), ("float_col", "FLOAT", "1.1"), ("int_col", "INT", "1"), ("integer_col", "INTEGER", "1"), ("mediumint_col", "MEDIUMINT", "1"), ("numeric_col", "NUMERIC(8,5)", "3.14159"),
+    ("real_col", "REAL", "1.616255e-35"), ("smallint_col", "SMALLINT", "1"), ("text_col", "TEXT(16)", "?abcdef?"), ("time_col", "TIME", "01:20:00"), ("timestamp_col", "TIMESTAMP", "1985-10-26T01:20:00"), ("tinyint_col", "TINYINT", "1"), ("varchar_col", "VARCHAR(32)", "?abcdefghijklmn?"),
+]
+
+
+def test_all_column_types(spark, db):
+    columns = [{"name": "id", "data_type": "INT"}, *({"name": n, "data_type": t, "default_value": v} for n, t, v in ALL_TYPES)]
+    db.create(TableConfig.of({"schema": "s", "name": "all", "is_temporal": True, "primary_keys": ["id"], "columns": columns}))
+    text = spark.createDataFrame([(1, *([None] * len(ALL_TYPES))), (2, *(v for _, _, v in ALL_TYPES))], ", ".join(["id int", *(f"{n} string" for n, _, _ in ALL_TYPES)]))
+    assert db.table_insert(text, "s", "all", prefill_nulls_with_default=True, update_time=y(2000)) == 2
+    one, two = (r[1:-2] for r in db.from_table("s", "all").orderBy("id").collect())
+    assert one == two and None not in one
+    assert (one[0], one[1], one[2], one[3], one[4], one[7], one[13], str(one[17])) == (2**63 - 1, 0, False, False, "?", Decimal("2.71"), Decimal("3.14159"), "01:20:00")
+    # the same rows again change nothing; nulls without prefill overwrite
+    assert tuple(db.table_upsert_temporal(text, "s", "all", Policy(True, prefill_nulls_with_default=True), y(2001))) == (0, 0, 2)
+    assert tuple(db.table_upsert_temporal(text, "s", "all", Policy(True), y(2002))) == (0, 1, 1)
+    assert set(db.from_table("s", "all").orderBy("id").first()[1:-2]) == {None}
+
+
 # --- types and expressions
 
 
@@ -621,6 +642,12 @@ def test_structured_stream(spark, db, tmp_path):
     assert db.log.read()["streams"] == {"feed": 1}
 
 
+def test_decode_json(spark):
+    df = spark.createDataFrame([(1, '{"a": 5}'), (2, "{"), (3, None), (4, '{"a": "x"}')], "a int, data string").withColumn("n", F.lit(1))
+    got = decode_json(df, "a int, b string").collect()
+    assert [(r.a, r.b, r["__bad"]) for r in got] == [(5, None, False), (None, None, True), (None, None, False), (None, None, True)]
+
+
 class Numbers:
     def read(self, start, end):
         return [(n, y(2020), str(n)) for n in range(start, min(end, 5))]

@@ -384,6 +384,21 @@ def test_survivors(spark, seed):
             assert skyline[g, i] == sum(not any(o is not r and all(a >= b for a, b in zip(dims(o), dims(r))) for o in rs) for r in rs)
 
 
+def test_extra_columns_with_clashing_names(spark):
+    extra = {c: F.lit("x") for c in ("__row", "__rank", "__late", "__next", "__range", "__salt", "__n", "__mask", "__change", "__file", "valid_from_us", "old", "reason", "head")}
+    up = frame(spark, updates(random.Random(5), 60))
+    assert chains(build_chains(up.withColumns(extra), hot_rows=5, **how())) == chains(build_chains(up, **how()))
+    raw = spark.createDataFrame([(1, 1, "id,double_col"), (1, 2, "x,1")], "file_id long, line_no int, line string").withColumns(extra)
+    assert [r.reason for r in rejects(parse_lines(raw)).collect()] == ["invalid_id"]
+    df = spark.createDataFrame([(1, "g", 1.0, 1, 1), (2, "g", 2.0, 2, 1)], "row_id long, g string, x double, trust int, ts long").withColumns(extra)
+    assert [r.x for r in survivors(df, ["g"], {"x": F.col("x")}, F.col("trust"), F.col("ts"), F.col("row_id")).collect()] == [2.0]
+    items = spark.createDataFrame([(1, "t", "dsv", "a", at(5), at(9))], "item_id long, table_name string, data_source_type string, data_source string, data_source_ts timestamp, changed_ts timestamp").withColumns(extra)
+    log = spark.createDataFrame([], "table_name string, data_source_type string, data_source string, data_source_ts timestamp, upload_ts timestamp, run_id long").withColumns(extra)
+    runs = spark.createDataFrame([(1, "committed")], "run_id long, status string").withColumns(extra)
+    assert [r.item_id for r in pending_items(items, log, runs, scratch(spark, "items")).collect()] == [1]
+    assert pending_items(items.limit(0), log, runs, scratch(spark, "items")).count() == 0
+
+
 def test_survivors_of_nothing(spark):
     df = spark.createDataFrame([], "row_id long, g string, x double, trust int, ts long")
     assert survivors(df, ["g"], {"x": F.col("x")}, F.col("trust"), F.col("ts"), F.col("row_id")).count() == 0

@@ -74,7 +74,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     config = table(spark, d, "delta_config").select("dataset", F.col("on_duplicate_key").alias("policy"))
-    rows = table(spark, d, "simple_01_delta").withColumn("__name", fold("dataset")).drop("dataset")
+    rows = table(spark, d, "simple_01_delta").select(fold("dataset").alias("__name"), "id", "row_id", "double_col", "varchar_col", "trust", "data_source_ts")
     config = config.withColumn("__name", fold("dataset"))
     known = rows.join(F.broadcast(config), "__name")  # delta_config has a fixed number of rows
     text, number = clean_text("varchar_col"), clean_double("double_col")

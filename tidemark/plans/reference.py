@@ -29,7 +29,7 @@ from tidemark.sources.dsv import load_typed_dsv
 from tidemark.sources.ipc import from_ipc_b64, to_ipc_b64
 from tidemark.sources.ziptools import read_zipfile
 from tidemark.store.tables import Database
-from tidemark.streaming.messages import start_stream
+from tidemark.streaming.messages import decode_json, start_stream
 from tidemark.types import cast_columns, failed_casts, spark_type
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -689,3 +689,10 @@ def stream_upsert(spark, d):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     start_stream(DatasetRunner(db, dataset, config), stream, scratch(spark, "stream")).awaitTermination()
     return db.from_table("web", "last_event")
+
+
+@query("select event_id, case when event_id % 5 <> 0 then user_id end user_id, case when event_id % 5 <> 0 then value end as value, event_id % 5 = 0 bad from events")
+def message_decode(spark, d):
+    e = table(spark, d, "events")
+    text = F.when(F.col("event_id") % 5 != 0, F.to_json(F.struct("user_id", "value"))).otherwise(F.lit("{broken"))
+    return decode_json(e.select("event_id", text.alias("data")), "user_id bigint, value double").withColumnRenamed("__bad", "bad")

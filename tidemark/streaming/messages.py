@@ -55,6 +55,16 @@ def read_message(data: bytes, time: datetime, config: dict[str, Any]) -> DataFra
     return df
 
 
+def decode_json(messages: DataFrame, schema: str, column: str = "data") -> DataFrame:
+    """Messages, batch or stream, whose JSON has a known schema: its fields as columns beside the others, and __bad, true
+    where the text is no such JSON. All of it is done without Python."""
+    parsed = F.from_json(F.col(column), f"{schema}, __corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
+    df = messages.withColumn("__json", parsed)
+    bad = F.col(column).isNotNull() & (F.col("__json").isNull() | F.col("__json.__corrupt").isNotNull())
+    fields = [f.name for f in df.schema["__json"].dataType.fields if f.name != "__corrupt"]
+    return df.select(*(c for c in messages.columns if c != column and c not in fields), *(F.col(f"__json.`{n}`").alias(n) for n in fields), bad.alias("__bad"))
+
+
 def message_batches(runner: DatasetRunner, client: Client, sleep: Callable[[float], None] = clock.sleep) -> Iterator[Batch]:
     """Fetches until nothing is left (run_until empty) or for ever. Messages are acknowledged after the commit of their
     rows; what is delivered again after a failure in between the audit log keeps out."""
