@@ -16,6 +16,8 @@ from tidemark.types import literal, text_length
 
 #: Column with the order of arrival; where it is missing rows are ordered by all their columns.
 ORD = "__ord"
+#: Where a stored row lies: its file and position; merges pass it on.
+PLACE = ("__file", "__pos")
 #: What becomes of a row in a merge.
 OP = "__op"
 KEEP, CLOSE, UPDATE, INSERT = "keep", "close", "update", "insert"
@@ -179,7 +181,8 @@ class Merge:
         kinds = {f.name: f.dataType for f in current.schema.fields}
         d = resolve_duplicates(delta.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))), keys, self.policy.on_duplicate_key).drop(ORD)
         given = [n for n in names if n in d.columns]
-        old = current.select(*(F.col(k).alias(f"__o_{k}") for k in keys), F.struct(*names, FROM).alias("old"))
+        where = [c for c in PLACE if c in current.columns]
+        old = current.select(*(F.col(k).alias(f"__o_{k}") for k in keys), F.struct(*names, FROM, *where).alias("old"))
         new = d.select(*(F.col(k).alias(f"__n_{k}") for k in keys), F.struct(*given).alias("new"))
         j = old.join(new, [F.col(f"__o_{k}") == F.col(f"__n_{k}") for k in keys], "full")
         both = F.col("old").isNotNull() & F.col("new").isNotNull()
@@ -214,6 +217,11 @@ class Merge:
             *(F.when(kept, F.col(f"old.{n}")).otherwise(F.col(f"after.{n}")).alias(n) for n in names), F.when(kept, F.col(f"old.{FROM}")).otherwise(moment(self.at)).alias(FROM), moment(SENTINEL).alias(TO)
         )
 
+    def fresh(self, plan: DataFrame) -> DataFrame:
+        """The live rows that the merge makes."""
+        new = plan.where(F.col(OP).isin(UPDATE, INSERT))
+        return new.select(*(F.col(f"after.{f.name}").alias(f.name) for f in self.fields), moment(self.at).alias(FROM), moment(SENTINEL).alias(TO))
+
     def closed(self, plan: DataFrame) -> DataFrame:
         """The versions that the merge ended; one that held for no time leaves no trace."""
         names = [f.name for f in self.fields]

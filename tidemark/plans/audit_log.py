@@ -53,7 +53,7 @@ class AuditLog:
         cols = ["table_name", "data_source_type", "data_source", "data_source_ts"]
         if self.rows(tx).join(df.select(*cols), cols, "left_semi").limit(1).count():
             raise ValueError("already in the audit log")
-        tx.put(self.full_name, append=df)
+        tx.put(self.full_name, append=df, grown=len(new))
         e["high"] += len(new)
 
     def add_entry(self, data_source_type: str, data_source: str, table_name: str, data_source_ts: datetime) -> None:
@@ -81,7 +81,7 @@ class AuditLog:
         before = tx.live(self.full_name)
         kept = audit.purged(before, table_name, timestamp, interval)
         n = before.count() - kept.count()
-        tx.put(self.full_name, live=kept)
+        tx.put(self.full_name, live=kept, grown=kept.count())
         tx.commit()
         return n
 

@@ -153,7 +153,7 @@ class DatasetRunner:
             high = max(entry["high"], parent.agg(F.max(c.target)).first()[0] or 0)
             delta, added, top = deduce_keys(delta, parent, table.fields, values, (c.name, c.target), high)
             delta = stage(delta, "keyed")
-            tx.put(table.full_name, append=added)
+            tx.put(table.full_name, append=added, grown=top - high)
             made, entry["high"] = made + top - high, top
         columns = {s: t for s, t in item.column_map().items() if s in delta.columns}
         counts = tx.merge_all(table.full_name, delta, BUCKET, ops.Policy(on_duplicate_key="take_last", row_finality=self.dataset.delta_config.row_finality), columns)

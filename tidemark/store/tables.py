@@ -21,6 +21,7 @@ from tidemark.operators.history import bulk_history
 from tidemark.operators.temporal import FROM, SENTINEL, TO, VALIDITY, TimeSlice, moment
 from tidemark.session import stage
 from tidemark.store.log import CommitLog
+from tidemark.store.versioned import FILE, POS
 from tidemark.types import cast_columns, literal
 from tidemark.utils import Clock, utc
 
@@ -28,11 +29,19 @@ LOG = logging.getLogger(__name__)
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
+#: Dead rows, as part of all live ones, from which a table's live rows are written anew.
+DEAD = 0.3
+#: Folders of one size that are merged into a larger one.
+FOLDERS = 32
+
+
 class Transaction:
     """Reads see what was committed when it began and its own writes; commit makes all of them visible at once.
 
-    Live rows and ended versions lie in folders of their own that are never rewritten: a changed table gets a new folder
-    of live rows, ended versions are added to those that there are.
+    Live rows and ended versions lie in folders of their own that are never rewritten. A change adds a folder of new live
+    rows and a deletion vector (file, position) of those that are live no more, so what it writes goes with what it
+    changes and not with the table; ended versions are added to those that there are. Once deletion vectors cover DEAD
+    of a table its live rows are written anew, and FOLDERS small folders become one, so a row is moved a few times only.
     """
 
     def __init__(self, db: "Database"):
@@ -58,7 +67,7 @@ class Transaction:
     def create(self, config: TableConfig) -> TableConfig:
         """Nothing if the table exists."""
         if not self.exists(config.full_name):
-            self.state["catalog"][config.full_name] = {"config": config.to_dict(), "current": [], "history": [], "high": 0}
+            self.state["catalog"][config.full_name] = {"config": config.to_dict(), "current": [], "history": [], "dvs": [], "rows": 0, "dead": 0, "high": 0}
         return self.config(config.full_name)
 
     def drop(self, name: str) -> None:
@@ -75,45 +84,78 @@ class Transaction:
             fields += [T.StructField(c, T.TimestampType()) for c in VALIDITY]
         return T.StructType(fields)
 
-    def _read(self, config: TableConfig, folders: list[str]) -> DataFrame:
+    def _read(self, config: TableConfig, folders: list[str], dvs: Sequence[str] = (), located: bool = False) -> DataFrame:
         schema = self._schema(config)
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-
-    def live(self, name: str) -> DataFrame:
-        """The live rows; of a temporal table with their validity."""
-        return self._read(self.config(name), self._entry(name)["current"])
+        place = f"{FILE} string, {POS} bigint"
+        if not folders:
+            df = self.spark.createDataFrame([], schema)
+            return df.select("*", F.lit("").alias(FILE), F.lit(0).cast("long").alias(POS)) if located else df
+        df = self.spark.read.schema(schema).parquet(*folders)
+        if not dvs and not located:
+            return df
+        df = df.select("*", F.col("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(POS))
+        if dvs:
+            df = df.join(self.spark.read.schema(place).parquet(*dvs), [FILE, POS], "left_anti")
+        return df.select(*schema.names, *([FILE, POS] if located else []))
+
+    def live(self, name: str, located: bool = False) -> DataFrame:
+        """The live rows; of a temporal table with their validity. located: with FILE and POS."""
+        e = self._entry(name)
+        return self._read(self.config(name), e["current"], e["dvs"], located)
 
     def versions(self, name: str, slice_: TimeSlice = TimeSlice()) -> DataFrame:
         """The versions in the slice. Mode none reads live rows only."""
         config, e = self.config(name), self._entry(name)
         if not config.is_temporal or slice_.mode == "none":
-            return self._read(config, e["current"])
-        return slice_.apply(self._read(config, [*e["current"], *e["history"]]))
+            return self.live(name)
+        # each part with its own filter, which reaches the scan
+        parts = [slice_.apply(self.live(name))]
+        return parts[0].unionByName(slice_.apply(self._read(config, e["history"]))) if e["history"] else parts[0]
 
-    def _write(self, name: str, df: DataFrame, kind: str) -> str:
-        path = f"{self.db.root}/{name.replace('.', '/')}/{kind}/{self.base + 1:08d}-{uuid.uuid4().hex}"
+    def _path(self, name: str, kind: str, level: int = 0) -> str:
+        return f"{self.db.root}/{name.replace('.', '/')}/{kind}/{self.base + 1:08d}-{uuid.uuid4().hex}-L{level}"
+
+    def _write(self, name: str, df: DataFrame, kind: str, level: int = 0) -> str:
+        path = self._path(name, kind, level)
         df.select(*self._schema(self.config(name)).names).write.parquet(path)
         return path
 
-    def put(self, name: str, live: DataFrame | None = None, ended: DataFrame | None = None, append: DataFrame | None = None) -> None:
-        """New live rows in place of the old, rows added to them, versions added to the history."""
+    def put(self, name: str, live: DataFrame | None = None, ended: DataFrame | None = None, append: DataFrame | None = None, gone: DataFrame | None = None, grown: int = 0, dead: int = 0) -> None:
+        """New live rows in place of all; or rows added to them and (FILE, POS) taken from them; versions added to the
+        history. grown, dead: by how many the live rows and those under deletion vectors become more."""
         e = self._entry(name)
         if live is not None:
-            e["current"] = [self._write(name, live, "current")]
+            e |= {"current": [self._write(name, live, "current")], "dvs": [], "dead": 0, "rows": 0}
+        if gone is not None:
+            path = self._path(name, "dv")
+            gone.select(FILE, POS).write.parquet(path)
+            e["dvs"] = e["dvs"] + [path]
         if append is not None:
             e["current"] = e["current"] + [self._write(name, append, "current")]
         if ended is not None:
             e["history"] = e["history"] + [self._write(name, ended, "history")]
+        e["rows"], e["dead"] = e["rows"] + grown, e["dead"] + dead
+        if e["dead"] > DEAD * max(e["rows"], 1):
+            self.put(name, live=self.live(name), grown=e["rows"])
+        for kind in ("current", "history"):
+            self._tidy(name, kind)
+
+    def _tidy(self, name: str, kind: str) -> None:
+        """FOLDERS folders of one level, the newest, become one of the next level."""
+        e, level = self._entry(name), lambda f: int(f.rsplit("-L", 1)[1])
+        while (folders := e[kind]) and len(folders) >= FOLDERS and len({level(f) for f in folders[-FOLDERS:]}) == 1:
+            merged = self._read(self.config(name), folders[-FOLDERS:], e["dvs"] if kind == "current" else ())
+            e[kind] = folders[:-FOLDERS] + [self._write(name, merged, kind, level(folders[-1]) + 1)]
 
     def truncate(self, name: str) -> None:
-        self._entry(name)["current"] = []
+        self._entry(name).update({"current": [], "dvs": [], "rows": 0, "dead": 0})
 
     def compact(self, name: str) -> None:
-        """Few files in place of many."""
+        """One folder each of live rows and of ended versions, without deletion vectors."""
         e, config = self._entry(name), self.config(name)
-        for kind in ("current", "history"):
-            if len(e[kind]) > 1:
-                e[kind] = [self._write(name, self._read(config, e[kind]), kind)]
+        self.put(name, live=self.live(name), grown=e["rows"])
+        if len(e["history"]) > 1:
+            e["history"] = [self._write(name, self._read(config, e["history"]), "history", 1)]
 
     def stamped(self, config: TableConfig, df: DataFrame, at: datetime) -> DataFrame:
         return df.withColumns({FROM: moment(at), TO: moment(SENTINEL)}) if config.is_temporal else df
@@ -129,12 +171,19 @@ class Transaction:
         if main and policy.drop_unchanged_rows and not set(config.primary_keys) & set(rows.columns):
             raise ValueError("no key among the compared columns")
         m = ops.Merge(config.primary_keys, config.fields, at, policy, main)
-        current = self.live(name)
+        current = self.live(name, located=True)
         if not config.is_temporal:
             current = current.withColumn(FROM, moment(EPOCH))
-        plan = stage(m.plan(current, rows), "merge")
+        # of the live rows only those that change are written, beside the delta's own
+        plan = m.plan(current, rows)
+        plan = stage(plan.where((F.col(ops.OP) != ops.KEEP) | F.col("__same")).withColumn("after", F.when(F.col(ops.OP) != ops.KEEP, F.col("after"))), "merge")
         counts = m.counts(plan)
-        self.put(name, live=m.live(plan), ended=m.closed(plan) if config.is_temporal and counts.updates + counts.deletions else None)
+        closed = int(plan.where(F.col(ops.OP) == ops.CLOSE).count()) if policy.row_finality == "dropout" else 0
+        dead = counts.updates + closed
+        if counts.inserts + dead:
+            gone = plan.where(F.col(ops.OP).isin(ops.UPDATE, ops.CLOSE)).select(f"old.{FILE}", f"old.{POS}") if dead else None
+            fresh = m.fresh(plan) if counts.inserts + counts.updates else None
+            self.put(name, append=fresh, gone=gone, ended=m.closed(plan) if config.is_temporal and dead else None, grown=counts.inserts - closed, dead=dead)
         return counts
 
     def merge_all(self, name: str, batches: DataFrame, time: str, policy: ops.Policy, columns: Mapping[str, str] | None = None, times: DataFrame | None = None) -> ops.Counts:
@@ -150,15 +199,22 @@ class Transaction:
         times = every if times is None else every.unionByName(times.select(time)).distinct()
         rows = rows.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
         rows = ops.resolve_duplicates(rows, [*keys, time], policy.on_duplicate_key).drop(ops.ORD)
-        current = self.live(name)
-        if not config.is_temporal:
-            current = current.withColumn(FROM, moment(EPOCH))
-        out = stage(bulk_history(current, rows, keys, config.fields, time, policy.row_finality == "dropout", times), "history")
+        dropout = policy.row_finality == "dropout"
+        current = self.live(name, located=not dropout)
+        if not dropout:  # rows of other keys stay where they are
+            current = stage(current.join(rows.select(*keys).distinct(), keys, "left_semi"), "touched")
+        was = current if config.is_temporal else current.withColumn(FROM, moment(EPOCH))
+        out = stage(bulk_history(was.select(*config.names, FROM), rows, keys, config.fields, time, dropout, times), "history")
         first = times.agg(F.min(time)).first()[0]
         live = F.col(TO) == moment(SENTINEL)
         fresh = F.unix_micros(FROM) >= F.unix_micros(F.lit(first)) if first is not None else F.lit(False)
-        n = out.agg(F.count_if(fresh), F.count_if(~live)).first()
-        self.put(name, live=out.where(live), ended=out.where(~live) if config.is_temporal and n[1] else None)
+        n = out.agg(F.count_if(fresh), F.count_if(~live), F.count_if(live)).first()
+        ended = out.where(~live) if config.is_temporal and n[1] else None
+        if dropout:
+            self.put(name, live=out.where(live), ended=ended, grown=n[2])
+        elif n[0] or n[1]:
+            dead = current.count()
+            self.put(name, append=out.where(live), gone=current if dead else None, ended=ended, grown=n[2] - dead, dead=dead)
         return ops.Counts(inserts=n[0], deletions=n[1])
 
     def check(self, name: str, rows: DataFrame) -> None:
@@ -336,7 +392,7 @@ class Database:
             tx.check(full, tx.live(full).select(*config.names).unionByName(rows.select(*config.names)))
         n = rows.count()
         if n:
-            tx.put(full, append=rows)
+            tx.put(full, append=rows, grown=n)
         if auto is not None and n:
             tx._entry(full)["high"] = rows.agg(F.max(auto.name)).first()[0]
         tx.commit()
@@ -349,18 +405,16 @@ class Database:
         keys = list(primary_keys_override or config.primary_keys)
         rows = ops.dedupe(cast_columns(df.select(*(c for c in df.columns if c in config.names)), config.kinds), keys)
         fields = [ops.Field(f.name, f.data_type) for f in config.fields]
-        live = tx.live(full)
-        new = ops.update_matched(live, rows, keys, fields)
-        if config.is_temporal:
-            old = live.join(rows.select(*keys), keys, "left_semi")
-            changed = stage(old.select(*live.columns).exceptAll(new.select(*live.columns)), "changed").select(*live.columns)
-            t = utc(update_time)
-            again = new.exceptAll(live).withColumn(FROM, moment(t))
-            kept = live.exceptAll(changed)
-            tx.put(full, live=kept.unionByName(again), ended=changed.withColumn(TO, moment(t)).where(F.col(FROM) < F.col(TO)))
-        else:
-            tx.put(full, live=new)
-        tx.commit()
+        hit = tx.live(full, located=True).join(rows.select(*keys).distinct(), keys, "left_semi")
+        new = ops.update_matched(hit.withColumn("__was", F.struct(*config.names)), rows, keys, fields)
+        alike = reduce(lambda a, b: a & b, (F.col(f"__was.{c}").eqNullSafe(F.col(c)) for c in config.names))
+        changed = stage(new.where(~alike), "changed")
+        n, t = changed.count(), moment(utc(update_time))
+        if n:
+            old = changed.select(*(F.col(f"__was.{c}").alias(c) for c in config.names), *([FROM, t.alias(TO)] if config.is_temporal else []))
+            append = changed.withColumn(FROM, t) if config.is_temporal else changed
+            tx.put(full, append=append, gone=changed, ended=old.where(F.col(FROM) < F.col(TO)) if config.is_temporal else None, dead=n)
+            tx.commit()
 
     def table_delete_rows(self, df: DataFrame, schema: str, name: str) -> int:
         return self.table_delete_rows_temporal(df, schema, name, None)
@@ -371,13 +425,13 @@ class Database:
         config = tx.config(full)
         if not set(df.columns) <= set(config.primary_keys) or not df.columns:
             raise ValueError("all columns must belong to the primary key")
-        live = tx.live(full)
+        live = tx.live(full, located=True)
         gone = stage(live.join(df.distinct(), df.columns, "left_semi").select(*live.columns), "gone")
         n = gone.count()
         if n:
             t = moment(utc(update_time))
             ended = gone.withColumn(TO, t).where(F.col(FROM) < F.col(TO)) if config.is_temporal else None
-            tx.put(full, live=live.join(df.distinct(), df.columns, "left_anti").select(*live.columns), ended=ended)
+            tx.put(full, gone=gone, ended=ended, grown=-n, dead=n)
             tx.commit()
         return n
 
