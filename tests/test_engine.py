@@ -679,3 +679,25 @@ def test_helpers(tmp_path, monkeypatch):
     assert strip_outer_quotes("'a'") == "a" and strip_outer_quotes("'a") == "'a" and is_text_type("VARCHAR(3)") and not is_text_type("INT")
     assert as_sql_date(y(2020)) == "2020-01-01" and as_sql_datetime(y(2020)).startswith("2020-01-01 00:00:01") and flatten_list([1, [2, [3]], (4,)]) == [1, 2, 3, 4]
     assert io and SENTINEL.year == 2038
+
+
+def test_dead_rows_and_small_folders_are_tidied(spark, db, monkeypatch):
+    monkeypatch.setattr("tidemark.store.tables.FOLDERS", 3)
+    db.create(TableConfig.of(SIMPLE))
+    p = Policy(True, "take_last")
+    db.table_upsert_temporal(simple(spark, [(i, 0.0) for i in range(10)]), "test", "simple", p, y(2000))
+    for n in range(1, 5):
+        db.table_upsert_temporal(simple(spark, [(n, float(n))]), "test", "simple", p, y(2000 + n))
+        e = db.begin()._entry("test.simple")
+        # under a third of dead rows they are only marked; the third folder of a level makes one of the next
+        assert (e["rows"], e["dead"], len(e["dvs"]), len(e["current"])) == {1: (10, 1, 1, 2), 2: (10, 2, 2, 1), 3: (10, 3, 3, 2), 4: (10, 0, 0, 1)}[n]
+    want = sorted([(0, 0.0, 2000), *((i, 0.0, 2000) for i in range(5, 10)), *((n, float(n), 2000 + n) for n in range(1, 5))], key=repr)
+    assert seen(db.from_table("test", "simple")) == want
+    assert len(db.begin()._entry("test.simple")["history"]) == 2
+    assert seen(db.from_table("test", "simple", TimeSlice("all"))) == sorted(want + [(n, 0.0, 2000, 2000 + n) for n in range(1, 5)], key=repr)
+    tx = db.begin()
+    tx.compact("test.simple")
+    tx.commit()
+    e = db.begin()._entry("test.simple")
+    assert (len(e["current"]), len(e["history"]), e["dvs"], e["rows"]) == (1, 1, [], 10)
+    assert seen(db.from_table("test", "simple")) == want and db.row_count("test", "simple") == 10

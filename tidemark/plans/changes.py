@@ -147,6 +147,7 @@ g as (
 
 SQL = {
     "p1_found": _ROWS + "select file_id, id, kind change_kind from j where kind is not null",
+    "p1_changed_values": _ROWS + "select file_id, id, kind change_kind, ad old_double_col, av old_varchar_col, bd new_double_col, bv new_varchar_col from j where kind is not null",
     "p2_found": """
 with a as (
   select lower(trim(table_name)) t, data_source_type y, data_source s, date_trunc('second', data_source_ts) ts, max(upload_ts) u
