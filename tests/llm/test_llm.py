@@ -81,6 +81,15 @@ def test_markup_is_no_obstacle():
     assert tex[places[found[2]][0] :].startswith("IF")
 
 
+@pytest.mark.parametrize("how", ["\\newcommand", "\\renewcommand", "\\providecommand", "\\DeclareRobustCommand", "\\DeclareMathOperator", "\\def", "\\gdef", "\\edef", "\\xdef"])
+def test_own_macros_of_one_kind(how):
+    tex = f"{how}\\m{{one phase}}\n" + ITEM.replace("one phase", "\\m{}")
+    assert normalise(ITEM) in normalise(tex)
+    assert " ".join(located(tex)[0]) == normalise(tex)
+    (found,) = Finder([(7, ITEM)]).find(tex)
+    assert found[3] == len(normalise(ITEM).split())
+
+
 def test_located_agrees_with_normalise():
     rnd = random.Random(4)
     bits = ["\\emph{", "}", "\\v C", "\\'e", "\\ss ", "\\o", "ß", "é", "e\u0301", "ﬁ", "Æ", "\\-", "\\,", "\\\\", "%", "\n", " ", "a", "B", "7", "_", "\\cite{k}", "\\citep[a][b]{k}", "\\label{l}", "\\hspace{1em}", "\\let\\q\\emph", "\\def\\m{x \\n}", "\\m", "\\newcommand{\\n}{y}", "\\n{}", "\\", "\\renewcommand*{\\m}[0]{zz}", "\\m\\m", "\\DeclareMathOperator{\\p}{p\\,q}", "\\p"]

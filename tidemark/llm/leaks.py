@@ -34,6 +34,8 @@ COMMAND = re.compile(
     re.S,
 )
 DEFINED = re.compile(r"\\(newcommand|renewcommand|providecommand|DeclareRobustCommand|DeclareMathOperator|def|gdef|edef|xdef|let)(?![A-Za-z])\*?\s*(?:\{\s*(\\[A-Za-z]+)\s*\}|(\\[A-Za-z]+))(\s*\[\s*0\s*\])?\s*=?\s*(\{|\\[A-Za-z]+)?")
+#: A text without any of these has nothing that DEFINED matches.
+DEFINES = ("command", "def", "\\let", "\\Declare")
 MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 OTHER = re.compile(r"[\W_]+")
 LIGATURE = re.compile("[æœĳ]")
@@ -88,7 +90,7 @@ class Reader:
     """Commands of one text as the letters and spaces they stand for."""
 
     def __init__(self, text: str):
-        self.own, self.places = macros(text) if "\\newcommand" in text or "\\def" in text or "command" in text or "\\let" in text or "\\Declare" in text else ({}, set())
+        self.own, self.places = macros(text) if any(d in text for d in DEFINES) else ({}, set())
         self.open: dict[str, str | None] = {}
 
     def value(self, name: str) -> str:
