@@ -90,6 +90,14 @@ def test_own_macros_of_one_kind(how):
     assert found[3] == len(normalise(ITEM).split())
 
 
+@pytest.mark.parametrize("space", ["\\hspace{1em}", "\\hspace*{-2pt}", "\\vspace {3ex}", "\\hspace{\\stretch{1}}", "\\hskip{1em}", "\\hskip 1em ", "\\hskip1em", "\\vskip -.5\\baselineskip ", "\\hskip 2,5 true cm plus 1fil minus 2pt ", "\\hskip\\parindent ", "\\def\\gap{\\hspace{1em}}\\gap "])
+def test_spacing_parts_words(space):
+    assert normalise(f"foo{space}bar") == "foo bar"
+    assert located(f"foo{space}bar")[0] == ["foo", "bar"]
+    tex = ITEM.replace(" ", space)
+    assert [x[3] for x in Finder([(7, ITEM)]).find(tex)] == [len(normalise(ITEM).split())]
+
+
 def test_located_agrees_with_normalise():
     rnd = random.Random(4)
     bits = ["\\emph{", "}", "\\v C", "\\'e", "\\ss ", "\\o", "ß", "é", "e\u0301", "ﬁ", "Æ", "\\-", "\\,", "\\\\", "%", "\n", " ", "a", "B", "7", "_", "\\cite{k}", "\\citep[a][b]{k}", "\\label{l}", "\\hspace{1em}", "\\let\\q\\emph", "\\def\\m{x \\n}", "\\m", "\\newcommand{\\n}{y}", "\\n{}", "\\", "\\renewcommand*{\\m}[0]{zz}", "\\m\\m", "\\DeclareMathOperator{\\p}{p\\,q}", "\\p"]

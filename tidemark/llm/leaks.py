@@ -23,13 +23,15 @@ BLOCK_CHARS = 4_000_000
 LETTERS = {"i": "i", "j": "j", "ss": "ss", "ae": "ae", "AE": "ae", "oe": "oe", "OE": "oe", "o": "ø", "O": "ø", "l": "ł", "L": "ł", "aa": "a", "AA": "a", "dh": "ð", "DH": "ð", "th": "þ", "TH": "þ", "dj": "đ", "DJ": "đ", "ng": "ŋ", "NG": "ŋ"}
 ACCENTS = {"v", "c", "u", "H", "k", "r", "b", "d", "t"}
 ACCENT_SIGNS = "'\"`^~=."
-SPACES = {"quad", "qquad", "enspace", "enskip", "thinspace", "medspace", "thickspace", "negthinspace", "space", "nobreakspace", "xspace", "smallskip", "medskip", "bigskip", "hfill", "vfill", "hfil", "vfil", "newline", "linebreak", "par"}
+SPACES = {"quad", "qquad", "enspace", "enskip", "thinspace", "medspace", "thickspace", "negthinspace", "space", "nobreakspace", "xspace", "smallskip", "medskip", "bigskip", "hfill", "vfill", "hfil", "vfil", "newline", "linebreak", "par", "hspace", "vspace", "hskip", "vskip"}
 JOINED = "-/@"
 LIGATURES = {"æ": "ae", "œ": "oe", "ĳ": "ij"}
 
+#: A length without braces: a number with a unit or before a length's name.
+LENGTH = r"[-+\s]*(?:\d+(?:[.,]\d*)?|[.,]\d+)\s*(?:true\s*)?(?:fil{1,3}|p[tc]|in|bp|[cm]m|[dc]d|cc|sp|e[xm]|mu|\\[A-Za-z]+)"
 COMMAND = re.compile(
     r"\\(?:(?:[A-Za-z]*[cC]ite[A-Za-z]*|label)(?![A-Za-z])\*?(?:\s*\[[^\]]*\])*\s*\{[^{}]*\}"
-    r"|[hv]s(?:pace|kip)\*?\s*\{[^{}]*\}"
+    r"|([hv]s(?:pace|kip)\*?\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*){0,3}\}|[hv]skip\s*" + LENGTH + r"(?:\s*(?:plus|minus)\s*" + LENGTH + r"){0,2})"
     r"|([A-Za-z]+)\*?|(.)|$)",
     re.S,
 )
@@ -101,14 +103,16 @@ class Reader:
         return self.open[name] or ""
 
     def command(self, m: re.Match, at: int | None = None) -> str:
-        name = m.group(1)
+        if m.group(1) is not None:
+            return " "
+        name = m.group(2)
         if name is not None:
             if name in self.own and (at == -1 or m.start() not in self.places):
                 return self.value(name)
             if name in LETTERS:
                 return LETTERS[name]
             return " " if name in SPACES else ""
-        c = m.group(2)
+        c = m.group(3)
         if c is None or c in ACCENT_SIGNS or c in JOINED:
             return ""
         return " "
