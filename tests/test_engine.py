@@ -626,6 +626,25 @@ def test_messages(spark, db):
         run_datasets(EngineConfig(tables, (r.dataset,)), db)
 
 
+@pytest.mark.parametrize("limit", [1, 3, 4, 100])
+def test_limited_messages_lose_nothing(spark, db, limit):
+    readers().register_function("rows_reader", lambda p, t, a: spark.createDataFrame([(*r, p["name"], t) for r in p["rows"]], "id int, double_col double, varchar_col string, __path string, __created_at timestamp"), allow_overwrite=True)
+    mails = [Mail({"name": f"m{i}", "rows": [[10 * i + k, float(i), "a"] for k in range(2)]}, i) for i in (3, 1, 2)]
+
+    class Again:
+        def fetch(self, *a):
+            return [m for m in mails if m.state[-1:] != ["ack"]]
+
+    tables = TableConfigs([SIMPLE])
+    db.create_all(tables)
+    r = DatasetRunner(db, DatasetConfig.of({**STREAM, "scrape_limit": limit}), tables)
+    assert r.run(message_batches(r, Again()), wait=0) == {1: 3, 3: 3, 4: 2, 100: 1}[limit]
+    assert [x[:2] for x in seen(db.from_table("test", "simple"))] == [(10 * i + k, float(i)) for i in (1, 2, 3) for k in range(2)]
+    assert sorted(x["data_source"] for x in r.audit.rows().collect()) == ["m1", "m2", "m3"]
+    naks = {m.time: m.state.count("nak") for m in mails}
+    assert [naks[t] for t in sorted(naks)] == {1: [0, 1, 2], 3: [0, 1, 2], 4: [0, 0, 1], 100: [0, 0, 0]}[limit]
+
+
 def test_structured_stream(spark, db, tmp_path):
     tables = TableConfigs([{**SIMPLE, "is_temporal": False}])
     db.create_all(tables)

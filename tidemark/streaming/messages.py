@@ -20,6 +20,8 @@ from tidemark.utils import utc
 
 #: Seconds between attempts while a stream isn't there: the first and the longest wait.
 BACK_OFF = (5.0, 60.0)
+#: Column with the number of a row's message within its fetch.
+MESSAGE = "__message"
 
 
 class StreamMissing(RuntimeError):
@@ -67,7 +69,8 @@ def decode_json(messages: DataFrame, schema: str, column: str = "data") -> DataF
 
 def message_batches(runner: DatasetRunner, client: Client, sleep: Callable[[float], None] = clock.sleep) -> Iterator[Batch]:
     """Fetches until nothing is left (run_until empty) or for ever. Messages are acknowledged after the commit of their
-    rows; what is delivered again after a failure in between the audit log keeps out."""
+    rows; what is delivered again after a failure in between the audit log keeps out. With a scrape_limit a fetch loads
+    its first items by time, each one whole; messages that hold others are given back and so delivered again."""
     config = runner.dataset.input_config
     sub, fetch = config.jetstream.get("subscription", {}), config.jetstream.get("fetch") or {}
     wait, longest = BACK_OFF
@@ -83,14 +86,31 @@ def message_batches(runner: DatasetRunner, client: Client, sleep: Callable[[floa
             if config.run_until == "empty":
                 return
             continue
-        rows = union_all([read_message(m.data, utc(m.time), dict(config.payload_ingest)) for m in messages])
+        rows = union_all([read_message(m.data, utc(m.time), dict(config.payload_ingest)).withColumn(MESSAGE, F.lit(i)) for i, m in enumerate(messages)])
         todo = runner.audit.filter_items(rows.select("__path", "__created_at").distinct(), runner.main.name)
-        sources = [("nats-jetstream", r["__path"], r["__created_at"]) for r in _sources(todo)]
-        fresh = rows.join(todo, ["__path", "__created_at"], "left_semi").drop("__path", "__created_at")
+        loaded, rest = set(range(len(messages))), set[int]()
         if runner.dataset.scrape_limit > 0:
-            fresh = fresh.limit(runner.dataset.scrape_limit)
-        last = max(utc(m.time) for m in messages)
-        yield Batch(fresh, last, sources, lambda: [m.ack() for m in messages], lambda: [m.nak() for m in messages])  # noqa: B023
+            todo, loaded, rest = _first_items(rows, todo, runner.dataset.scrape_limit)
+        sources = [("nats-jetstream", r["__path"], r["__created_at"]) for r in _sources(todo)]
+        fresh = rows.join(todo, ["__path", "__created_at"], "left_semi").drop("__path", "__created_at", MESSAGE)
+        last = max(utc(m.time) for i, m in enumerate(messages) if i in loaded or i not in rest)
+        yield Batch(fresh, last, sources, lambda: [m.nak() if i in rest else m.ack() for i, m in enumerate(messages)], lambda: [m.nak() for m in messages])  # noqa: B023
+
+
+def _first_items(rows: DataFrame, todo: DataFrame, limit: int) -> tuple[DataFrame, set[int], set[int]]:
+    """The first of todo's items by time that have limit rows at most, or the first one alone; the messages that hold
+    some of them, and the messages that hold some of the others."""
+    found = rows.join(todo, ["__path", "__created_at"], "left_semi").groupBy("__path", F.unix_micros("__created_at").alias("us"))
+    items = sorted(found.agg(F.count(F.lit(1)).alias("n"), F.collect_set(MESSAGE).alias("messages")).collect(), key=lambda r: (r["us"], r["__path"]))
+    n, total = 0, 0
+    for r in items:
+        total += r["n"]
+        if n and total > limit:
+            break
+        n += 1
+    kept = rows.sparkSession.createDataFrame([(r["__path"], r["us"]) for r in items[:n]], "__path string, us long")
+    holds = lambda part: {i for r in part for i in r["messages"]}
+    return kept.select("__path", F.timestamp_micros("us").alias("__created_at")), holds(items[:n]), holds(items[n:])
 
 
 def _sources(items: DataFrame) -> list[dict[str, Any]]:
