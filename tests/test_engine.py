@@ -23,9 +23,10 @@ from tidemark.operators.temporal import FROM, SENTINEL, TO, TimeSlice
 from tidemark.plans.audit_log import AuditLog
 from tidemark.plans.pipeline import DatasetRunner, run_datasets, run_transaction
 from tidemark.session import scratch
+from tidemark.sources import ipc
 from tidemark.sources.dsv import clean_payload, load_typed_dsv, sniff
 from tidemark.sources.files import file_time, find_files
-from tidemark.sources.ipc import from_ipc_b64, to_ipc_b64
+from tidemark.sources.ipc import arrow_size, from_ipc_b64, to_ipc_b64
 from tidemark.sources.ziptools import convert_zipped_csvs_to_parquet, read_zipfile
 from tidemark.store.log import CommitConflict
 from tidemark.store.tables import Database
@@ -442,6 +443,20 @@ def test_zip_and_ipc(spark, tmp_path):
         to_ipc_b64(df, "rar")
 
 
+def test_a_table_too_large_for_a_message_is_not_collected(spark, monkeypatch):
+    for df in (spark.range(10_000), spark.range(3000).selectExpr("id", "repeat('x', 20) s", "array(id, id) a", "if(id % 2 = 0, id, null) n"), spark.range(0)):
+        size, table = arrow_size(df), df.toArrow()
+        assert abs(size - table.nbytes) <= 0.02 * table.nbytes
+        monkeypatch.setattr(ipc, "MOST", table.nbytes * 2)
+        assert from_ipc_b64(spark, to_ipc_b64(df)).count() == df.count()
+    df, collected = spark.range(10_000), []
+    monkeypatch.setattr(ipc, "MOST", 60_000)
+    monkeypatch.setattr(type(df), "toArrow", lambda self: collected.append(self))
+    with pytest.raises(ValueError, match="no message"):
+        to_ipc_b64(df)
+    assert not collected
+
+
 # --- pipelines
 
 
