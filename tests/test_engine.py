@@ -641,6 +641,12 @@ def test_messages(spark, db):
         run_datasets(EngineConfig(tables, (r.dataset,)), db)
 
 
+@pytest.mark.parametrize("value", [True, False])
+def test_truncate_table_first_is_refused(value):
+    with pytest.raises(TypeError, match="truncate_table_first"):
+        DatasetConfig.of({**STREAM, "delta_config": {"truncate_table_first": value}})
+
+
 @pytest.mark.parametrize("limit", [1, 3, 4, 100])
 def test_limited_messages_lose_nothing(spark, db, limit):
     readers().register_function("rows_reader", lambda p, t, a: spark.createDataFrame([(*r, p["name"], t) for r in p["rows"]], "id int, double_col double, varchar_col string, __path string, __created_at timestamp"), allow_overwrite=True)

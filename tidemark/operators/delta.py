@@ -42,7 +42,6 @@ class Policy:
     on_duplicate_key: str = "error"
     prefill_nulls_with_default: bool = False
     row_finality: str = "disabled"
-    truncate_table_first: bool = False
 
     def __post_init__(self) -> None:
         if self.on_duplicate_key not in ("error", "take_last", "take_first"):
