@@ -172,6 +172,74 @@ def test_pending_items(spark):
     assert sorted(r.item_id for r in got.collect()) == [1, 4, 6]
 
 
+def test_consume_gives_each_record_once_to_two_runs(spark):
+    log = CommitLog(spark, scratch(spark, "c"))
+    src, out, other = (VersionedTable(log, n) for n in ("src", "out", "other"))
+    src.commit(add=spark.range(5).toDF("id"))
+    take = lambda d: d.where("__change = 'insert'").select("id")
+
+    def overtaken(d):
+        src.consume("job", take, out)
+        return take(d)
+
+    with pytest.raises(CommitConflict):
+        src.consume("job", overtaken, out)
+    assert sorted(r.id for r in out.read().collect()) == list(range(5)) and src.consume("job", take, out) is None
+
+    def beside(d):  # commits of others in between stay, and so does this run's
+        other.commit(add=spark.range(2).toDF("id"))
+        src.consume("another", take, other)
+        return take(d)
+
+    src.commit(add=spark.range(5, 7).toDF("id"))
+    assert src.consume("job", beside, out)
+    assert sorted(r.id for r in out.read().collect()) == list(range(7)) and other.read().count() == 9
+    assert src.processed("job") == 3 and src.processed("another") == 4
+
+
+def test_consume_survives_failure_before_its_commit(spark, monkeypatch):
+    log = CommitLog(spark, scratch(spark, "c"))
+    src, out = VersionedTable(log, "src"), VersionedTable(log, "out")
+    src.commit(add=spark.range(3).toDF("id"))
+
+    def lost(*a):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(log, "commit", lost)
+        with pytest.raises(OSError):
+            src.consume("job", lambda d: d.select("id"), out)
+    assert not out.exists() and src.processed("job") == 0
+    src.consume("job", lambda d: d.select("id"), out)
+    assert sorted(r.id for r in out.read().collect()) == [0, 1, 2]
+
+
+def test_deletion_vectors(spark):
+    for few in (True, False):
+        t = VersionedTable(CommitLog(spark, scratch(spark, "t")), "t")
+        t.commit(add=spark.range(0, 1000, 1, 3).toDF("id"))
+        t.commit(delete=t.scan().where("id % 3 = 0"))
+        t.commit(delete=t.scan().where("id % 5 = 0"))
+        assert sum(t._at(None)["dvs"].values()) < 40  # 64 positions to a row
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr("tidemark.store.deletions.BROADCAST_BYTES", 1 << 20 if few else 0)
+            assert sorted(r.id for r in t.read().collect()) == [i for i in range(1000) if i % 3 and i % 5]
+            assert sorted(r.id for r in t.changes(2, 3).collect()) == [i for i in range(1000) if i % 3 and not i % 5]
+
+
+def test_later_runs_read_only_the_delta(spark):
+    kinds = "item_id long, table_name string, data_source_type string, data_source string, data_source_ts timestamp, changed_ts timestamp"
+    log, runs = "table_name string, data_source_type string, data_source string, data_source_ts timestamp, upload_ts timestamp, run_id long", spark.createDataFrame([(1, "committed")], "run_id long, status string")
+    root, items = scratch(spark, "items"), [(i, "t", "dsv", f"s{i}", at(1), at(10)) for i in range(1, 5)]
+    audit = spark.createDataFrame([("t", "dsv", f"s{i}", at(1), at(20), 1) for i in (1, 2)], log)
+    run = lambda rows: sorted(r.item_id for r in pending_items(spark.createDataFrame(rows, kinds), audit, runs, root).collect())
+    assert run(items) == [3, 4] and run(items) == []
+    assert run([*items, (5, "t", "dsv", "s1", at(1), at(30)), (6, "t", "dsv", "s9", at(1), at(1))]) == [1, 6]
+    table = VersionedTable(CommitLog(spark, root), "items")
+    inputs = table.changes(table.processed("loader") - 2, table.processed("loader")).inputFiles()
+    assert inputs and table.read().count() == 5
+
+
 # --- error parse
 
 

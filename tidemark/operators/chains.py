@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.skew import HOT_ROWS, RANGE, apart, hot_keys, neighbour, neighbours, ranged
 from tidemark.session import stage
-from tidemark.store.versioned import FILE, POS, VersionedTable
+from tidemark.store.deletions import FILE, POS
+from tidemark.store.versioned import VersionedTable
 
 #: Open end of a version, 2038-01-19T03:14:07.999999 in microseconds.
 OPEN = 2147483647999999

@@ -21,7 +21,8 @@ from tidemark.operators.history import bulk_history
 from tidemark.operators.temporal import FROM, SENTINEL, TO, VALIDITY, TimeSlice, moment
 from tidemark.session import stage
 from tidemark.store.log import CommitLog
-from tidemark.store.versioned import FILE, POS
+from tidemark.store.rawsql import rewrite
+from tidemark.store.deletions import FILE, POS, without, write_vector
 from tidemark.types import cast_columns, literal
 from tidemark.utils import Clock, utc
 
@@ -67,7 +68,7 @@ class Transaction:
     def create(self, config: TableConfig) -> TableConfig:
         """Nothing if the table exists."""
         if not self.exists(config.full_name):
-            self.state["catalog"][config.full_name] = {"config": config.to_dict(), "current": [], "history": [], "dvs": [], "rows": 0, "dead": 0, "high": 0}
+            self.state["catalog"][config.full_name] = {"config": config.to_dict(), "current": [], "history": [], "dvs": {}, "rows": 0, "dead": 0, "high": 0}
         return self.config(config.full_name)
 
     def drop(self, name: str) -> None:
@@ -84,9 +85,9 @@ class Transaction:
             fields += [T.StructField(c, T.TimestampType()) for c in VALIDITY]
         return T.StructType(fields)
 
-    def _read(self, config: TableConfig, folders: list[str], dvs: Sequence[str] = (), located: bool = False) -> DataFrame:
+    def _read(self, config: TableConfig, folders: list[str], dvs: Mapping[str, int] | None = None, located: bool = False) -> DataFrame:
+        """dvs: deletion vectors with their numbers of rows."""
         schema = self._schema(config)
-        place = f"{FILE} string, {POS} bigint"
         if not folders:
             df = self.spark.createDataFrame([], schema)
             return df.select("*", F.lit("").alias(FILE), F.lit(0).cast("long").alias(POS)) if located else df
@@ -95,7 +96,7 @@ class Transaction:
             return df
         df = df.select("*", F.col("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(POS))
         if dvs:
-            df = df.join(self.spark.read.schema(place).parquet(*dvs), [FILE, POS], "left_anti")
+            df = without(df, list(dvs), sum(dvs.values()))
         return df.select(*schema.names, *([FILE, POS] if located else []))
 
     def live(self, name: str, located: bool = False) -> DataFrame:
@@ -125,11 +126,10 @@ class Transaction:
         history. grown, dead: by how many the live rows and those under deletion vectors become more."""
         e = self._entry(name)
         if live is not None:
-            e |= {"current": [self._write(name, live, "current")], "dvs": [], "dead": 0, "rows": 0}
+            e |= {"current": [self._write(name, live, "current")], "dvs": {}, "dead": 0, "rows": 0}
         if gone is not None:
             path = self._path(name, "dv")
-            gone.select(FILE, POS).write.parquet(path)
-            e["dvs"] = e["dvs"] + [path]
+            e["dvs"] = {**e["dvs"], path: write_vector(gone, path)}
         if append is not None:
             e["current"] = e["current"] + [self._write(name, append, "current")]
         if ended is not None:
@@ -144,11 +144,11 @@ class Transaction:
         """FOLDERS folders of one level, the newest, become one of the next level."""
         e, level = self._entry(name), lambda f: int(f.rsplit("-L", 1)[1])
         while (folders := e[kind]) and len(folders) >= FOLDERS and len({level(f) for f in folders[-FOLDERS:]}) == 1:
-            merged = self._read(self.config(name), folders[-FOLDERS:], e["dvs"] if kind == "current" else ())
+            merged = self._read(self.config(name), folders[-FOLDERS:], e["dvs"] if kind == "current" else None)
             e[kind] = folders[:-FOLDERS] + [self._write(name, merged, kind, level(folders[-1]) + 1)]
 
     def truncate(self, name: str) -> None:
-        self._entry(name).update({"current": [], "dvs": [], "rows": 0, "dead": 0})
+        self._entry(name).update({"current": [], "dvs": {}, "rows": 0, "dead": 0})
 
     def compact(self, name: str) -> None:
         """One folder each of live rows and of ended versions, without deletion vectors."""
@@ -217,8 +217,9 @@ class Transaction:
             self.put(name, append=out.where(live), gone=current if dead else None, ended=ended, grown=n[2] - dead, dead=dead)
         return ops.Counts(inserts=n[0], deletions=n[1])
 
-    def check(self, name: str, rows: DataFrame) -> None:
-        """ValueError if rows break the table's constraints: nulls, repeated keys, unknown parents, texts too long."""
+    def check(self, name: str, rows: DataFrame, added: bool = False) -> None:
+        """ValueError if rows break the table's constraints: nulls, repeated keys, unknown parents, texts too long.
+        added: the rows come to those that are there, of which only the keys are read and looked up."""
         config = self.config(name)
         needed = [f.name for f in config.fields if not f.nullable and f.name in rows.columns]
         if needed:
@@ -234,6 +235,8 @@ class Transaction:
         for cols in [list(config.primary_keys), *config.unique_sets]:
             if cols and set(cols) <= set(rows.columns):
                 twice = rows.dropna(subset=cols).groupBy(*cols).count().where("count > 1").limit(1).collect()
+                if not twice and added and self._entry(name)["current"]:
+                    twice = self.live(name).select(*cols).join(rows.select(*cols), cols, "left_semi").limit(1).collect()
                 if twice:
                     raise ValueError(f"{name}: duplicate {cols}: {[twice[0][c] for c in cols]}")
         for fk in config.foreign_keys:
@@ -270,6 +273,18 @@ class Database:
 
     # --- definition
 
+    def create_schema(self, schema: str) -> None:
+        """Nothing if the schema exists. Tables of schemas that were not made are taken too."""
+        tx = self.begin()
+        if schema not in tx.state.setdefault("schemas", []):
+            tx.state["schemas"] = sorted([*tx.state["schemas"], schema])
+            tx.commit()
+
+    def schemas(self) -> list[str]:
+        """Schemas made and those of the tables there are."""
+        state = self.begin().state
+        return sorted({*state.get("schemas", ()), *(n.split(".", 1)[0] for n in state["catalog"])})
+
     def create(self, config: TableConfig) -> None:
         self.create_all(TableConfigs([config]))
 
@@ -330,20 +345,20 @@ class Database:
 
     def from_raw_sql(self, query: str, schema_overrides: Mapping[str, T.DataType] | None = None) -> DataFrame:
         """SQL over tables named schema.table. Validity columns show only if the query names them; a table may be
-        followed by FOR SYSTEM_TIME ALL or FOR SYSTEM_TIME AS OF 'time'."""
-        tx, wants = self.begin(), "__valid_" in query
-        for full in sorted(tx.state["catalog"], key=len, reverse=True):
-            pattern = re.compile(rf"(?<![\w.`]){re.escape(full)}(?!\w)(\s+FOR\s+SYSTEM_TIME\s+(?:ALL|AS\s+OF\s+(?:TIMESTAMP\s*)?'([^']*)'))?", re.I)
-
-            def view(m: re.Match, full: str = full) -> str:
-                s = TimeSlice() if not m.group(1) else TimeSlice("all") if m.group(2) is None else TimeSlice("asof", datetime.fromisoformat(m.group(2)))
-                df = tx.versions(full, s)
-                name = f"tm_{full.replace('.', '_')}_{uuid.uuid4().hex[:8]}"
-                (df if wants else df.drop(*VALIDITY)).createOrReplaceTempView(name)
-                return name
-
-            query = pattern.sub(view, query)
-        return self.from_selectable(self.spark.sql(query), schema_overrides)
+        followed by FOR SYSTEM_TIME ALL or FOR SYSTEM_TIME AS OF 'time'. Only names where a table stands, and those that
+        qualify a column, are read as tables: literals, comments and other names stay as they are."""
+        tx = self.begin()
+        text, tables, names = rewrite(query, tx.state["catalog"])
+        wants, tag = any(n.startswith("__valid_") for n in names), uuid.uuid4().hex[:12]
+        views = {v: f"{v}_{tag}" for v in tables}
+        try:
+            for v, (full, at) in tables.items():
+                df = tx.versions(full, at)
+                (df if wants else df.drop(*VALIDITY)).createOrReplaceTempView(views[v])
+            return self.from_selectable(self.spark.sql(text.format_map(views)), schema_overrides)
+        finally:
+            for v in views.values():
+                self.spark.catalog.dropTempView(v)
 
     def table_query(self, schema: str, name: str, query_df: DataFrame, column_selection: Sequence[str] | None = None, time_slice: TimeSlice = TimeSlice()) -> DataFrame:
         """The table's rows, in the slice, whose values equal those of some row of query_df in all of its columns. Nulls
@@ -389,7 +404,7 @@ class Database:
         if clear_table_first:
             tx.truncate(full)
         if validate:
-            tx.check(full, tx.live(full).select(*config.names).unionByName(rows.select(*config.names)))
+            tx.check(full, rows.select(*config.names), added=not clear_table_first)
         n = rows.count()
         if n:
             tx.put(full, append=rows, grown=n)

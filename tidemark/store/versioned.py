@@ -10,23 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.store.log import CommitLog, files_below
+from tidemark.session import remove
+from tidemark.store.deletions import FILE, POS, within, without, write_vector
+from tidemark.store.log import CommitConflict, CommitLog, files_below
 
-#: Where a record lies: names of the columns that scan() adds.
-FILE, POS = "__file", "__pos"
 CHANGE = "__change"
-DV = f"{FILE} string, {POS} bigint"
+#: How often a finished run looks for a free commit number while other tables of the log are written.
+TRIES = 100
 
 
 class VersionedTable:
-    """A table whose versions are manifests in log. A version lists data files and folders of deletion vectors
-    (file, position of each deleted record); neither is ever rewritten."""
+    """A table whose versions are manifests in log. A version lists data files and deletion vectors with their number of
+    rows; neither is ever rewritten."""
 
     def __init__(self, log: CommitLog, name: str):
         self.log, self.name, self.spark = log, name, log.spark
 
+    def _entry(self, state: dict[str, Any]) -> dict[str, Any]:
+        return {"files": [], "dvs": {}, "schema": None, **state.get("tables", {}).get(self.name, {})}
+
     def _at(self, version: int | None) -> dict[str, Any]:
-        return self.log.read(version).get("tables", {}).get(self.name, {"files": [], "dvs": [], "schema": None})
+        return self._entry({} if version == 0 else self.log.read(version))
 
     def _scan(self, files: list[str], schema: T.StructType) -> DataFrame:
         if not files:
@@ -34,9 +38,6 @@ class VersionedTable:
         df = self.spark.read.schema(schema).parquet(*files)
         return df.select(*schema.names, F.col("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(POS))
 
-    def _deleted(self, dvs: list[str]) -> DataFrame | None:
-        return self.spark.read.schema(DV).parquet(*dvs) if dvs else None
-
     def schema(self, version: int | None = None) -> T.StructType:
         s = self._at(version)["schema"]
         if s is None:
@@ -48,14 +49,21 @@ class VersionedTable:
 
     def scan(self, version: int | None = None) -> DataFrame:
         """The records of a version (None: the last) with FILE and POS."""
+        version = self.log.latest() if version is None else version
         at = self._at(version)
-        df = self._scan(at["files"], self.schema(version))
-        gone = self._deleted(at["dvs"])
-        return df if gone is None else df.join(gone, [FILE, POS], "left_anti")
+        return without(self._scan(at["files"], self.schema(version)), list(at["dvs"]), sum(at["dvs"].values()))
 
     def read(self, version: int | None = None) -> DataFrame:
+        """The records of a version; without deletion vectors a plain scan."""
+        version = self.log.latest() if version is None else version
+        at = self._at(version)
+        if at["files"] and not at["dvs"]:
+            return self.spark.read.schema(self.schema(version)).parquet(*at["files"])
         return self.scan(version).drop(FILE, POS)
 
+    def _folder(self, n: int) -> str:
+        return f"{self.log.root}/{self.name}/{n:08d}-{uuid.uuid4().hex}"
+
     def commit(self, add: DataFrame | None = None, delete: DataFrame | None = None, replace: bool = False, also: dict[str, Any] | None = None) -> int:
         """A version with add's rows more and the records in delete (FILE, POS) less; replace starts from nothing.
 
@@ -64,20 +72,20 @@ class VersionedTable:
         """
         n = self.log.latest()
         state = self.log.read(n)
-        at = {**self._at(n)}
+        at = self._entry(state)
         if replace:
-            at |= {"files": [], "dvs": []}
-        where = f"{self.log.root}/{self.name}/{n + 1:08d}-{uuid.uuid4().hex}"
+            at |= {"files": [], "dvs": {}}
+        where = self._folder(n + 1)
         if add is not None:
             if at["schema"] is None or replace:
                 at["schema"] = add.schema.jsonValue()
             add.select(*T.StructType.fromJson(at["schema"]).names).write.parquet(f"{where}/data")
             at["files"] = at["files"] + files_below(self.spark, f"{where}/data")
         if delete is not None:
-            delete.select(FILE, POS).write.parquet(f"{where}/dv")
-            at["dvs"] = at["dvs"] + [f"{where}/dv"]
-        state = {**state, **(also or {}), "tables": {**state.get("tables", {}), self.name: at}}
-        return self.log.commit(n + 1, state)
+            rows = write_vector(delete, f"{where}/dv")
+            if rows:
+                at["dvs"] = {**at["dvs"], f"{where}/dv": rows}
+        return self.log.commit(n + 1, {**state, **(also or {}), "tables": {**state.get("tables", {}), self.name: at}})
 
     def changes(self, after: int, upto: int | None = None) -> DataFrame:
         """Record deltas between two versions, with CHANGE insert or delete, from their manifests alone.
@@ -86,39 +94,58 @@ class VersionedTable:
         not deleted since are inserts, of removed files those not deleted before are deletes. after 0 is the empty table.
         """
         upto = self.log.latest() if upto is None else upto
-        a, b = (self._at(after) if after else {"files": [], "dvs": []}), self._at(upto)
+        a, b = self._at(after), self._at(upto)
         schema = self.schema(upto)
         old, new = set(a["files"]), set(b["files"])
-        before, now = self._deleted(a["dvs"]), self._deleted(b["dvs"])
-        fresh = self._deleted([d for d in b["dvs"] if d not in set(a["dvs"])])
-
-        def less(df: DataFrame, gone: DataFrame | None) -> DataFrame:
-            return df if gone is None else df.join(gone, [FILE, POS], "left_anti")
-
-        parts = [less(self._scan(sorted(new - old), schema), now).withColumn(CHANGE, F.lit("insert"))]
+        less = lambda df, dvs: without(df, list(dvs), sum(dvs.values()))
+        fresh = {d: n for d, n in b["dvs"].items() if d not in a["dvs"]}
+        parts = [less(self._scan(sorted(new - old), schema), b["dvs"]).withColumn(CHANGE, F.lit("insert"))]
         if old - new:
-            parts.append(less(self._scan(sorted(old - new), schema), before).withColumn(CHANGE, F.lit("delete")))
-        if fresh is not None and old & new:
-            kept = self._scan(sorted(old & new), schema)
-            parts.append(less(kept.join(fresh.distinct(), [FILE, POS], "left_semi"), before).withColumn(CHANGE, F.lit("delete")))
+            parts.append(less(self._scan(sorted(old - new), schema), a["dvs"]).withColumn(CHANGE, F.lit("delete")))
+        if fresh and old & new:
+            gone = within(self._scan(sorted(old & new), schema), list(fresh), sum(fresh.values()))
+            parts.append(less(gone, a["dvs"]).withColumn(CHANGE, F.lit("delete")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
-    def processed(self, consumer: str) -> int:
+    def _consumer(self, consumer: str) -> str:
+        return f"{self.name}/{consumer}"
+
+    def processed(self, consumer: str, version: int | None = None) -> int:
         """The version that consumer has processed."""
-        return self.log.read().get("consumers", {}).get(f"{self.name}/{consumer}", 0)
+        return self.log.read(version).get("consumers", {}).get(self._consumer(consumer), 0)
 
     def consume(self, consumer: str, transform: Callable[[DataFrame], DataFrame], output: "VersionedTable") -> int | None:
         """Gives transform the records changed since consumer's processed version and commits its result to output
-        together with the version now processed: one manifest, so a run that fails at any point has done nothing and
-        the next one gets the same records, and no record comes twice. None if nothing is new.
+        together with the version now processed. None if nothing is new.
+
+        Both are in one manifest, so a run that fails at any point has done nothing and the next one gets the same
+        records. Two runs of one consumer: the one that commits second finds the processed version moved, takes its
+        files away and raises CommitConflict, so no record comes twice. Commits of other tables and consumers in between
+        are kept: the result is then committed on top of them.
         """
-        done, head = self.processed(consumer), self.log.latest()
-        a, b = (self._at(done) if done else {"files": [], "dvs": []}), self._at(head)
+        base = self.log.latest()
+        done = self.processed(consumer, base)
+        a, b = self._at(done), self._at(base)
         if (a["files"], a["dvs"]) == (b["files"], b["dvs"]):
             return None
-        result = transform(self.changes(done, head))
-        consumers = {**self.log.read().get("consumers", {}), f"{self.name}/{consumer}": head}
-        return output.commit(add=result, also={"consumers": consumers})
+        result = transform(self.changes(done, base))
+        where = output._folder(base + 1)
+        result.write.parquet(f"{where}/data")
+        files = files_below(self.spark, f"{where}/data")
+        for _ in range(TRIES):
+            n = self.log.latest()
+            state = self.log.read(n)
+            consumers = state.get("consumers", {})
+            if consumers.get(self._consumer(consumer), 0) != done:
+                break
+            at = output._entry(state)
+            at |= {"files": at["files"] + files, "schema": at["schema"] or result.schema.jsonValue()}
+            try:
+                return self.log.commit(n + 1, {**state, "consumers": {**consumers, self._consumer(consumer): base}, "tables": {**state.get("tables", {}), output.name: at}})
+            except CommitConflict:
+                continue
+        remove(self.spark, where)
+        raise CommitConflict(f"another run of {consumer} was committed first")
