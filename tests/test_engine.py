@@ -30,7 +30,7 @@ from tidemark.sources.ipc import arrow_size, from_ipc_b64, to_ipc_b64
 from tidemark.sources.ziptools import convert_zipped_csvs_to_parquet, read_zipfile
 from tidemark.store.log import CommitConflict
 from tidemark.store.tables import Database
-from tidemark.streaming.messages import MessageDataSource, StreamMissing, decode_json, message_batches, start_stream
+from tidemark.streaming.messages import JetStreamClient, MessageDataSource, StreamMissing, decode_json, message_batches, start_stream
 from tidemark.streaming.tracker import UpdateTracker
 from tidemark.types import cast, literal, spark_type, sql_type, text_length
 from tidemark.utils import Clock, NonRetryable, as_sql_date, as_sql_datetime, flatten_list, is_text_type, load_yaml, nested, strip_outer_quotes
@@ -286,6 +286,36 @@ ALL_TYPES = [
 ]
 
 
+def test_raw_sql_reads_names_only_where_tables_stand(spark, db):
+    db.create(TableConfig.of({"schema": "shop", "name": "o", "primary_keys": ["k"], "columns": [{"name": "k", "data_type": "INT"}, {"name": "v", "data_type": "VARCHAR(20)"}]}))
+    db.table_insert(spark.createDataFrame([(1, "shop.o"), (2, "{x}")], "k int, v string"), "shop", "o")
+    ask = lambda q: [tuple(r) for r in db.from_raw_sql(q).collect()]
+    assert ask("select k from shop.o where v = 'shop.o'") == [(1,)]
+    assert ask('select k /* from shop.o /* nested */ */ from `shop`.O -- shop.o\n where v = "{x}"') == [(2,)]
+    assert ask("select shop.o.k, b.k from shop.o, shop.o b where shop.o.k < b.k") == [(1, 2)]
+    assert ask("select shop.o from (select 7 as o) shop") == [(7,)]
+    assert ask("with t as (select * from (shop.o join (select 2 as k) x using (k))) select v, '__valid_from' from t") == [("{x}", "__valid_from")]
+    assert ask("select count(*) from shop.o where k is distinct from 1 and v <> 'it''s shop.o'") == [(1,)]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tm_")]
+
+
+def test_inserts_look_up_only_their_keys(spark, db):
+    db.create(TableConfig.of({"schema": "shop", "name": "u", "primary_keys": ["k"], "columns": [{"name": "k", "data_type": "INT"}, {"name": "v", "data_type": "INT", "unique_constraint": ["one"]}]}))
+    add = lambda *rows: db.table_insert(spark.createDataFrame(list(rows), "k int, v int"), "shop", "u")
+    assert add((1, 10), (2, None)) == 2 and add((3, None)) == 1
+    for bad in ([(3, 30)], [(4, 10)], [(4, 40), (5, 40)]):
+        with pytest.raises(ValueError, match="duplicate"):
+            add(*bad)
+    assert db.row_count("shop", "u") == 3 and db.table_insert(spark.createDataFrame([(3, 10)], "k int, v int"), "shop", "u", clear_table_first=True) == 1
+
+
+def test_schemas(spark, db):
+    db.create_schema("one")
+    db.create_schema("one")
+    db.create(TableConfig.of({**SIMPLE, "schema": "two"}))
+    assert db.schemas() == ["one", "two"]
+
+
 def test_all_column_types(spark, db):
     columns = [{"name": "id", "data_type": "INT"}, *({"name": n, "data_type": t, "default_value": v} for n, t, v in ALL_TYPES)]
     db.create(TableConfig.of({"schema": "s", "name": "all", "is_temporal": True, "primary_keys": ["id"], "columns": columns}))
@@ -421,7 +451,7 @@ def test_find_files(spark, tmp_path):
     assert len(got) == 6 and {r.t for r in got} == {int(datetime(2023, 1, 1, 20, 0, 1, tzinfo=timezone.utc).timestamp() * 1e6)}
     assert find_files(spark, [{**spec, "max_depth": 2}]).count() == 2 and find_files(spark, [{**spec, "dir_include": ["three"]}]).count() == 2
     assert find_files(spark, [{**spec, "root_path": f"file://{tmp_path}", "timestamp": {"method": "mtime"}}]).count() == 6
-    assert file_time("/x/20240203_040506.csv", {"method": "regex", "pattern": r".*/(?P<y>\d{4})(?P<m>\d\d)(?P<d>\d\d)_(?P<H>\d\d)(?P<M>\d\d)(?P<S>\d\d)", "source_tz": "Europe/London"}) == datetime(2024, 2, 3, 4, 5, 6, tzinfo=timezone.utc)
+    assert file_time("/x/20240203_040506.csv", {"method": "regex", "datetime_regex": r".*/(?P<y>\d{4})(?P<m>\d\d)(?P<d>\d\d)_(?P<H>\d\d)(?P<M>\d\d)(?P<S>\d\d)", "source_tz": "Europe/London"}) == datetime(2024, 2, 3, 4, 5, 6, tzinfo=timezone.utc)
     with pytest.raises(ValueError):
         file_time("x", {"method": "guess"})
 
@@ -484,7 +514,7 @@ datasets:
     scrape_limit: ~
     input_config:
       type: dsv
-      search_paths: [ { root_path: data, file_include: ['*.csv'], timestamp: { method: regex, pattern: '.*/(?P<y>[0-9]{4})-(?P<m>[0-9]{2})-(?P<d>[0-9]{2})', source_tz: ${ZONE} } } ]
+      search_paths: [ { root_path: data, file_include: ['*.csv'], timestamp: { method: regex, datetime_regex: '.*/(?P<y>[0-9]{4})-(?P<m>[0-9]{2})-(?P<d>[0-9]{2})', source_tz: ${ZONE} } } ]
     time_partition: { column: time, bucket_interval: 1d, bucket_strategy: round_down, unique_strategy: last }
     delta_config: { drop_unchanged_rows: true, on_duplicate_key: take_last }
     pipeline:
@@ -666,6 +696,91 @@ def test_limited_messages_lose_nothing(spark, db, limit):
     assert [naks[t] for t in sorted(naks)] == {1: [0, 1, 2], 3: [0, 1, 2], 4: [0, 0, 1], 100: [0, 0, 0]}[limit]
 
 
+class Returns:
+    """Messages come again until they are acknowledged."""
+
+    def __init__(self, *mails):
+        self.mails = list(mails)
+
+    def fetch(self, *a):
+        return [m for m in self.mails if m.state[-1:] != ["ack"]]
+
+
+@pytest.mark.parametrize("how", ["load", "reject"])
+def test_late_messages_are_not_lost(spark, db, how):
+    readers().register_function("rows_reader", lambda p, t, a: spark.createDataFrame([(*r, p["name"], t) for r in p["rows"]], "id int, double_col double, varchar_col string, __path string, __created_at timestamp"), allow_overwrite=True)
+    tables = TableConfigs([{**SIMPLE, "is_temporal": False}])
+    db.create_all(tables)
+    r = DatasetRunner(db, DatasetConfig.of({**STREAM, "input_config": {**STREAM["input_config"], "late_messages": how}}), tables)
+    mail = lambda name, day, *rows: Mail({"name": name, "rows": [list(x) for x in rows]}, day)
+    five = mail("a", 5, (1, 5.0, "x"))
+    r.run(message_batches(r, Returns(five)), wait=0)
+    # two older than what was loaded, and one that is there
+    three, four, again = mail("b", 3, (2, 3.0, "y")), mail("d", 4, (3, 4.0, None)), mail("a", 5, (1, 99.0, "z"))
+    six = mail("c", 6, (4, 6.0, "w"))
+    r.run(message_batches(r, Returns(three, four, again, six)), wait=0)
+    assert all(m.state == ["ack"] for m in (five, three, four, again, six))
+    got = {x.id: x.double_col for x in db.from_table("test", "simple").collect()}
+    assert got == ({1: 5.0, 2: 3.0, 3: 4.0, 4: 6.0} if how == "load" else {1: 5.0, 4: 6.0})
+    assert r.audit.rows().count() == 4  # also of the rejected ones: they don't come again
+    assert db.table_exists("test", "feed__late") == (how == "reject")
+    if how == "reject":
+        late = [(x.path, json.loads(x.row)) for x in db.from_table("test", "feed__late").orderBy("path").collect()]
+        assert late == [("b", {"id": 2, "double_col": 3.0, "varchar_col": "y"}), ("d", {"id": 3, "double_col": 4.0})]
+    with pytest.raises(ValueError):
+        DatasetConfig.of({**STREAM, "input_config": {**STREAM["input_config"], "late_messages": "drop"}})
+
+
+def test_jetstream_client(spark, db):
+    import asyncio
+    import threading
+    from types import SimpleNamespace
+
+    class Gone(Exception):
+        pass
+
+    log = []
+
+    class Server:
+        """Stands in for a context: the stream appears at the second attempt, holds two messages, then times out."""
+
+        tries = 0
+        left = [(b"1", y(2020)), (b"2", y(2021))]
+
+        async def pull_subscribe(self, **a):
+            self.tries += 1
+            if self.tries == 1:
+                raise Gone
+            log.append(a)
+            return self
+
+        async def fetch(self, n, timeout):
+            if not self.left:
+                raise asyncio.TimeoutError
+            out, self.left = self.left[:n], self.left[n:]
+
+            def message(data, t):
+                async def said(what):
+                    log.append((data, what))
+
+                return SimpleNamespace(data=data, metadata=SimpleNamespace(timestamp=t), ack=lambda: said("ack"), nak=lambda: said("nak"))
+
+            return [message(*m) for m in out]
+
+    loop = asyncio.new_event_loop()
+    threading.Thread(target=loop.run_forever, daemon=True).start()
+    c = JetStreamClient(Server(), loop, consumer_config=lambda **k: k, not_found=Gone)
+    c.configure({"options": {"pending_bytes_limit": 9}, "consumer_args": {"max_ack_pending": 5}})
+    with pytest.raises(StreamMissing):
+        c.fetch("s", "x", "d", 1, 0.1)
+    first, = c.fetch("s", "x", "d", 1, 0.1)
+    second, = c.fetch("s", "x", "d", 1, 0.1)
+    first.ack(), second.nak()
+    assert c.fetch("s", "x", "d", 1, 0.1) == [] and (second.data, second.time) == (b"2", y(2021))
+    assert log == [{"subject": "x", "durable": "d", "stream": "s", "config": {"max_ack_pending": 5}, "pending_bytes_limit": 9}, (b"1", "ack"), (b"2", "nak")]
+    loop.call_soon_threadsafe(loop.stop)
+
+
 def test_structured_stream(spark, db, tmp_path):
     tables = TableConfigs([{**SIMPLE, "is_temporal": False}])
     db.create_all(tables)
@@ -739,5 +854,5 @@ def test_dead_rows_and_small_folders_are_tidied(spark, db, monkeypatch):
     tx.compact("test.simple")
     tx.commit()
     e = db.begin()._entry("test.simple")
-    assert (len(e["current"]), len(e["history"]), e["dvs"], e["rows"]) == (1, 1, [], 10)
+    assert (len(e["current"]), len(e["history"]), e["dvs"], e["rows"]) == (1, 1, {}, 10)
     assert seen(db.from_table("test", "simple")) == want and db.row_count("test", "simple") == 10

@@ -263,7 +263,8 @@ class TimePartition:
 
 @dataclass(frozen=True)
 class InputConfig:
-    """Where a dataset comes from: type dsv (search_paths) or nats-jetstream (jetstream, payload_ingest, run_until)."""
+    """Where a dataset comes from: type dsv (search_paths) or nats-jetstream (jetstream, payload_ingest, run_until).
+    late_messages: load, or reject for items older than the newest audited one to go to the dataset's reject table."""
 
     type: str
     search_paths: tuple[Mapping[str, Any], ...] = ()
@@ -272,6 +273,7 @@ class InputConfig:
     jetstream: Mapping[str, Any] = field(default_factory=dict)
     payload_ingest: Mapping[str, Any] = field(default_factory=dict)
     run_until: str = "empty"
+    late_messages: str = "load"
     options: Mapping[str, Any] = field(default_factory=dict)
 
     @classmethod
@@ -280,13 +282,15 @@ class InputConfig:
             raise ValueError(f"unsupported input type {d.get('type')}")
         if d.get("run_until", "empty") not in ("empty", "forever"):
             raise ValueError(f"unknown run_until {d['run_until']}")
+        if d.get("late_messages", "load") not in ("load", "reject"):
+            raise ValueError(f"unknown late_messages {d['late_messages']}")
         paths = []
         for p in d.get("search_paths") or ():
             root = p["root_path"]
             if not os.path.isabs(root) and "://" not in root and not root.startswith("file:"):
                 root = os.path.abspath(os.path.join(os.path.dirname(base) if base else os.getcwd(), root))
             paths.append({**p, "root_path": root})
-        known = {k: d[k] for k in ("filter_past_events", "delimiter", "jetstream", "payload_ingest", "run_until") if d.get(k) is not None}
+        known = {k: d[k] for k in ("filter_past_events", "delimiter", "jetstream", "payload_ingest", "run_until", "late_messages") if d.get(k) is not None}
         return cls(d["type"], tuple(paths), options={k: v for k, v in d.items() if k not in known and k not in ("type", "search_paths")}, **known)
 
 

@@ -23,6 +23,17 @@ def filter_items(items: DataFrame, log: DataFrame, table_name: str, source: str
     return fresh.where(F.unix_micros(ts) >= newest)
 
 
+def unaudited(items: DataFrame, log: DataFrame, table_name: str, source: str = "__path") -> tuple[DataFrame, int | None]:
+    """(the distinct items whose source the table's log doesn't have, the newest time it has in microseconds).
+
+    Unlike filter_items nothing is left out for being old: a source that the log lacks was never loaded. A null source is
+    one like others.
+    """
+    mine = log.where(F.col("table_name") == table_name)
+    done = mine.select(F.col("data_source").alias("__s"))
+    return items.distinct().join(done, F.col(source).eqNullSafe(F.col("__s")), "left_anti"), _edge(mine, F.max)
+
+
 def _edge(log: DataFrame, pick) -> int | None:
     return log.agg(pick(F.unix_micros("data_source_ts"))).first()[0]
 

@@ -64,6 +64,9 @@ class AuditLog:
     def filter_items(self, items: DataFrame, table_name: str, source: str = "__path", ts: str = "__created_at") -> DataFrame:
         return audit.filter_items(items, self.rows(), table_name, source, ts)
 
+    def unaudited(self, items: DataFrame, table_name: str) -> tuple[DataFrame, int | None]:
+        return audit.unaudited(items, self.rows(), table_name)
+
     def prevalidate_new_items(self, items: DataFrame, table_name: str, strict: bool = False) -> None:
         """NonRetryable if an item is no newer than the earliest entry (strict: the latest)."""
         late = audit.late_items(items, self.rows(), table_name, strict=strict).limit(1).collect()

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config.model import DatasetConfig, EngineConfig, IngestColumn, PipelineItem, TableConfigs
+from tidemark.config.model import DatasetConfig, EngineConfig, IngestColumn, PipelineItem, TableConfig, TableConfigs
 from tidemark.functions.registry import transforms
 from tidemark.operators import delta as ops
 from tidemark.operators.foreign_keys import deduce_keys
@@ -40,6 +40,7 @@ class Batch:
     sources: Sequence[tuple[str, str, datetime]] = ()  # (type, source, time) for the audit log
     done: Callable[[], None] = lambda: None
     failed: Callable[[], None] = lambda: None
+    rejects: DataFrame | None = None  # rows that go to the dataset's reject table instead, with __path and __created_at
 
 
 def apply_transformations(df: DataFrame, columns: Sequence[IngestColumn]) -> DataFrame:
@@ -159,6 +160,24 @@ class DatasetRunner:
         counts = tx.merge_all(table.full_name, delta, BUCKET, ops.Policy(on_duplicate_key="take_last", row_finality=self.dataset.delta_config.row_finality), columns)
         return delta, ops.Counts(counts.inserts + made, counts.updates, counts.deletions)
 
+    @property
+    def reject_table(self) -> TableConfig:
+        """Where rows of late messages go under late_messages: reject, each as JSON with its source."""
+        text = lambda n: {"name": n, "data_type": "TEXT"}
+        times = [{"name": n, "data_type": "DATETIME"} for n in ("created_at", "rejected_at")]
+        return TableConfig.of({"schema": self.audit.schema, "name": f"{self.dataset.name}__late", "primary_keys": [], "columns": [text("path"), times[0], text("row"), times[1]]})
+
+    def reject(self, tx: Transaction, rows: DataFrame) -> int:
+        """Adds rows to the reject table in the transaction that records their source; returns how many."""
+        config = tx.create(self.reject_table)
+        data = [c for c in rows.columns if c not in ("__path", "__created_at")]
+        out = stage(rows.select(F.col("__path").alias("path"), F.col("__created_at").alias("created_at"), F.to_json(F.struct(*(f"`{c}`" for c in data))).alias("row"), moment(None).alias("rejected_at")), "late")
+        n = out.count()
+        if n:
+            tx.put(config.full_name, append=out, grown=n)
+            LOG.warning("%s: %d rows of late messages went to %s", self.dataset.name, n, config.full_name)
+        return n
+
     def run(self, batches: Iterator[Batch], attempts: int = ATTEMPTS, wait: float = WAIT, capture: list | None = None) -> int:
         """All batches, each one transaction with its audit rows; what follows a commit comes after it."""
         n = 0
@@ -166,6 +185,8 @@ class DatasetRunner:
 
             def work(tx: Transaction, batch: Batch = batch) -> None:
                 changed = self.load(tx, batch)
+                if batch.rejects is not None:
+                    self.reject(tx, batch.rejects)
                 entries = [(t.split(".", 1)[1], *s) for t in changed for s in batch.sources]
                 if entries:
                     self.audit.add_entries(entries, tx)

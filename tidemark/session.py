@@ -20,6 +20,10 @@ DEFAULTS = {
 }
 
 
+#: Settings of show_whole.
+DISPLAY = {"spark.sql.repl.eagerEval.enabled": "true", "spark.sql.repl.eagerEval.maxNumRows": "1000", "spark.sql.repl.eagerEval.truncate": "1000"}
+
+
 def build(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with DEFAULTS, then conf (dots written as in Spark)."""
     b = SparkSession.builder.appName(app)
@@ -31,9 +35,12 @@ def build(app: str = "tidemark", master: str | None = None, **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset (tests, one machine) a temporary folder is set and used."""
+    """The folder in spark.checkpoint.dir. Only where that is unset and all of Spark runs on this machine, a temporary folder
+    is set and used; on a cluster, whose machines would each have one of their own, that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         d = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
@@ -45,6 +52,12 @@ def jpath(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def show_whole(spark: SparkSession) -> None:
+    """Notebooks and the shell show rows of any width and texts whole, without an action being asked for."""
+    for k, v in DISPLAY.items():
+        spark.conf.set(k, v)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = jpath(spark, path)
     fs.delete(p, True)

@@ -19,7 +19,7 @@ MAX_DEPTH = 4
 
 
 def file_time(path: str, spec: Mapping[str, Any], modified: float | None = None) -> datetime:
-    """When a file was made, in UTC. spec: method regex (groups y, m, d and maybe H, M, S, u, matched from the path's
+    """When a file was made, in UTC. spec: method regex (datetime_regex with groups y, m, d and maybe H, M, S, u, matched from the path's
     start), manual (datetime) or mtime (modified, seconds since 1970); source_tz is the zone of the first two."""
     zone = ZoneInfo(spec.get("source_tz") or "UTC")
     method = spec.get("method")
@@ -29,9 +29,9 @@ def file_time(path: str, spec: Mapping[str, Any], modified: float | None = None)
         t = spec["datetime"]
         t = datetime.fromisoformat(t) if isinstance(t, str) else t
     elif method == "regex":
-        m = re.match(spec["pattern"], path)
+        m = re.match(spec["datetime_regex"], path)
         if m is None:
-            raise ValueError(f"{path} doesn't match {spec['pattern']}")
+            raise ValueError(f"{path} doesn't match {spec['datetime_regex']}")
         g = m.groupdict()
         t = datetime(*(int(g[k]) for k in "ymd"), *(int(g.get(k) or 0) for k in "HMS"), int((g.get("u") or "0").ljust(6, "0")[:6]))
     else:

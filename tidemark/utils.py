@@ -59,7 +59,7 @@ def strip_outer_quotes(s: str) -> str:
 
 
 def is_text_type(t: str) -> bool:
-    return t.upper().split("(")[0].strip() in ("CHAR", "VARCHAR", "TEXT")
+    return t.upper().split("(")[0].strip() in ("CHAR", "VARCHAR", "TEXT", "TINYTEXT", "BLOB")
 
 
 def as_sql_date(d: date) -> str:
