@@ -11,7 +11,7 @@ from tidemark.functions.clean import clean_double, clean_text
 from tidemark.operators.chains import OPEN, build_chains, rebuild_chains
 from tidemark.operators.errparse import error_parse, header_of, loaded, parse_lines, parse_record, rejects, split_free
 from tidemark.operators.incremental import pending_items
-from tidemark.operators.skew import lookup_join, neighbour, ranged
+from tidemark.operators.skew import HOT_ROWS, apart, hot_keys, in_parts, lookup_join, neighbour, neighbours
 from tidemark.operators.skyline import survivors
 from tidemark.operators.snapshots import snapshot_chain, snapshot_changes
 from tidemark.session import scratch
@@ -42,9 +42,14 @@ def values():
 def test_neighbour_crosses_ranges(spark, hot_rows):
     rnd = random.Random(3)
     rows = [(rnd.choice(["a", "a", "a", "b", None]), i) for i in rnd.sample(range(10_000), 400)]
-    r = ranged(spark.createDataFrame(rows, "k string, n long"), ["k"], "n", hot_rows, 8)
-    assert r.hot == (hot_rows == 1)
-    r = neighbour(neighbour(r, ["n"], {"n": "n"}, 1, "nxt"), ["n"], {"n": "n"}, -1, "prv")
+    seen = []
+
+    def work(r):
+        seen.append(r.ranges)
+        return neighbour(apart(neighbour(r, ["n"], {"n": "n"}, 1, "nxt")), ["n"], {"n": "n"}, -1, "prv").df.select("k", "n", "nxt", "prv")
+
+    out = in_parts(spark.createDataFrame(rows, "k string, n long"), ["k"], "n", work, hot_rows)
+    assert [bool(x) for x in seen] == ([False, True] if hot_rows == 1 else [False])
     by = defaultdict(list)
     for k, n in rows:
         by[k].append(n)
@@ -53,7 +58,7 @@ def test_neighbour_crosses_ranges(spark, hot_rows):
         ns.sort()
         for p, n, x in zip([None, *ns], ns, [*ns[1:], None]):
             want[k, n] = (p, x)
-    got = {(r.k, r.n): (r.prv and r.prv.n, r.nxt and r.nxt.n) for r in r.df.collect()}
+    got = {(r.k, r.n): (r.prv and r.prv.n, r.nxt and r.nxt.n) for r in out.collect()}
     assert got == want
 
 
@@ -61,12 +66,41 @@ def test_neighbour_crosses_ranges(spark, hot_rows):
 def test_lookup_join_broadcasts_only_what_is_small(spark, most):
     big = spark.createDataFrame([(i % 3 if i % 7 else None, i) for i in range(100)], "k int, n int")
     small = spark.createDataFrame([(0, "a"), (1, "b"), (None, "c")], "k int, s string")
-    j = lookup_join(big, small, ["k"], ["n"], broadcast_bytes=most)
+    j = lookup_join(big, small, ["k"], broadcast_bytes=most)
     assert sorted((r.k, r.n, r.s) for r in j.collect()) == sorted((i % 3, i, "ab"[i % 3]) for i in range(100) if i % 7 and i % 3 < 2)
-    assert lookup_join(big, small, ["k"], ["n"], how="left", broadcast_bytes=most).count() == 100
+    assert lookup_join(big, small, ["k"], how="left", broadcast_bytes=most).count() == 100
     assert ("Broadcast" in j._jdf.queryExecution().toString()) == bool(most)
 
 
+def test_lookup_join_of_hot_keys(spark):
+    big = spark.createDataFrame([(0 if i % 2 else i % 50, i) for i in range(1000)], "k int, n int")
+    small = spark.createDataFrame([(i, str(i)) for i in range(40)], "k int, s string")
+    for how in ("inner", "left", "left_semi"):
+        j = lookup_join(big, small, ["k"], how, broadcast_bytes=200, hot_rows=100)
+        assert "Broadcast" in j._jdf.queryExecution().toString() and "SortMergeJoin" in j._jdf.queryExecution().toString()
+        assert sorted(map(repr, j.collect())) == sorted(map(repr, big.join(small, "k", how).collect()))
+
+
+@pytest.mark.parametrize("hot,share", [(300, 0), (1, 0.1), (1, 0.34)])
+def test_all_hot_keys_are_cut_into_ranges(spark, hot, share):
+    """300 hot keys, or one with a tenth or a third of all rows: no range of a key has more than HOT rows."""
+    most, n = 100, 30_000 if hot == 1 else hot * 130
+    rows = spark.range(n).select(F.when(F.col("id") < n * share, 0).otherwise(F.col("id") % (hot if hot > 1 else n)).alias("k"), F.col("id").alias("n"))
+    seen = []
+
+    def work(r):
+        w = neighbours(r, ["n"], [({"n": "n"}, 1, "nxt"), ({"n": "n"}, -1, "prv")])
+        if r.ranges:
+            seen.append(r.df.groupBy(*r.by).count().agg(F.max("count")).first()[0])
+        return w.df.select("k", "n", "nxt.n", F.col("prv.n").alias("p")).toDF("k", "n", "x", "p")
+
+    out = in_parts(rows, ["k"], "n", work, most).toPandas().sort_values(["k", "n"])
+    assert seen and seen[0] <= most and len(out) == n
+    g = out.groupby("k").n
+    assert out.x.fillna(-1).tolist() == g.shift(-1).fillna(-1).tolist() and out.p.fillna(-1).tolist() == g.shift(1).fillna(-1).tolist()
+    assert hot_keys(rows, ["k"], HOT_ROWS) is None and hot_keys(rows, ["k"], most, 64, 64 * 10 if hot > 10 else 64)[1] > 0 if hot == 1 else True
+
+
 def brute_changes(files, rows):
     best = {}
     for f, s, t, u in files:
@@ -102,8 +136,8 @@ def test_snapshot_changes(spark, seed, hot_rows):
             rows.append((f, line, rnd.choice([None, *range(5)]), rnd.choice([None, float("nan"), 1.0, 1.0 + 1e-12, 2.0]), rnd.choice([None, "", " None", "x", " x ", "X"])))
     fd = spark.createDataFrame([(f, s, at(t), at(u)) for f, s, t, u in files], "file_id long, data_source string, data_source_ts timestamp, upload_ts timestamp")
     rd = spark.createDataFrame(rows, "file_id long, line_no int, id int, double_col double, varchar_col string").withColumn("__n", F.lit("clash"))
-    chain = snapshot_chain(fd, hot_rows=hot_rows)
-    got = [(r.file_id, r.id, r.change_kind) for r in snapshot_changes(rd, chain, values(), {"double_col": 1e-9}).collect()]
+    chain = snapshot_chain(fd, hot_rows=hot_rows, block=3)
+    got = [(r.file_id, r.id, r.change_kind) for r in snapshot_changes(rd, chain, values(), {"double_col": 1e-9}, hot_rows=hot_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_changes(files, rows)
 
 

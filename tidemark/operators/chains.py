@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import HOT_ROWS, RANGE, apart, hot_keys, neighbour, neighbours, ranged
+from tidemark.operators.skew import HOT_ROWS, Ranged, apart, in_parts, lookup_join, neighbour, neighbours
 from tidemark.session import stage
 from tidemark.store.deletions import FILE, POS
 from tidemark.store.versioned import VersionedTable
@@ -28,61 +28,52 @@ def build_chains(updates: DataFrame, key: str, start: str, end: str, rank: tuple
     """
     names = list(values)
     r = updates.select(
-        F.col(key),
-        F.unix_micros(start).alias("valid_from_us"),
-        F.coalesce(F.unix_micros(end), F.lit(OPEN)).alias("__end"),
-        F.struct(*rank).alias("__rank"),
-        *(v.alias(k) for k, v in values.items()),
-    ).where(F.col(key).isNotNull() & F.col("valid_from_us").isNotNull())
-    one = r.groupBy(key, "valid_from_us").agg(F.max_by(F.struct("__end", *names), "__rank").alias("__row"))
-    one = stage(one.select(key, "valid_from_us", "__row.*"), "chains")
-    rows = ranged(one, [key], "valid_from_us", hot_rows)
-    rows = neighbour(rows, ["valid_from_us"], {"at": "valid_from_us"}, 1, "__next")
-    held = rows.df.withColumn("valid_to_us", F.least("__end", F.coalesce("__next.at", "__end"))).drop("__next", "__end")
-    rows = apart(rows.on(held.where("valid_to_us > valid_from_us")))
-    both = {"from": "valid_from_us", "to": "valid_to_us", **{k: k for k in names}}
-    rows = neighbours(rows, ["valid_from_us"], [(both, -1, "__before"), (both, 1, "__after")])
+        F.col(key).alias("k"),
+        F.unix_micros(start).alias("at"),
+        F.coalesce(F.unix_micros(end), F.lit(OPEN)).alias("end"),
+        F.struct(*rank).alias("rank"),
+        *(v.alias(f"v{i}") for i, v in enumerate(values.values())),
+    ).where("k IS NOT NULL AND at IS NOT NULL")
+    cols = [f"v{i}" for i in range(len(names))]
+    out = in_parts(r, ["k"], "at", lambda rows: _chains(rows, cols), hot_rows, lambda d: _highest(d, cols))
+    return out.select(F.col("k").alias(key), "valid_from_us", "valid_to_us", *(F.col(c).alias(n) for c, n in zip(cols, names)))
+
+
+def _highest(r: DataFrame, cols: list[str]) -> DataFrame:
+    """One row per key and start, by an aggregate with map-side combine."""
+    return r.groupBy("k", "at").agg(F.max(F.struct("rank", "end", *cols)).alias("row")).select("k", "at", "row.*").select(*r.columns)
+
+
+def _chains(rows: Ranged, cols: list[str]) -> DataFrame:
+    """All windows have one partitioning and one order, so the rows are exchanged and sorted once."""
+    w = Window.partitionBy(*rows.by).orderBy("at", F.desc("rank"), F.desc("end"), *(F.desc(c) for c in cols))
+    before = F.lag("at").over(w)
+    one = rows.df.withColumn("before", before).where("before IS NULL OR before != at").drop("before", "rank")
+    rows = neighbour(apart(rows.on(one)), ["at"], {"at": "at"}, 1, "next")
+    held = rows.df.withColumn("to", F.least("end", F.coalesce("next.at", "end"))).drop("next", "end").where("to > at")
+    rows = apart(rows.on(held))
+    both = {"at": "at", "to": "to", **{c: c for c in cols}}
+    rows = neighbours(rows, ["at"], [(both, -1, "before"), (both, 1, "after")])
 
     def joins(touch: Column, other: str) -> Column:
-        for k in names:
-            touch = touch & F.col(f"{other}.{k}").eqNullSafe(F.col(k))
+        for c in cols:
+            touch = touch & F.col(f"{other}.{c}").eqNullSafe(F.col(c))
         return F.coalesce(touch, F.lit(False))
 
-    marked = rows.df.select(
-        key,
-        RANGE,
-        "valid_from_us",
-        "valid_to_us",
-        *names,
-        (~joins(F.col("__before.to") == F.col("valid_from_us"), "__before")).alias("__first"),
-        (~joins(F.col("__after.from") == F.col("valid_to_us"), "__after")).alias("__last"),
-    )
+    marked = rows.df.select(*rows.by, "at", "to", *cols, (~joins(F.col("before.to") == F.col("at"), "before")).alias("first"), (~joins(F.col("after.at") == F.col("to"), "after")).alias("last"))
     # a version ends where its last row ends: that of its first row, or else of the next row that is first or last
-    rows = apart(rows.on(marked.where("__first OR __last")))
-    rows = neighbour(rows, ["valid_from_us"], {"to": "valid_to_us"}, 1, "__next")
-    return rows.df.where("__first").select(key, "valid_from_us", F.when(F.col("__last"), F.col("valid_to_us")).otherwise(F.col("__next.to")).alias("valid_to_us"), *names)
+    rows = neighbour(apart(rows.on(marked.where("first OR last"))), ["at"], {"to": "to"}, 1, "next")
+    return rows.df.where("first").select("k", F.col("at").alias("valid_from_us"), F.when(F.col("last"), F.col("to")).otherwise(F.col("next.to")).alias("valid_to_us"), *cols)
 
 
 def rebuild_chains(table: VersionedTable, raw: DataFrame, touched: DataFrame, key: str, hot_rows: int = HOT_ROWS, **how) -> int:
     """Rebuilds the chains of the keys in touched from all their raw updates and replaces them in table, in one commit.
 
     raw: every update so far, touched: the keys (any repeats) of new, late or corrected ones. Chains of other keys are
-    neither read nor written. how: as of build_chains. A failed rebuild leaves the table as it was.
+    neither rebuilt nor written. how: as of build_chains. A failed rebuild leaves the table as it was. The touched keys
+    are broadcast if they are few, so neither raw nor the table is shuffled to find their rows.
     """
-    keys = touched.select(key).where(F.col(key).isNotNull()).distinct()
-    mine = _semi(raw, keys, key, hot_rows)
-    fresh = build_chains(mine, key, hot_rows=hot_rows, **how)
-    gone = None
-    if table.exists():
-        gone = _semi(table.scan().select(FILE, POS, key), keys, key, hot_rows)
+    keys = stage(touched.select(key).where(F.col(key).isNotNull()).distinct(), "touched")
+    fresh = build_chains(lookup_join(raw, keys, [key], "left_semi", hot_rows=hot_rows), key, hot_rows=hot_rows, **how)
+    gone = lookup_join(table.scan().select(FILE, POS, key), keys, [key], "left_semi", hot_rows=hot_rows) if table.exists() else None
     return table.commit(add=fresh, delete=gone)
-
-
-def _semi(rows: DataFrame, keys: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """rows whose key is in keys; hot keys, a bounded number, are looked up by broadcast, all others shuffled."""
-    hot = [r[key] for r in hot_keys(rows.where(F.col(key).isNotNull()), [key], hot_rows)]
-    if not hot:
-        return rows.join(keys, key, "left_semi")
-    is_hot = F.col(key).isin(hot)
-    few = keys.where(is_hot)
-    return rows.where(~is_hot).join(keys, key, "left_semi").unionByName(rows.where(is_hot).join(F.broadcast(few), key, "left_semi"))

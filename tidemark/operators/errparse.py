@@ -195,7 +195,7 @@ def parse_lines(raw: DataFrame) -> DataFrame:
     lines = raw.select(F.col("file_id").cast("long"), F.col("line_no").cast("long"), "line").where("line IS NOT NULL")
     heads = lines.where("line_no = 1").groupBy("file_id").agg(F.min("line").alias("head"))
     body = lines.where("line_no IS NULL OR line_no != 1")
-    joined = lookup_join(body, heads, ["file_id"], ["line_no", "line"], how="left").drop("__salt")
+    joined = lookup_join(body, heads, ["file_id"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         headers: dict[str | None, tuple[str, list[str]]] = {}

@@ -40,7 +40,7 @@ def deduce_keys(delta: DataFrame, parent: DataFrame, fields: Sequence[Field], va
     added = numbered.select(*(F.col(c) if c in cols or c == target else (literal(named[c].default, kinds[c]) if named[c].default is not None else F.lit(None).cast(kinds[c])).alias(c) for c in parent.columns if c in named or c in cols or c == target))
     table = known.unionByName(numbered.select(*cols, target)).select(*(F.col(c).alias(f"__p_{c}") for c in cols), F.col(target).alias("__key"))
     d = delta.drop(source).withColumns({f"__p_{t}": value(s, t) for s, t in values.items()})
-    joined = lookup_join(d, table, [f"__p_{c}" for c in cols], [c for c in delta.columns if c != source], how="left")
+    joined = lookup_join(d, table, [f"__p_{c}" for c in cols], "left")
     lost = F.raise_error(F.concat(F.lit("no parent for "), F.to_json(F.struct(*(F.col(s) for s in values))))).cast(kinds[target])
-    out = joined.withColumn(source, F.coalesce("__key", lost)).drop("__key", "__salt", *(f"__p_{c}" for c in cols))
+    out = joined.withColumn(source, F.coalesce("__key", lost)).drop("__key", *(f"__p_{c}" for c in cols))
     return out, added, int(top)

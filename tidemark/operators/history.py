@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.delta import Field
-from tidemark.operators.skew import HOT_ROWS, RANGE, apart, carried, neighbour, neighbours, ranged
+from tidemark.operators.skew import HOT_ROWS, Ranged, apart, carried, in_parts, neighbour, neighbours
 from tidemark.operators.temporal import FROM, SENTINEL, TO, moment
 from tidemark.session import stage
 from tidemark.types import literal
@@ -44,7 +44,11 @@ def bulk_history(
     rows = cur.unionByName(inp).withColumns({**defaults, "__has": reduce(lambda a, b: a & b, needed, F.lit(True)), AT: F.unix_micros("__t") * 2 + (~F.col("__cur")).cast("long")})
     if dropout:
         rows = _numbered(rows, batches, times, time)
-    r = carried(ranged(stage(rows, "batches"), keys, AT, hot_rows), [AT], keeps)
+    return in_parts(stage(rows, "batches"), keys, AT, lambda r: _versions(r, names, data, keeps, dropout), hot_rows)
+
+
+def _versions(r: Ranged, names: Sequence[str], data: Sequence[str], keeps: Sequence[str], dropout: bool) -> DataFrame:
+    r = carried(r, [AT], keeps)
     more = {"i": "__i", "nt": "__nt"} if dropout else {}
     value = {**{f"v{n}": c for n, c in enumerate(data)}, **more}
     r = apart(r) if keeps else r
@@ -56,12 +60,12 @@ def bulk_history(
         return F.coalesce(reduce(lambda a, b: a & b, (F.col(f"{side}.v{n}").eqNullSafe(F.col(c)) for n, c in enumerate(data)), touch), F.lit(False))
 
     fresh = F.col("__before").isNull() | (F.coalesce(F.col("__before.i") != F.col("__i") - 1, F.lit(False)) if dropout else F.lit(False))
-    what = F.to_json(F.struct(*keys))
+    what = F.to_json(F.struct(*r.keys))
     bad = F.when(fresh & ~F.col("__has") & ~F.col("__cur"), F.raise_error(F.concat(F.lit("a new row lacks a value: "), what))).when(
         F.col("__cur") & F.col("__before").isNotNull(), F.raise_error(F.concat(F.lit("a live row is newer than its update: "), what))
     )
     df = r.df.where(bad.cast("boolean").isNull()).withColumns({"__first": ~joins("__before", -1), "__last": ~joins("__after", 1) if dropout else F.lit(True)})
-    marks = df.where("__first OR __last" if dropout else "__first").select(*names, RANGE, AT, "__t", "__first", "__last", *(["__nt"] if dropout else []))
+    marks = df.where("__first OR __last" if dropout else "__first").select(*names, *r.by[len(r.keys) :], AT, "__t", "__first", "__last", *(["__nt"] if dropout else []))
     r = apart(r.on(marks))
     # a version's end: of dropout, where its last row's batch is followed by the next; else where the next version begins
     r = neighbour(r, [AT], {"end": "__nt" if dropout else "__t"}, 1, "__next")

@@ -28,7 +28,7 @@ def listed_items(source_items: DataFrame) -> DataFrame:
 def recorded_items(audit_log: DataFrame, runs: DataFrame, status: str = "committed") -> DataFrame:
     """One row per item that a run of that status recorded: ITEM and the latest upload_ts as recorded_ts."""
     good = runs.where(fold("status") == status).select("run_id").distinct()
-    rows = lookup_join(same_item(audit_log), good, ["run_id"], ["data_source", "data_source_ts"])
+    rows = lookup_join(same_item(audit_log), good, ["run_id"], "left_semi")
     return rows.groupBy(*ITEM).agg(F.max("upload_ts").alias("recorded_ts"))
 
 

@@ -2,11 +2,13 @@
 
 A group is never given to one task whole: a hot key's rows are cut into ranges of their order, windows run
 within (key, range), and what crosses a border of two ranges is carried over by a table of one row per range.
+Which keys are hot, and how many ranges there are, follows from the counted rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,64 +17,79 @@ from pyspark.sql import functions as F
 from tidemark.session import stage
 
 RANGE = "__range"
-#: As many of the largest keys are looked at; any other key holds less than this part of the rows.
-LARGEST = 256
-#: Ranges that a hot key is cut into.
-RANGES = 64
-#: A key with more rows than this is hot if it is among the largest.
-HOT_ROWS = 100_000
-#: A lookup table is broadcast up to this size.
+#: A key with more rows than this is hot: about what a task sorts in a second.
+HOT_ROWS = 500_000
+#: A table is broadcast up to this size.
 BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
 class Ranged:
-    """Rows with their RANGE: -1 for all but hot keys, whose ranges count from 0."""
+    """Rows of keys that are whole (ranges 0), or of hot keys with RANGE, which grows with their order."""
 
     df: DataFrame
     keys: tuple[str, ...]
-    hot: bool
+    ranges: int = 0
+
+    @property
+    def by(self) -> list[str]:
+        """The columns within whose values windows run."""
+        return [*self.keys, RANGE] if self.ranges else list(self.keys)
 
     def on(self, df: DataFrame) -> "Ranged":
-        """The same ranges after df was made of the rows, keeping keys and RANGE."""
-        return Ranged(df, self.keys, self.hot)
+        """The same ranges after df was made of the rows, keeping by."""
+        return Ranged(df, self.keys, self.ranges)
+
 
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, row_bytes: int = 64, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, int] | None:
+    """(table of keys, small enough to broadcast, number of their rows) of the keys with more than hot_rows rows; None if
+    there are none. Counted with map-side aggregation; the driver gets two numbers.
+
+    If there are so many that their rows, of row_bytes each, would not fit broadcast_bytes, only the larger ones are
+    taken: those left whole then have less than row_bytes / broadcast_bytes of all rows each.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    n, rows = counts.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    if not n:
+        return None
+    counts, least = stage(counts, "hot"), hot_rows
+    while n * row_bytes > broadcast_bytes:
+        least *= 4
+        n, rows = counts.where(F.col("__n") > least).agg(F.count(F.lit(1)), F.sum("__n")).first()
+    return (counts.where(F.col("__n") > least).select(*keys), int(rows)) if n else None
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list:
-    """At most LARGEST rows (keys, count) of the keys with more than hot_rows rows; counted with map-side aggregation."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return [r for r in counts.orderBy(F.desc("__n"), *keys).limit(LARGEST).collect() if r["__n"] > hot_rows]
 
+def matches(df: DataFrame, keys: Sequence[str], table: DataFrame, how: str) -> DataFrame:
+    """df's rows whose keys are (left_semi) or aren't (left_anti) in a small table; null equals null."""
+    t = table.select(*(F.col(k).alias(f"__hot_{i}") for i, k in enumerate(keys)))
+    return df.join(F.broadcast(t), [F.col(k).eqNullSafe(F.col(f"__hot_{i}")) for i, k in enumerate(keys)], how)
 
-def ranged(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, ranges: int = RANGES) -> Ranged:
-    """Adds RANGE by order (a number, not null). df is read up to three times: give a staged or plainly read one.
 
-    The driver gets LARGEST rows at most; the broadcast table has LARGEST rows of ranges numbers.
+def in_parts(df: DataFrame, keys: Sequence[str], order: str, work: Callable[[Ranged], DataFrame], hot_rows: int = HOT_ROWS, reduce: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """work on the rows of keys that are whole, and on those of hot keys in ranges by order; both results as one.
+
+    df is read once, or three times if there are hot keys: give a staged or plainly read one. The hot keys' rows are
+    reduced first, so that no order value has many of them, then partitioned by (keys, order) to half of hot_rows each;
+    a partition is a range.
     """
-    spark, keys = df.sparkSession, tuple(keys)
-    found = hot_keys(df, keys, hot_rows)
-    if not found:
-        return Ranged(df.withColumn(RANGE, F.lit(-1)), keys, False)
-    kinds = df.select(*keys).schema
-    hot = spark.createDataFrame([tuple(r[k] for k in keys) for r in found], kinds)
-    names = {k: f"__hot_{i}" for i, k in enumerate(keys)}
-    hot = F.broadcast(hot.select(*(F.col(k).alias(n) for k, n in names.items())))
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-    at = [i / ranges for i in range(1, ranges)]
-    cuts = (
-        df.join(hot, same, "inner")
-        .groupBy(*names.values())
-        .agg(F.percentile_approx(order, at, 4 * ranges).alias("__cuts"))
-        .collect()
-    )
-    table = spark.createDataFrame(
-        [tuple(r) for r in cuts],
-        ", ".join([*(f"{n} {kinds[k].dataType.simpleString()}" for k, n in names.items()), f"__cuts array<{df.schema[order].dataType.simpleString()}>"]),
-    )
-    out = df.join(F.broadcast(table), same, "left").withColumn(
-        RANGE, F.when(F.col("__cuts").isNull(), -1).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col(order))))
-    )
-    return Ranged(out.drop("__cuts", *names.values()), keys, True)
+    keys = tuple(keys)
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return work(Ranged(df, keys))
+    table, n = hot
+    mine = matches(df, keys, table, "left_semi")
+    ranges = max(2, math.ceil(2 * n / hot_rows))
+    cut = (reduce(mine) if reduce else mine).repartitionByRange(ranges, *keys, order).withColumn(RANGE, F.spark_partition_id())
+    return work(Ranged(matches(df, keys, table, "left_anti"), keys)).unionByName(work(Ranged(stage(cut, "ranges"), keys, ranges)))
+
+
+def _ends(df: DataFrame, rows: Ranged, ends: DataFrame) -> DataFrame:
+    """df with __nb_0.. of a table of one row per key and range, which is broadcast if its size is bounded by that."""
+    own = {k: f"__nb_key_{i}" for i, k in enumerate(rows.keys)}
+    ends = ends.withColumnsRenamed({**own, RANGE: "__nb_range"})
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()] + [F.col(RANGE) == F.col("__nb_range")]
+    small = rows.ranges * 512 <= BROADCAST_BYTES  # a partition is one range of a key, but where keys meet
+    return df.join(F.broadcast(ends) if small else ends.hint("merge"), same, "left").drop("__nb_range", *own.values())
 
 
 def neighbour(rows: Ranged, order: Sequence[str], values: Mapping[str, Column | str], step: int, name: str) -> Ranged:
@@ -83,76 +100,73 @@ def neighbour(rows: Ranged, order: Sequence[str], values: Mapping[str, Column |
 def neighbours(rows: Ranged, order: Sequence[str], wanted: Sequence[tuple[Mapping[str, Column | str], int, str]]) -> Ranged:
     """neighbour for several (values, step, name) at once.
 
-    order must be unique within a key. Hot keys: the first (last) row of each range is kept per range, at most
-    LARGEST * RANGES rows, and joined by broadcast to where a range ends; for that the rows are read once more.
+    order must be unique within a key. Hot keys: the first (last) row of each range is kept per range and joined to
+    where the range before (after) it ends; for that the rows are read once more.
     """
     df, keys = rows.df, rows.keys
-    w = Window.partitionBy(*keys, RANGE).orderBy(*order)
+    w = Window.partitionBy(*rows.by).orderBy(*order)
     found = [(F.struct(*(F.col(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in values.items())), step, name) for values, step, name in wanted]
     out = df.withColumns({name: (F.lead(value) if step > 0 else F.lag(value)).over(w) for value, step, name in found})
-    if rows.hot:
+    if rows.ranges:
         at = F.struct(*order)
-        ends = df.where(F.col(RANGE) >= 0).groupBy(*keys, RANGE)
-        ends = ends.agg(*((F.min_by if step > 0 else F.max_by)(value, at).alias(f"__nb_{i}") for i, (value, step, _) in enumerate(found)))
+        ends = df.groupBy(*rows.by).agg(*((F.min_by if step > 0 else F.max_by)(value, at).alias(f"__nb_{i}") for i, (value, step, _) in enumerate(found)))
         by = Window.partitionBy(*keys).orderBy(RANGE)
-        own = {k: f"__nb_key_{i}" for i, k in enumerate(keys)}
-        ends = ends.select(
-            *(F.col(k).alias(n) for k, n in own.items()),
-            F.col(RANGE).alias("__nb_range"),
-            *((F.lead if step > 0 else F.lag)(f"__nb_{i}").over(by).alias(f"__nb_{i}") for i, (_, step, _) in enumerate(found)),
-        )
-        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()] + [F.col(RANGE) == F.col("__nb_range")]
-        out = out.join(F.broadcast(ends), same, "left").withColumns({name: F.coalesce(name, f"__nb_{i}") for i, (_, _, name) in enumerate(found)})
-        out = out.drop("__nb_range", *own.values(), *(f"__nb_{i}" for i in range(len(found))))
+        ends = ends.select(*rows.by, *((F.lead if step > 0 else F.lag)(f"__nb_{i}").over(by).alias(f"__nb_{i}") for i, (_, step, _) in enumerate(found)))
+        out = _ends(out, rows, ends).withColumns({name: F.coalesce(name, f"__nb_{i}") for i, (_, _, name) in enumerate(found)})
+        out = out.drop(*(f"__nb_{i}" for i in range(len(found))))
     return rows.on(out)
 
 
 def apart(rows: Ranged) -> Ranged:
     """Rows written once where they are read twice next."""
-    return rows.on(stage(rows.df, "ranges")) if rows.hot else rows
+    return rows.on(stage(rows.df, "ranges")) if rows.ranges else rows
 
 
 def carried(rows: Ranged, order: Sequence[str], columns: Sequence[str]) -> Ranged:
     """Each of columns with its nulls replaced by the key's last value before, in order. Hot keys: the last value of each
-    range goes on to the next ranges by a broadcast table of at most LARGEST * RANGES rows."""
+    range goes on to the next ranges by a table of one row per range."""
     if not columns:
         return rows
     df, keys = rows.df, rows.keys
-    w = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*rows.by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.withColumns({c: F.last(c, True).over(w) for c in columns})
-    if rows.hot:
+    if rows.ranges:
         at = F.struct(*order)
-        ends = df.where(F.col(RANGE) >= 0).groupBy(*keys, RANGE)
-        ends = ends.agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"__nb_{i}") for i, c in enumerate(columns)))
+        ends = df.groupBy(*rows.by).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"__nb_{i}") for i, c in enumerate(columns)))
         before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-        own = {k: f"__nb_key_{i}" for i, k in enumerate(keys)}
-        ends = ends.select(*(F.col(k).alias(n) for k, n in own.items()), F.col(RANGE).alias("__nb_range"), *(F.last(f"__nb_{i}", True).over(before).alias(f"__nb_{i}") for i in range(len(columns))))
-        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()] + [F.col(RANGE) == F.col("__nb_range")]
-        out = out.join(F.broadcast(ends), same, "left").withColumns({c: F.coalesce(c, f"__nb_{i}") for i, c in enumerate(columns)})
-        out = out.drop("__nb_range", *own.values(), *(f"__nb_{i}" for i in range(len(columns))))
+        ends = ends.select(*rows.by, *(F.last(f"__nb_{i}", True).over(before).alias(f"__nb_{i}") for i in range(len(columns))))
+        out = _ends(out, rows, ends).withColumns({c: F.coalesce(c, f"__nb_{i}") for i, c in enumerate(columns)})
+        out = out.drop(*(f"__nb_{i}" for i in range(len(columns))))
     return rows.on(out)
 
 
 def byte_size(df: DataFrame) -> int:
     """About how many bytes df's rows take in memory; runs df once."""
+    return _measure(df)[1]
+
+
+def _measure(df: DataFrame) -> tuple[int, int]:
     per = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) + 24 if f.dataType.simpleString() in ("string", "binary") else F.lit(16) for f in df.schema.fields), F.lit(16))
-    return int(df.agg(F.sum(per.cast("long"))).first()[0] or 0)
+    n, size = df.agg(F.count(F.lit(1)), F.sum(per.cast("long"))).first()
+    return int(n), int(size or 0)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str], salts: int = 16, how: str = "inner", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """big joined to small, unique by on, where one key may hold a large share of big.
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """big joined (inner, left, left_semi) to small, unique by on, where one key may hold a large share of big.
 
-    small is written once and measured. Up to broadcast_bytes it is broadcast. Beyond that big's rows of a key go to
-    salts groups by a hash of salt_by, small's row to each of them, and both are shuffled by key and group; then big's
-    rows are partitioned by (on, __salt), which a groupBy of (on, __salt, ...) uses without another exchange. Column
-    __salt is there either way. Null keys match nothing.
+    small is written once and measured. Up to broadcast_bytes it is broadcast. Beyond that big's keys are counted: small's
+    rows of the hot ones are broadcast, as many as fit, and only the other rows of big are shuffled by key. Null keys
+    match nothing.
     """
-    left = big.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    small = stage(small, "lookup")
-    if byte_size(small) <= broadcast_bytes:
-        return left.join(F.broadcast(small), list(on), how)
-    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right.hint("merge"), [*on, "__salt"], how)
+    on, small = list(on), stage(small, "lookup")
+    n, size = _measure(small)
+    if size <= broadcast_bytes:
+        return big.join(F.broadcast(small), on, how)
+    hot = hot_keys(big.dropna(subset=on), on, hot_rows, max(64, size // max(n, 1) * 2), broadcast_bytes)
+    if hot is None:
+        return big.join(small.hint("merge"), on, how)
+    mine, rest = matches(big, on, hot[0], "left_semi"), matches(big, on, hot[0], "left_anti")
+    return mine.join(F.broadcast(small.join(F.broadcast(hot[0]), on, "left_semi")), on, how).unionByName(rest.join(small.hint("merge"), on, how))
 
 
 def dense_numbers(df: DataFrame, order: Sequence[str], name: str, start: int = 1) -> DataFrame:
