@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.clean import clean_double, clean_text
 from tidemark.operators.chains import OPEN, build_chains, rebuild_chains
-from tidemark.operators.errparse import error_parse, header_of, loaded, parse_lines, parse_record, rejects, split_free
+from tidemark.operators.errparse import error_parse, error_parses, header_of, loaded, parse_lines, parse_record, rejects, split_free
 from tidemark.operators.incremental import pending_items
 from tidemark.operators.skew import HOT_ROWS, apart, hot_keys, in_parts, lookup_join, neighbour, neighbours
 from tidemark.operators.skyline import survivors
@@ -351,6 +351,49 @@ def test_error_parse_is_cheapest():
         assert error_parse(line, ",", n)[0] == cost, (line, n)
 
 
+def test_error_parses_of_many_are_as_cheap_as_of_one():
+    rnd = random.Random(8)
+    for n in (1, 2, 3, 5, 30):
+        lines = ["".join(rnd.choice('";ab  ') for _ in range(rnd.randint(0, 14))) for _ in range(200)]
+        for line, (free, cost, edits) in zip(lines, error_parses(lines, [";"] * len(lines), n)):
+            assert (free, cost) == (error_parse(line, ";", None)[0], error_parse(line, ";", n)[0]) and len(edits) == cost
+            fixed, shift = line, 0
+            for how, c, i in edits:
+                fixed = fixed[: i + shift] + ("" if how == "delete" else c) + fixed[i + shift + (how == "delete") :]
+                shift += -1 if how == "delete" else 1
+            cells = brute_split(fixed, ";")
+            assert cells is not None and len(cells) == n, (line, edits, fixed)
+            assert (free == 0) == (brute_split(line, ";") is not None)
+
+
+def test_lines_are_parsed_as_records_are(spark):
+    """The zero-cost layer in the JVM, its values and the reasons against one record at a time in Python."""
+    rnd = random.Random(9)
+    heads = {1: "id,double_col,varchar_col", 2: "varchar_col | id|x| double_col", 3: 'id;"double_col";varchar_col;id', 4: "double_col:id"}
+    parts = ['"', '""', "1", "-2", " ", "None", "x", "1e400", "2.5e1", "\n", "\ufffd", "\u0663", "y" * 21, "00000000000007", "2147483648"]
+    rows = [(f, 1, h) for f, h in heads.items()]
+    for n in range(2, 700):
+        f = rnd.randint(1, 5)
+        d = header_of(heads.get(f))[0]
+        line = "".join(rnd.choice([*parts, d, d, d]) for _ in range(rnd.randint(0, 9)))
+        rows.append((f, n, rnd.choice(["", "\ufeff"]) + line + rnd.choice(["", "\r"])))
+    for f, n in ((1, 800), (2, 801)):
+        rows.append((f, n, '"' + '""x' * 50_000 + '"' + header_of(heads[f])[0] * (len(header_of(heads[f])[1]) - 1)))
+    got = {(r.file_id, r.line_no): r for r in parse_lines(spark.createDataFrame(rows, "file_id long, line_no int, line string")).collect()}
+    want = {}
+    for f, n, line in rows:
+        text = line.removeprefix("\ufeff").removesuffix("\r")
+        if n > 1 and text.strip(" "):
+            reason, values, _, cost = parse_record(text, *header_of(heads.get(f)))
+            v, x = (values.get(c, "") for c in ("varchar_col", "double_col"))
+            want[f, n] = (reason, None if reason else (int(values["id"]), None if x in ("", "None") else float(x), None if v in ("", "None") else v), cost)
+    assert got.keys() == want.keys()
+    for k, (reason, loads, cost) in want.items():
+        r = got[k]
+        assert (r.reason, None if reason else (r.id, r.double_col, r.varchar_col)) == (reason, loads), k
+        assert (r.cost == cost or (reason or "").startswith("invalid")) and bool(r.edits) == bool(reason)
+
+
 def test_reasons(spark):
     lines = [
         (1, 1, '﻿id;double_col;varchar_col\r'), (1, 2, "1;2.5;x\r"), (1, 3, " "), (1, 4, None), (1, 5, '"2";None;"a;b"'), (1, 6, '3;1;"a'), (1, 7, "3;1"), (1, 8, "x;1;a"), (1, 9, "2147483648;1;a"),

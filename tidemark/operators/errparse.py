@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.clean import NULL_TOKENS
 from tidemark.operators.skew import lookup_join
@@ -163,68 +165,245 @@ def check_values(values: dict[str, str]) -> str | None:
     return None
 
 
-def parse_record(line: str, delimiter: str, columns: Sequence[str]) -> tuple[str | None, dict[str, str], str, int]:
-    """(reason or None, cells by column, edits as text, cost) of a record's minimum-cost parse.
+#: Records of up to so many cells are parsed many at once, wider ones one by one.
+WIDE = 24
+#: Bytes of the tables that a worker has at a time while it parses many.
+TABLES = 64 << 20
+FAR = 1 << 28
+CODES = {"q": 0, "d": 1, "s": 2, "o": 3}
+
 
-    Cost 0 over any number of cells: the quoting is sound; cost 0 over the header's number: the layout is. Else the
-    edits that would make it a record of the header's number of cells are given with the reason.
+class Moves:
+    """What may happen between two symbols of a record of so many cells, as tables: the costs of going from one node to
+    another by reading or deleting a symbol, after any insertions, and what is inserted and deleted for that.
+
+    Nodes are (cells ended, state), and the five states once more for the parse of any number of cells.
     """
+
+    def __init__(self, cells: int):
+        self.counted = n = 5 * cells
+        self.size = size = n + 5
+        self.cost = np.full((4, size, size), FAR, np.int32)
+        self.how: dict[tuple[int, int, int], tuple[str, bool]] = {}
+
+        def read(i: int, symbol: str) -> int:
+            to = _steps(i % 5 if i < n else i - n, symbol)
+            if to is None:
+                return -1
+            k = i // 5 + to[1]
+            return n + to[0] if i >= n else k * 5 + to[0] if k < cells else -1
+
+        self.end_cost, self.end_how = np.full(size, FAR, np.int32), [""] * size
+        for i in range(size):
+            near, queue = {i: ""}, [i]
+            for m in queue:  # grows while it is read: by number of insertions
+                for symbol in "qd":
+                    j = read(m, symbol)
+                    if j >= 0 and j not in near:
+                        near[j] = near[m] + symbol
+                        queue.append(j)
+            for m, inserted in near.items():
+                for symbol, code in CODES.items():
+                    j, c = read(m, symbol), len(inserted)
+                    if symbol in "qd" and c + 1 < self.cost[code, i, m]:
+                        self.cost[code, i, m] = c + 1
+                        self.how[code, i, m] = (inserted, True)
+                    if j >= 0 and c < self.cost[code, i, j]:
+                        self.cost[code, i, j] = c
+                        self.how[code, i, j] = (inserted, False)
+                if (m - n if m >= n else m % 5) in ENDS and (m >= n or m // 5 == cells - 1) and len(inserted) < self.end_cost[i]:
+                    self.end_cost[i], self.end_how[i] = len(inserted), inserted
+
+
+@lru_cache(WIDE)
+def _moves(cells: int) -> Moves:
+    return Moves(cells)
+
+
+@lru_cache(16)
+def _symbols(delimiter: str) -> re.Pattern:
+    d = re.escape(delimiter)
+    return re.compile(f'(")|({d})|( +)|([^" {d}]+)')
+
+
+def error_parses(lines: Sequence[str], delimiters: Sequence[str], cells: int) -> list[tuple[int, int, list[tuple[str, str, int]]]]:
+    """Of each line (cost over any number of cells, cost over so many, the edits of the latter): error_parse for many at
+    once. The dynamic programme goes over the symbols of all lines together, a table of costs and one of predecessors
+    for each."""
+    if cells > WIDE:
+        return [(error_parse(x, d, None)[0], *error_parse(x, d, cells)) for x, d in zip(lines, delimiters)]
+    moves = _moves(cells)
+    found = [[(m.lastindex - 1, m.start()) for m in _symbols(d).finditer(x)] for x, d in zip(lines, delimiters)]
+    order = sorted(range(len(lines)), key=lambda r: -len(found[r]))
+    out: list = [None] * len(lines)
+    at = 0
+    while at < len(order):
+        longest = max(1, len(found[order[at]]))
+        part = order[at : at + max(1, min(TABLES // (longest * moves.size), TABLES // (8 * moves.size**2)))]
+        at += len(part)
+        lengths = np.array([len(found[r]) for r in part])
+        codes = np.zeros((len(part), longest), np.int8)
+        for i, r in enumerate(part):
+            codes[i, : lengths[i]] = [c for c, _ in found[r]]
+        cost = np.full((len(part), moves.size), FAR, np.int32)
+        cost[:, [0, moves.counted]] = 0
+        came = np.zeros((len(part), longest, moves.size), np.uint8)
+        for t in range(longest):
+            n = int(np.searchsorted(-lengths, -t, side="left"))  # lines with a symbol here
+            go = cost[:n, :, None] + moves.cost[codes[:n, t]]
+            came[:n, t] = go.argmin(1)
+            cost[:n] = np.minimum(go.min(1), FAR)
+        total = cost + moves.end_cost
+        node = total[:, : moves.counted].argmin(1)
+        best, free = total[np.arange(len(part)), node], total[:, moves.counted :].min(1)
+        edits: list[list[tuple[str, str, int]]] = []
+        for i, r in enumerate(part):
+            edits.append([("insert", '"' if s == "q" else delimiters[r], len(lines[r])) for s in reversed(moves.end_how[node[i]])])
+        for t in range(longest - 1, -1, -1):
+            n = int(np.searchsorted(-lengths, -t, side="left"))
+            back = came[np.arange(n), t, node[:n]]
+            for i in np.flatnonzero(moves.cost[codes[:n, t], back, node[:n]]):
+                r, code = part[i], int(codes[i, t])
+                inserted, deleted = moves.how[code, int(back[i]), int(node[i])]
+                place = found[r][t][1]
+                if deleted:
+                    edits[i].append(("delete", lines[r][place], place))
+                edits[i] += [("insert", '"' if s == "q" else delimiters[r], place) for s in reversed(inserted)]
+            node[:n] = back
+        for i, r in enumerate(part):
+            out[r] = (int(free[i]), int(best[i]), edits[i][::-1])
+    return out
+
+
+def reason_of(free: int, cost: int) -> str | None:
+    """What edits of these costs mend: quotes, if no number of cells is free of them, else the number of cells."""
+    return "quoting" if free else "column_count" if cost else None
+
+
+def shown(edits: Sequence[tuple[str, str, int]]) -> str:
+    return "; ".join(f"{how} {c} at {i}" for how, c, i in edits)
+
+
+def parse_record(line: str, delimiter: str, columns: Sequence[str]) -> tuple[str | None, dict[str, str], str, int]:
+    """(reason or None, cells by column, edits as text, cost) of one record's minimum-cost parse."""
     cells = split_free(line, delimiter)
     if cells is not None and len(cells) == len(columns):
         values = dict(zip(columns, cells))
-        return check_values(values), values, "", 0
-    sound = cells is not None or error_parse(line, delimiter, None)[0] == 0
-    cost, edits = error_parse(line, delimiter, len(columns))
-    return "column_count" if sound else "quoting", {}, "; ".join(f"{how} {c} at {i}" for how, c, i in edits), cost
+        reason = check_values(values)
+        return reason, values, f"replace {reason.removeprefix('invalid_')}" if reason else "", int(reason is not None)
+    ((free, cost, edits),) = error_parses([line], [delimiter], len(columns))
+    return reason_of(free, cost), {}, shown(edits), cost
+
+
+HEADS = "file_id bigint, d string, n int, at_id int, at_double int, at_varchar int"
+#: Columns that a record is loaded as.
+COLUMNS = ("id", "double_col", "varchar_col")
 
 
-COLUMNS = {"file_id": pa.int64(), "line_no": pa.int64(), "line": pa.string(), "reason": pa.string(), "edits": pa.string(), "cost": pa.int32(), "id": pa.int32(), "double_col": pa.float64(), "varchar_col": pa.string()}
-OUT = "file_id bigint, line_no bigint, line string, reason string, edits string, cost int, id int, double_col double, varchar_col string"
-#: Headers that a task remembers at a time.
-HEADERS = 10_000
+def headers(lines: DataFrame) -> DataFrame:
+    """(HEADS) per file: delimiter, number of columns, and the places of COLUMNS, null for one that it lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for head in batch.column(1).to_pylist():
+                d, names = header_of(head)
+                rows.append((d, len(names), *({c: i for i, c in enumerate(names)}.get(c) for c in COLUMNS)))
+            kinds = [pa.string(), *[pa.int32()] * 4]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds))], names=[x.split(" ")[0] for x in HEADS.split(", ")])
+
+    return lines.where("line_no = 1").groupBy("file_id").agg(F.min("line").alias("head")).mapInArrow(run, HEADS)
+
+
+def _by_delimiter(make: Callable[[str], Column]) -> Column:
+    first, *rest = DELIMITERS
+    out = F.when(F.col("d") == first, make(re.escape(first)))
+    for d in rest:
+        out = out.when(F.col("d") == d, make(re.escape(d)))
+    return out
+
+
+def _cells(text: Column) -> tuple[Column, Column]:
+    """(whether the record parses at no cost, its cells as they stand): the zero-cost layer within the JVM. Its patterns
+    never go back, so they take a time in proportion to the text's length."""
+    quoted = ' *+"[^"]*+(?:""[^"]*+)*+" *+'
+    plain = lambda d: f'(?! *+")[^"{d}]*+'
+    sound = _by_delimiter(lambda d: text.rlike(f"\\A(?:{quoted}|{plain(d)})(?:{d}(?:{quoted}|{plain(d)}))*+\\z"))
+    split = _by_delimiter(lambda d: F.split(text, d, -1))
+    cut = _by_delimiter(lambda d: F.regexp_extract_all(F.concat(F.col("d"), text), F.lit(f"{d}({quoted}|{plain(d)})"), 1))
+    has = F.contains(text, F.lit('"'))
+    return ~has | sound, F.when(~has, split).otherwise(cut)
+
+
+def _value(cells: Column, at: str) -> Column:
+    """A cell without outer spaces and quotes; empty for a column that the file lacks."""
+    c = F.trim(F.get(cells, F.col(at)))
+    inner = F.trim(F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')))
+    return F.coalesce(F.when(c.startswith('"'), inner).otherwise(c), F.lit(""))
 
 
 def parse_lines(raw: DataFrame) -> DataFrame:
     """Every record of raw (file_id, line_no, line): loaded as (id, double_col, varchar_col) with reason null, or with
-    the reason of REASONS and the edits that would repair its layout.
+    the reason of REASONS, the edits that would make it a valid record and their number as cost.
+
+    A record costs the fewest quotes and delimiters that have to be inserted or deleted to give it the header's number of
+    soundly quoted cells, or, if none, the cells that have to be replaced to fit their column. Cost 0 loads; else the
+    edits state the reason: quotes that no number of cells spares, the number of cells, or the first cell replaced.
+    Parses at no such cost are found in the JVM; only the texts of other records go to the dynamic programme in Python.
 
     Line 1 of a file is its header (of several the smallest text), which gives delimiter and column order; files
     without one are read as DEFAULT_HEADER by comma. Header, blank and null lines are no records; repeated lines are
     records each. A null file_id has no header. Texts of any length are parsed whole.
     """
     lines = raw.select(F.col("file_id").cast("long"), F.col("line_no").cast("long"), "line").where("line IS NOT NULL")
-    heads = lines.where("line_no = 1").groupBy("file_id").agg(F.min("line").alias("head"))
     body = lines.where("line_no IS NULL OR line_no != 1")
-    joined = lookup_join(body, heads, ["file_id"], "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        headers: dict[str | None, tuple[str, list[str]]] = {}
-        for batch in batches:
-            out: list[list] = [[] for _ in COLUMNS]
-            for f, n, line, head in zip(*(c.to_pylist() for c in batch.columns)):
-                text = bare(line)
-                if not text.strip(" "):
-                    continue
-                if head not in headers:
-                    if len(headers) >= HEADERS:
-                        headers.clear()
-                    headers[head] = header_of(head)
-                reason, values, edits, cost = parse_record(text, *headers[head])
-                row: tuple = (f, n, line, reason, edits, cost, None, None, None)
-                if reason is None:
-                    d, v = values.get("double_col", ""), values.get("varchar_col", "")
-                    row = (f, n, line, None, None, 0, _int(values["id"]), None if d in NULL_TOKENS else float(d), None if v in NULL_TOKENS else v)
-                for column, value in zip(out, row):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, COLUMNS.values())], names=list(COLUMNS))
-
-    return joined.select("file_id", "line_no", "line", "head").mapInArrow(run, OUT)
-
-
-def _int(v: str) -> int:
-    """An integer of any number of leading zeros."""
-    digits = int(v.lstrip("+-").lstrip("0") or "0")
-    return -digits if v[0] == "-" else digits
+    text = F.regexp_replace("line", "\\A\ufeff|\r\\z", "")
+    rows = lookup_join(body.withColumn("text", text).where("trim(text) != ''"), headers(lines), ["file_id"], "left")
+    given = {"d": DELIMITERS[0], "n": len(DEFAULT_HEADER), **{f"at_{c.split('_')[0]}": i for i, c in enumerate(COLUMNS)}}
+    rows = rows.withColumns({c: F.when(F.col("n").isNull(), F.lit(v)).otherwise(F.col(c)) for c, v in given.items()})
+    sound, cells = _cells(F.col("text"))
+    rows = rows.withColumn("cells", F.when(sound, cells))
+    rows = rows.withColumn("fits", F.coalesce(F.size("cells") == F.col("n"), F.lit(False)))
+    rows = rows.withColumns({f"c_{c}": F.when(F.col("fits"), _value(F.col("cells"), f"at_{c.split('_')[0]}")) for c in COLUMNS})
+    i, x, v = (F.col(f"c_{c}") for c in COLUMNS)
+    number = x.rlike(f"\\A(?:{NUMBER.pattern})\\z")
+    bad = {
+        "id": ~(i.rlike(f"\\A(?:{INTEGER.pattern})\\z") & i.try_cast("int").isNotNull()),
+        "double_col": ~x.isin(*NULL_TOKENS) & ~(number & F.coalesce(F.abs(x.try_cast("double")) < float("inf"), F.lit(False))),
+        "varchar_col": (F.length(v) > 20) | F.contains(v, F.lit("\ufffd")),
+    }
+    rows = rows.withColumns({f"bad_{c}": F.col("fits") & b for c, b in bad.items()})
+    rows = rows.withColumn("fix", _fix(F.when(~F.col("fits"), F.col("text")), F.when(~F.col("fits"), F.col("d")), F.col("n")))
+    wrong = [F.col(f"bad_{c}") for c in COLUMNS]
+    kind = F.coalesce(*(F.when(w, f"invalid_{c}") for w, c in zip(wrong, COLUMNS)))
+    replaced = F.concat_ws("; ", *(F.when(w, f"replace {c}") for w, c in zip(wrong, COLUMNS)))
+    fits = F.col("fits")
+    loads = fits & ~(wrong[0] | wrong[1] | wrong[2])
+    return rows.select(
+        "file_id",
+        "line_no",
+        "line",
+        F.when(fits, kind).otherwise(F.col("fix.reason")).alias("reason"),
+        F.when(~fits, F.col("fix.edits")).when(~loads, replaced).alias("edits"),
+        F.when(fits, sum((w.cast("int") for w in wrong), F.lit(0))).otherwise(F.col("fix.cost")).alias("cost"),
+        F.when(loads, i.try_cast("int")).alias("id"),
+        F.when(loads & ~x.isin(*NULL_TOKENS), x.try_cast("double")).alias("double_col"),
+        F.when(loads & ~v.isin(*NULL_TOKENS), v).alias("varchar_col"),
+    )
+
+
+@F.arrow_udf(T.StructType([T.StructField("reason", T.StringType()), T.StructField("edits", T.StringType()), T.StructField("cost", T.IntegerType())]))
+def _fix(text: pa.Array, delimiter: pa.Array, cells: pa.Array) -> pa.Array:
+    """The minimum-cost parse of the texts that aren't null."""
+    of: dict[int, list[int]] = {}
+    for r in np.flatnonzero(text.is_valid().to_numpy(False)):
+        of.setdefault(cells[int(r)].as_py(), []).append(int(r))
+    out: list[dict | None] = [None] * len(text)
+    for n, rows in of.items():
+        lines, ds = text.take(pa.array(rows)).to_pylist(), delimiter.take(pa.array(rows)).to_pylist()
+        for r, (free, cost, edits) in zip(rows, error_parses(lines, ds, n)):
+            out[r] = {"reason": reason_of(free, cost), "edits": shown(edits), "cost": cost}
+    return pa.array(out, pa.struct([("reason", pa.string()), ("edits", pa.string()), ("cost", pa.int32())]))
 
 
 def rejects(parsed: DataFrame) -> DataFrame:

@@ -145,7 +145,33 @@ g as (
   from ranked group by dataset, id having count(*) >= 2)
 """
 
+
+
+def _by_delimiter(make) -> str:
+    return "case d " + " ".join(f"when '{d}' then {make('[' + d + ']', d)}" for d in ",;|:") + " end"
+
+
+_CELL = lambda d: f'( *"(?:[^"]|"")*" *|[^"{d}]*)'
+_CLEAN = "list_transform({}, lambda c: case when trim(c) like '\"%' then trim(replace(trim(c)[2:-2], '\"\"', '\"')) else trim(c) end)"
+_RECORDS = f"""
+with l as (select file_id, line_no::bigint line_no, regexp_replace(line, '^\\x{{FEFF}}|\\r$', '', 'g') t from raw_lines where line is not null),
+h as (select file_id, trim(t) t, case when contains(t, ',') then ',' when contains(t, ';') then ';' when contains(t, '|') then '|' when contains(t, ':') then ':' else ',' end d
+  from (select file_id, min(t) t from l where line_no = 1 group by file_id)),
+heads as (select file_id, d, {_CLEAN.format(_by_delimiter(lambda p, d: f"regexp_extract_all(d || t, '{p}{_CELL(d)}', 1)"))} names from h where t <> ''),
+b as (select l.file_id, l.line_no, l.t, coalesce(d, ',') d, coalesce(names, ['id', 'double_col', 'varchar_col']) names from l left join heads using (file_id)
+  where (line_no is null or line_no <> 1) and trim(l.t) <> ''),
+s as (select *, {_by_delimiter(lambda p, d: f"regexp_full_match(t, '{_CELL(d)}(?:{p}{_CELL(d)})*')")} sound,
+  {_CLEAN.format(_by_delimiter(lambda p, d: f"regexp_extract_all(d || t, '{p}{_CELL(d)}', 1)"))} cells from b),
+v as (select *, coalesce(cells[list_position(names, 'id')], '') i, coalesce(cells[list_position(names, 'double_col')], '') x, coalesce(cells[list_position(names, 'varchar_col')], '') w from s),
+r as (select *, case when not sound then 'quoting' when len(cells) <> len(names) then 'column_count'
+  when not regexp_full_match(i, '[+-]?[0-9]+') or coalesce(try_cast(ltrim(i, '+') as hugeint), 1::hugeint << 40) not between -2147483648 and 2147483647 then 'invalid_id'
+  when x not in ('', 'None') and not (regexp_full_match(x, '[+-]?[0-9]+(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?') and coalesce(isfinite(try_cast(ltrim(x, '+') as double)), false)) then 'invalid_double_col'
+  when length(w) > 20 or contains(w, chr(65533)) then 'invalid_varchar_col' end reason from v)
+"""
+
 SQL = {
+    "p3_found": _RECORDS + "select file_id, line_no, reason from r where reason is not null",
+    "p3_loaded": _RECORDS + "select file_id, line_no, try_cast(ltrim(i, '+') as int) id, case when x not in ('', 'None') then try_cast(ltrim(x, '+') as double) end double_col, case when w not in ('', 'None') then w end varchar_col from r where reason is null",
     "p1_found": _ROWS + "select file_id, id, kind change_kind from j where kind is not null",
     "p1_changed_values": _ROWS + "select file_id, id, kind change_kind, ad old_double_col, av old_varchar_col, bd new_double_col, bv new_varchar_col from j where kind is not null",
     "p2_found": """
