@@ -522,11 +522,24 @@ def test_survivors(spark, seed):
             picks = [-1, -1]
         want[g, i] = (len(rs), *picks)
     assert {(r.g, r.id): (r.n_rows, r.x_row, r.y_row) for r in got.collect()} == want
-    skyline = {(r.g, r.id): r.n_skyline for r in got.collect()}
+    seen = {(r.g, r.id): (r.n_skyline, r.n_layers) for r in got.collect()}
     for (g, i), rs in by.items():
-        if (g, i) in skyline and g != "b":
-            dims = lambda r: (r[3] is not None, r[4] is not None, -1 if r[5] is None else r[5], (-1 if r[6] is None else r[6], r[0]))
-            assert skyline[g, i] == sum(not any(o is not r and all(a >= b for a, b in zip(dims(o), dims(r))) for o in rs) for r in rs)
+        if (g, i) not in seen:
+            continue
+        old = g == "b"
+        late = lambda r: (r[6] is not None, (-r[6] if old else r[6]) if r[6] is not None else 0, -r[0] if old else r[0])  # noqa: E731, B023
+        trust = lambda r: -1 if r[5] is None else r[5]
+        dims = lambda r: ((r[3] is not None) + (r[4] is not None), trust(r), late(r))  # noqa: E731, B023
+        left, layers, taken = list(rs), [], {3: None, 4: None}
+        while left:
+            layer = [r for r in left if not any(o is not r and all(a >= b for a, b in zip(dims(o), dims(r))) for o in left)]
+            layers.append(layer)
+            for c in taken:
+                taken[c] = max([(trust(r), late(r)) for r in layer if r[c] is not None] + ([taken[c]] if taken[c] else []), default=None)
+            left = [r for r in left if r not in layer and any(r[c] is not None and (taken[c] is None or (trust(r), late(r)) > taken[c]) for c in taken)]
+        assert seen[g, i] == (len(layers[0]), len(layers))
+    few = survivors(df, ["g", "id"], {"x": F.col("x"), "y": F.col("y")}, F.col("trust"), F.col("ts"), F.col("row_id"), F.col("g") == "b", F.col("g") == "c", hot_rows=1)
+    assert {(r.g, r.id): (r.n_rows, r.x_row, r.y_row) for r in few.collect()} == want
 
 
 def test_extra_columns_with_clashing_names(spark):

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import HOT_ROWS, hot_keys, matches
+from tidemark.session import stage
+
 NEVER = -(2**63)
 
 
@@ -20,71 +23,93 @@ def survivors(
     oldest_first: Column | None = None,
     strict: Column | None = None,
     min_rows: int = 2,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """One record per group: n_rows, n_skyline, and per field f the value f and the row it comes from, f_row.
+    """One record per group: n_rows, n_skyline (the records of the first layer), n_layers, and per field f the value f and
+    the row it comes from, f_row.
 
-    A record's dimensions are its non-null fields (each one a dimension of completeness), trust and recency, the row's
-    number deciding between equals. Records that no other one of the group beats or equals in every dimension are the
-    skyline. Per field, the best skyline record by the policy (trust, recency, row number) that holds the field gives
-    it. A record behind the skyline never gives a field: whatever it holds, a record that dominates it holds too and
-    comes first in the policy; so a field that the whole skyline lacks is lacking in every further layer.
+    A record's dimensions are completeness (how many fields it holds), trust and recency, the row's number deciding
+    between equal times. The first layer is the skyline: the records that no other one of the group equals or beats in
+    every dimension. Of its records the policy (trust, recency, row number) takes the first that holds a field. The next
+    layer is the skyline of the records left that hold a field which is null so far, or which the policy would prefer
+    to where it came from; it fills those, and so on until no such record is left. Of the records left the one that the
+    policy prefers is always in the layer, as nothing beats it in trust and recency; so each layer settles a field for
+    good, there are no more layers than fields, and each field ends with the policy's first record that holds it.
 
     trust, recency: numbers, null is least. oldest_first: where true, early and small row numbers come first instead of
     late and large ones. strict: where true and the values of any field disagree within the group, every f is null and
     f_row -1. A field that no record holds is null with f_row 0. Groups of fewer than min_rows rows don't come out;
     null group values are values like others; an empty table gives no rows.
 
-    Each (group, held fields, trust) is first reduced to its best record, map-side; the window then runs over those.
+    Of records that hold the same fields with the same trust only the latest can be in a layer that matters, so each
+    (group, held fields, trust) is first reduced to it, map-side. A group that still has more than hot_rows records, with
+    as many values of trust, is reduced to the policy's first record of each set of held fields, which no other of
+    the set can come before; its layers are those of the records kept.
     """
-    group, names = list(group), list(fields)
+    names, keys = list(fields), [f"g{i}" for i in range(len(group))]
     oldest = F.coalesce(oldest_first, F.lit(False)) if oldest_first is not None else F.lit(False)
+    must_agree = F.coalesce(strict, F.lit(False)) if strict is not None else F.lit(False)
     late = F.coalesce(F.when(oldest, -recency).otherwise(recency), F.lit(NEVER))
-    mask = sum((F.when(v.isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, v in enumerate(fields.values())), F.lit(0))
+    cols = [f"v{i}" for i in range(len(names))]
     r = rows.select(
-        *group,
-        *(v.alias(f"__v_{k}") for k, v in fields.items()),
-        mask.alias("__mask"),
-        F.coalesce(trust.cast("long"), F.lit(NEVER)).alias("__trust"),
-        F.struct(late.alias("t"), F.when(oldest, -row).otherwise(row).alias("r")).alias("__late"),
-        row.alias("__row"),
-        F.coalesce(strict, F.lit(False)).alias("__strict") if strict is not None else F.lit(False).alias("__strict"),
-    )
-    cols = [f"__v_{k}" for k in names]
-    best = r.groupBy(*group, "__mask", "__trust").agg(
-        F.max_by(F.struct("__late", "__row", *cols), "__late").alias("__b"),
-        F.count(F.lit(1)).alias("__n"),
-        F.max("__strict").alias("__strict"),
-        *(F.min(c).alias(f"__lo{c}") for c in cols),
-        *(F.max(c).alias(f"__hi{c}") for c in cols),
+        *(F.col(g).alias(k) for g, k in zip(group, keys)),
+        *(v.alias(c) for c, v in zip(cols, fields.values())),
+        F.coalesce(trust.cast("long"), F.lit(NEVER)).alias("trust"),
+        F.struct(late.alias("t"), F.when(oldest, -row).otherwise(row).alias("r")).alias("late"),
+        row.alias("row"),
+        must_agree.alias("strict"),
     )
-    best = best.withColumn("__late", F.col("__b.__late"))
-    up = Window.partitionBy(*group).orderBy(F.desc("__trust"))
-    above, level = up.rangeBetween(Window.unboundedPreceding, Window.currentRow), 1 << len(names)
-    beaten = F.lit(False)
-    for m in range(level):
-        # the latest record of at least this trust that holds the fields of m; of its own mask the record itself is among them
-        top = F.max(F.when(F.col("__mask").bitwiseAND(m) == m, F.col("__late"))).over(above)
-        beaten = F.when(F.col("__mask") == m, top > F.col("__late")).otherwise(beaten)
-    ahead = best.withColumn("__beaten", F.coalesce(beaten, F.lit(False)))
-    rank = F.struct("__trust", "__late")
-    out = ahead.groupBy(*group).agg(
-        F.sum("__n").alias("n_rows"),
-        F.sum((~F.col("__beaten")).cast("long")).alias("n_skyline"),
-        F.max("__strict").alias("__strict"),
-        *(
-            F.max_by(F.struct(F.col(f"__b.__v_{k}").alias("v"), F.col("__b.__row").alias("r")), F.when(~F.col("__beaten") & (F.col("__mask").bitwiseAND(1 << i) != 0), rank)).alias(f"__f_{k}")
-            for i, k in enumerate(names)
-        ),
-        *(F.min(f"__lo{c}").alias(f"__lo{c}") for c in cols),
-        *(F.max(f"__hi{c}").alias(f"__hi{c}") for c in cols),
+    r = r.withColumn("held", F.concat(*(F.when(F.col(c).isNotNull(), "1").otherwise("0") for c in cols)))
+    agree = [a for c in cols for a in (F.min(F.when(F.col("strict"), F.col(c))).alias(f"lo{c}"), F.max(F.when(F.col("strict"), F.col(c))).alias(f"hi{c}"))]
+    best = r.groupBy(*keys, "held", "trust").agg(F.max(F.struct("late", "row", *cols)).alias("b"), F.count(F.lit(1)).alias("n"), F.max("strict").alias("strict"), *agree)
+    best = best.select(*keys, "held", "trust", "b.*", "n", "strict", *(f"{e}{c}" for c in cols for e in ("lo", "hi")))
+    best = _bounded(stage(best, "candidates"), keys, cols, hot_rows)
+    best = best.withColumns({"full": F.length(F.replace(F.col("held"), F.lit("0"), F.lit(""))), "rank": F.struct("trust", "late"), "layer": F.lit(0)})
+    whole, above = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("trust")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    holds = {c: F.substring("held", i + 1, 1) == "1" for i, c in enumerate(cols)}
+    alive = F.lit(True)
+    for n in range(1, len(cols) + 1):
+        # the latest record left of at least this trust and so complete; a record's own level has the record itself
+        tops = {f"top{k}": F.max(F.when(alive & (F.col("full") >= k), F.col("late"))).over(above) for k in range(len(cols) + 1)}
+        best = best.withColumns(tops)
+        own = F.coalesce(*(F.when(F.col("full") == k, F.col(f"top{k}")) for k in range(len(cols) + 1)))
+        best = best.withColumn("layer", F.when(alive & (own <= F.col("late")), n).otherwise(F.col("layer"))).drop(*tops)
+        if n < len(cols):
+            taken = {f"best{c}": F.max(F.when((F.col("layer") > 0) & holds[c], F.col("rank"))).over(whole) for c in cols}
+            best = best.withColumns(taken)
+            more = F.lit(False)
+            for c in cols:
+                more = more | (holds[c] & (F.col(f"best{c}").isNull() | (F.col("rank") > F.col(f"best{c}"))))
+            best = best.withColumn(f"alive{n}", (F.col("layer") == 0) & more).drop(*taken)
+            alive = F.col(f"alive{n}")
+    out = best.groupBy(*keys).agg(
+        F.sum("n").alias("n_rows"),
+        F.count_if(F.col("layer") == 1).alias("n_skyline"),
+        F.max("layer").alias("n_layers"),
+        F.max("strict").alias("strict"),
+        *(F.max_by(F.struct(F.col(c).alias("v"), F.col("row").alias("r")), F.when((F.col("layer") > 0) & holds[c], F.col("rank"))).alias(f"f{c}") for c in cols),
+        *(pick(f"{e}{c}").alias(f"{e}{c}") for c in cols for e, pick in (("lo", F.min), ("hi", F.max))),
     ).where(F.col("n_rows") >= min_rows)
     clash = F.lit(False)
     for c in cols:
-        clash = clash | F.coalesce(F.col(f"__lo{c}") != F.col(f"__hi{c}"), F.lit(False))
-    bad = F.col("__strict") & clash
+        clash = clash | F.coalesce(F.col(f"lo{c}") != F.col(f"hi{c}"), F.lit(False))
+    bad = F.col("strict") & clash
     return out.select(
-        *group,
+        *(F.col(k).alias(g) for g, k in zip(group, keys)),
         "n_rows",
         "n_skyline",
-        *(x for k in names for x in (F.when(~bad, F.col(f"__f_{k}.v")).alias(k), F.when(bad, F.lit(-1)).otherwise(F.coalesce(F.col(f"__f_{k}.r"), F.lit(0))).cast("long").alias(f"{k}_row"))),
+        "n_layers",
+        *(x for k, c in zip(names, cols) for x in (F.when(~bad, F.col(f"f{c}.v")).alias(k), F.when(bad, F.lit(-1)).otherwise(F.coalesce(F.col(f"f{c}.r"), F.lit(0))).cast("long").alias(f"{k}_row"))),
+    )
+
+
+def _bounded(best: DataFrame, keys: list[str], cols: list[str], hot_rows: int) -> DataFrame:
+    """best with the groups of more than hot_rows records reduced to one record for each set of held fields."""
+    hot = hot_keys(best, keys, hot_rows)
+    if hot is None:
+        return best
+    ends = [f"{e}{c}" for c in cols for e in ("lo", "hi")]
+    few = matches(best, keys, hot[0], "left_semi").groupBy(*keys, "held").agg(
+        F.max(F.struct("trust", "late", "row", *cols)).alias("b"), F.sum("n").alias("n"), F.max("strict").alias("strict"), *((F.min if e.startswith("lo") else F.max)(e).alias(e) for e in ends)
     )
+    return matches(best, keys, hot[0], "left_anti").unionByName(few.select(*keys, "held", "b.*", "n", "strict", *ends))

@@ -78,7 +78,7 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     config = config.withColumn("__name", fold("dataset"))
     known = rows.join(F.broadcast(config), "__name")  # delta_config has a fixed number of rows
     text, number = clean_text("varchar_col"), clean_double("double_col")
-    return survivors(
+    out = survivors(
         known,
         ["dataset", "id"],
         {"double_col": F.when(number != MISSING_DOUBLE, number), "varchar_col": F.when(text != MISSING_TEXT, text)},
@@ -88,6 +88,7 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
         oldest_first=F.col("policy") != "take_last",
         strict=F.col("policy") == "error",
     )
+    return out.select("dataset", "id", "n_rows", "n_skyline", "double_col", "double_col_row", "varchar_col", "varchar_col_row")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -140,6 +141,7 @@ ranked as (
     row_number() over (partition by dataset, id order by (y is null), trust desc nulls last, ts nulls last, o) ny from r),
 g as (
   select dataset, id::bigint id, count(*) n, any_value(p) p,
+    any_value(x) filter (nx = 1) double_value, any_value(y) filter (ny = 1) varchar_value,
     coalesce(max(row_id) filter (nx = 1 and x is not null), 0) double_row, coalesce(max(row_id) filter (ny = 1 and y is not null), 0) varchar_row,
     count(distinct x) > 1 or count(distinct y) > 1 clash
   from ranked group by dataset, id having count(*) >= 2)
@@ -188,4 +190,9 @@ select item_id from i where not exists (
     "p4_history": _UPDATES + "select id, valid_from_us, valid_to_us, double_col, varchar_col from versions",
     "p5_found": _DELTA
     + "select dataset, id, case when p = 'error' and clash then -1 else double_row end double_row, case when p = 'error' and clash then -1 else varchar_row end varchar_row from g",
+    "p5_survivors": _DELTA
+    + """, z as (select dataset, id::bigint id, (x is not null)::int + (y is not null)::int c, coalesce(trust, -1) t, coalesce(-ts, -9e18::bigint) l, -o o from r),
+k as (select dataset, id, count(*) n from z where not exists (select 1 from z q where q.dataset = z.dataset and q.id is not distinct from z.id and q.c >= z.c and q.t >= z.t and (q.l > z.l or (q.l = z.l and q.o > z.o))) group by all)
+select dataset, id::int id, g.n n_rows, k.n n_skyline, case when not (p = 'error' and clash) then double_value end double_col, case when p = 'error' and clash then -1 else double_row end double_col_row,
+  case when not (p = 'error' and clash) then varchar_value end varchar_col, case when p = 'error' and clash then -1 else varchar_row end varchar_col_row from g join k using (dataset, id)""",
 }
