@@ -139,6 +139,46 @@ def test_runs_against_brute_force(spark):
     assert text[r.start : r.end].split() == dict(items)[r.item_id].split()[r.item_word : r.item_word + r.n_words]
 
 
+def test_every_maximal_run_comes_once():
+    """Against all pairs of places, with few words, so that blocks repeat and overlap."""
+    rnd = random.Random(11)
+    for n in range(300):
+        words = "ab" if n % 2 else "abcd"
+        items = [(i, " ".join(rnd.choice(words) * rnd.choice([1, 1, 5]) if n % 3 else rnd.choice(words) for _ in range(rnd.randint(1, 25)))) for i in range(3)]
+        w = [rnd.choice(words) for _ in range(rnd.randint(0, 40))]
+        want = []
+        for i, t in items:
+            v = t.split()
+            for a in range(len(v)):
+                for b in range(len(w)):
+                    if v[a] == w[b] and not (a and b and v[a - 1] == w[b - 1]):
+                        size = 0
+                        while a + size < len(v) and b + size < len(w) and v[a + size] == w[b + size]:
+                            size += 1
+                        if size >= 5:
+                            want.append((i, a, b, size))
+        assert sorted(Finder(items, 5).find(" ".join(w))) == sorted(want), (items, w)
+
+
+def test_long_and_repeated_passages_take_linear_time():
+    import time
+
+    def seconds(item, text):
+        f = Finder([(1, " ".join(item))])
+        f.find("a")
+        best = min(_timed(time, f, " ".join(text)) for _ in range(3))
+        return best
+
+    words = [f"w{i}" for i in range(8000)]
+    assert seconds(words, ["x", *words, "y"]) < 0.1 and seconds(["a"] * 1000, ["a"] * 1000) < 0.1
+
+
+def _timed(time, f, text):
+    began = time.perf_counter()
+    assert f.find(text)
+    return time.perf_counter() - began
+
+
 def test_leaks_of_nothing(spark):
     e = spark.createDataFrame([], "doc_id long, item_id long, text string")
     one = spark.createDataFrame([(1, 1, "a b c")], e.schema)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import jpath, scratch
+
 #: Consecutive words of an item that make a leak.
 WORDS = 13
 #: Characters of items that one automaton is built of, and that are broadcast; more items are searched for in several scans.
@@ -194,7 +196,8 @@ class Finder:
     """One Aho-Corasick automaton over blocks of consecutive words of all items.
 
     A leak of n words of an item holds all of a block of (n + 1) // 2 words that begins at a multiple of that number;
-    so the automaton has those blocks only, and each hit is extended word by word to both sides.
+    so the automaton has those blocks only, and each hit is extended to both sides, once for each diagonal (item,
+    place in the item less place in the text): a hit within a run that is known already is passed over.
     """
 
     def __init__(self, items: Sequence[tuple[Any, str]], words: int = WORDS):
@@ -209,8 +212,11 @@ class Finder:
                     blocks[f" {' '.join(w[at : at + step])} "].append((n, at))
         self.size = step
         self.automaton = ahocorasick.Automaton()
-        for text, where in blocks.items():
-            self.automaton.add_word(text, (len(text), where))
+        for number, (text, where) in enumerate(blocks.items()):
+            there = set(where)
+            # after the same block just before, only these lie on diagonals that it hasn't shown
+            heads = [(n, at) for n, at in where if (n, at - step) not in there]
+            self.automaton.add_word(text, (number, len(text), where, heads))
         self.automaton.make_automaton()
         self.any = bool(blocks)
 
@@ -222,45 +228,69 @@ class Finder:
         hits = list(self.automaton.iter(norm))
         if not hits:
             return []
-        w = norm.strip().split(" ")
-        found: dict[tuple[int, int, int], int] = {}
-        at, k = 0, 0
-        for end, (length, where) in hits:
+        w, step = norm.strip().split(" "), self.size
+        found: list[tuple[int, int, int, int]] = []
+        known: dict[tuple[int, int], int] = {}  # where the last run of a diagonal ends in the text
+        last: dict[int, int] = {}  # where a block was seen last
+        at = k = 0
+        for end, (number, length, where, heads) in hits:
             begin = end - length + 1  # of the space before the block's first word
-            if begin < at:
-                at, k = 0, 0
-            k += norm.count(" ", at, begin)
+            k += norm.count(" ", at, begin) if begin >= at else -norm.count(" ", begin, at)
             at = begin
-            for n, i in where:
+            for n, i in heads if last.get(number) == k - step else where:
+                if known.get((n, i - k), 0) >= k + step:
+                    continue
                 item = self.items[n][1]
-                a, b = i, k
-                while a and b and item[a - 1] == w[b - 1]:
-                    a, b = a - 1, b - 1
-                c, e = i + self.size, k + self.size
-                while c < len(item) and e < len(w) and item[c] == w[e]:
-                    c, e = c + 1, e + 1
-                if c - a >= self.words:
-                    found[n, a, b] = c - a
-        return [(self.items[n][0], a, b, size) for (n, a, b), size in sorted(found.items())]
-
-
-@lru_cache(4)
-def finder(items: tuple, words: int) -> Finder:
+                back, on = _alike(item, i, w, k, -1), _alike(item, i + step, w, k + step, 1)
+                known[n, i - k] = k + step + on
+                if back + step + on >= self.words:
+                    found.append((n, i - back, k - back, back + step + on))
+            last[number] = k
+        return [(self.items[n][0], a, b, size) for n, a, b, size in sorted(found)]
+
+
+def _alike(a: list[str], i: int, b: list[str], j: int, step: int) -> int:
+    """How many words of a and b are equal from i and j on (step 1), or before them (step -1): compared in slices that
+    double, then halve."""
+    most = min(len(a) - i, len(b) - j) if step > 0 else min(i, j)
+
+    def same(n: int, m: int) -> bool:
+        return a[i + n : i + n + m] == b[j + n : j + n + m] if step > 0 else a[i - n - m : i - n] == b[j - n - m : j - n]
+
+    n, size = 0, 1
+    while n < most and same(n, min(size, most - n)):
+        n += min(size, most - n)
+        size *= 2
+    while size > 1:
+        size //= 2
+        if n + size <= most and same(n, size):
+            n += size
+    return n
+
+
+def exists(spark, path: str) -> bool:
+    fs, p = jpath(spark, path)
+    return fs.exists(p)
+
+
+@lru_cache(2)
+def finder(block: str, items: tuple, words: int) -> Finder:
     return Finder(items, words)
 
 
-def item_blocks(items: DataFrame, key: str, text: str, block_chars: int) -> list[tuple]:
-    """The items as tuples of (key, text), each of block_chars characters at most (or one item)."""
-    total = items.agg(F.sum(F.length(text))).first()[0] or 0
+def item_blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iterator[tuple[str, tuple]]:
+    """(name, items as tuples of (key, text)) of each block of about block_chars characters at most (or one item). The
+    items are written once, apart by block; the driver has one block at a time."""
+    spark = items.sparkSession
+    rows = items.select(F.col(key).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL AND t != ''")
+    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = int(total // max(1, block_chars // 2)) + 1
-    rows = items.select(F.col(key), F.col(text)).where(F.col(text).isNotNull())
-    out = []
-    for i in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64(key, text), F.lit(n)) == i)
-        got = tuple(sorted((tuple(r) for r in part.collect()), key=repr))
-        if got:
-            out.append(got)
-    return out
+    path = scratch(spark, "items")
+    rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n))).write.partitionBy("block").parquet(path)
+    for b in range(n):
+        if exists(spark, f"{path}/block={b}"):
+            part = spark.read.schema(rows.schema).parquet(f"{path}/block={b}")
+            yield f"{path}/{b}", tuple(sorted((tuple(r) for r in part.collect()), key=repr))
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", words: int = WORDS, offsets: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -277,11 +307,11 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     item_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
     schema = f"k {kind}, i {item_kind}, item_word int, n_words int, start bigint, end bigint"
 
-    def scan(block: tuple):
+    def scan(name: str, block: tuple):
         sent = documents.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f = finder(sent.value, words)
+            f = finder(name, sent.value, words)
             for batch in batches:
                 rows, take = [], []
                 for r, t in enumerate(batch.column(1)):
@@ -300,8 +330,8 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         return run
 
     out = None
-    for block in item_blocks(items, item, item_text, block_chars):
-        part = docs.mapInArrow(scan(block), schema)
+    for name, block in item_blocks(items, item, item_text, block_chars):
+        part = docs.mapInArrow(scan(name, block), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = documents.sparkSession.createDataFrame([], schema)

@@ -15,7 +15,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), offsets=False)
+    found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.select("doc_id", "item_id").distinct()
 
 
