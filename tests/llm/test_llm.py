@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.leaks import Finder, leaks, located, normalise
 from tidemark.llm.pieces import Cuts, greedy_cuts, split, split_corpus, successors
-from tidemark.llm.tokens import TOKENIZERS, boundaries, chunks, decode_corpus, encode_corpus, tokenizer
+from tidemark.llm.tokens import TOKENIZERS, _pre_tokens, boundaries, certain, chunks, decode_corpus, encode_corpus, tokenizer
 
 ODD = list("ab c'sdt  \n\n\t.,;12\x1c\x85\xa0é漢字。​ﬁ'''") + ["don't", "  ", "\r\n", "    ", "𝒳", "a" * 60, "\\section{A}", "\n\n", "\\end{equation}", "漢" * 30, " " * 40, "'s'll"]
 
@@ -58,6 +58,19 @@ def test_boundaries_are_those_of_the_tokenizer():
         assert {len(t[:p].encode()) for p in boundaries(t, 0, len(t), True)} <= ends
 
 
+def test_chunks_meet_without_white_space():
+    text = "漢字かな交じり文。" * 27_000  # 243,000 characters
+    cut = chunks(text)
+    assert len(cut) == 8 and max(e - a for a, _, e in cut) < 34_000
+    assert len(chunks("x1" * 100_000)) == 7 and len(chunks("x" * 200_000)) == 1
+    for t in texts(200, 60, 5):
+        # a tokenisation from any earlier place has a boundary where one is certain
+        for m in certain().finditer(t):
+            for start in range(m.start()):
+                ends = {start + x.end() for x in _pre_tokens().finditer(t[start:])}
+                assert m.start() in ends, (t, start, m.start())
+
+
 def test_encode_nothing(spark):
     assert encode_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -221,6 +234,18 @@ def test_doubling_is_following():
     assert list(greedy_cuts(end)) == want
 
 
+def test_stretches_are_encoded_only_where_cuts_are():
+    import time
+
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("abcdefghij") for _ in range(400_000))
+    tok().encode("warm")
+    began = time.perf_counter()
+    pieces = split(text, tok(), 512, 64)
+    assert time.perf_counter() - began < 3
+    verify(text, pieces, 512, 64)
+
+
 def test_cuts_are_natural():
     para = "This is a sentence of the paragraph. " * 6
     t = "\n\n".join(f"\\section{{S{i}}}\n\n{para.strip()}\n\n{para.strip()}" for i in range(5))

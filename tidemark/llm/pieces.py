@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -167,37 +167,54 @@ def _follow(cost: np.ndarray, kind: np.ndarray, here: np.ndarray, limit: int, ov
     return begin, np.minimum(np.maximum(end, here + 1), n), not undecided.any()
 
 
-def refine(text: str, tok: Tokenizer, c: Cuts, begin: np.ndarray, end: np.ndarray, limit: int, overlap: int) -> None:
-    """Corrects begin and end where a piece begins, ends or is cut within a stretch, by encoding it."""
-    inside = c.kind == STRETCH
+def refine(text: str, tok: Tokenizer, c: Cuts, j: int, begin: np.ndarray, end: np.ndarray, limit: int, overlap: int) -> None:
+    """Corrects begin and end of place j where the piece begins, ends or is cut within a stretch, by encoding it."""
+    memo: dict[tuple[int, int], int] = {}
 
     def count(a: int, b: int) -> int:
-        return len(tok.encode(text[c.place[a] : c.place[b]]))
-
-    for j in np.flatnonzero(inside | inside[begin] | inside[end]):
-        b, e = int(begin[j]), int(end[j])
-        if j == len(end) - 1:
-            continue
-        if overlap and (inside[j] or inside[b]):
-            while b > 0 and count(b, j) < overlap:
-                b -= 1
-            while b + 1 < j and count(b + 1, j) >= overlap:
-                b += 1
-        while e > j + 1 and count(b, e) > limit:
-            e -= 1
-        while b < j and count(b, e) > limit:
+        if (a, b) not in memo:
+            memo[a, b] = len(tok.encode(text[c.place[a] : c.place[b]]))
+        return memo[a, b]
+
+    b, e = int(begin[j]), int(end[j])
+    if overlap and (c.kind[j] == STRETCH or c.kind[b] == STRETCH):
+        while b > 0 and count(b, j) < overlap:
+            b -= 1
+        while b + 1 < j and count(b + 1, j) >= overlap:
             b += 1
-        begin[j], end[j] = b, e
+    while e > j + 1 and count(b, e) > limit:
+        e -= 1
+    while b < j and count(b, e) > limit:
+        b += 1
+    begin[j], end[j] = b, e
 
 
-def greedy_cuts(end: np.ndarray) -> np.ndarray:
+def greedy_cuts(end: np.ndarray, stops: np.ndarray | None = None, correct: Callable[[int], None] | None = None) -> np.ndarray:
     """The cuts reached from place 0 by following end, by pointer doubling: each round squares the table of successors
-    and doubles the cuts that are known."""
-    cuts, jump, n = np.zeros(1, np.int64), end, len(end) - 1
-    while cuts[-1] != n:
-        cuts = np.concatenate([cuts, jump[cuts]])
-        jump = jump[jump]
-    return cuts[: int(np.argmax(cuts == n)) + 1]
+    and doubles the cuts that are known.
+
+    Of the places in stops end is only an estimate: the tables end at them, and where the cuts reach one, correct sets
+    its end. So only the places that are reached are corrected.
+    """
+    n = len(end) - 1
+    jump = end.copy()
+    if stops is not None:
+        jump[stops] = stops
+    tables, known, cuts = [jump], [], 0
+    while True:
+        part, k = np.array([cuts], np.int64), 0
+        while jump[part[-1]] != part[-1]:
+            if k == len(tables):
+                tables.append(tables[-1][tables[-1]])
+            part = np.concatenate([part, tables[k][part]])
+            k += 1
+        part = part[: int(np.argmax(part == part[-1])) + 1]
+        known.append(part)
+        last = int(part[-1])
+        if last == n or correct is None:
+            return np.concatenate(known)
+        correct(last)
+        cuts = int(end[last])
 
 
 def split(text: str, tok: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP, fill: float = FILL) -> list[tuple[int, int, int, int, str]] | None:
@@ -209,10 +226,13 @@ def split(text: str, tok: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP,
         return None
     c = Cuts(text, tok, ids, (limit - overlap) // 2)
     begin, end = successors(c.cost, c.kind, limit, overlap, fill)
-    exact = not (c.kind == STRETCH).any()
-    if not exact:
-        refine(text, tok, c, begin, end, limit, overlap)
-    cuts = greedy_cuts(end)
+    inside = c.kind == STRETCH
+    exact = not inside.any()
+    if exact:
+        cuts = greedy_cuts(end)
+    else:
+        stops = np.flatnonzero((inside | inside[begin] | inside[end])[:-1])
+        cuts = greedy_cuts(end, stops, lambda j: refine(text, tok, c, j, begin, end, limit, overlap))
     count = (lambda a, b: int(c.cost[b] - c.cost[a])) if exact else (lambda a, b: len(tok.encode(text[c.place[a] : c.place[b]])))
     out = []
     for a, b in zip(cuts, cuts[1:]):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -62,8 +61,14 @@ def _pre_tokens():
     return regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
 
 
-#: Where white space follows other text; every tokenisation has a boundary there, wherever it began.
-CERTAIN = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+@lru_cache(1)
+def certain():
+    """Where every tokenisation has a boundary, wherever it began, as no pre-token goes across: before white space that
+    follows other text, and where letters, digits and other signs meet, but for an apostrophe before a letter."""
+    import regex
+
+    letter, digit, sign = r"\p{L}", r"\p{N}", rf"[^{SPACE}\p{{L}}\p{{N}}]"
+    return regex.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])|(?<={letter})(?={digit}|{sign})|(?<={digit})(?={letter}|{sign})|(?<={sign})(?={digit})|(?<={sign})(?<!')(?={letter})")
 
 
 def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
@@ -73,7 +78,7 @@ def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[i
     while True:
         nxt = at + size
         if nxt + overlap < n:
-            meet = CERTAIN.search(text, nxt + 1)
+            meet = certain().search(text, nxt + 1)
             if meet is not None:
                 if meet.start() > nxt + overlap - 2:
                     nxt = meet.start() - overlap // 2
@@ -94,7 +99,7 @@ def boundaries(window: str, start: int, stop: int, whole: bool) -> list[int]:
     if start:
         back = max(0, start - 256)
         while back >= 0:
-            near = [m.start() for m in CERTAIN.finditer(window, back, start + 1) if m.start() <= start]
+            near = [m.start() for m in certain().finditer(window, back, start + 1) if m.start() <= start]
             if near:
                 at = near[-1]
                 break
@@ -131,7 +136,8 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     Texts of up to chunk characters are encoded where they are read, without an exchange. Longer ones are cut into
     overlapping chunks that are spread over all tasks; each is pre-tokenised and encoded from its own start, and two
     neighbours are stitched at the first pre-token boundary that both have in their overlap: from there on they agree,
-    as no pre-token depends on what is before it. Rows with equal keys, null too, come out each; other columns are dropped.
+    as no pre-token depends on what is before it. Overlaps lie where letters, digits, signs or white space meet; only a
+    stretch of one kind stays in one chunk. Rows with equal keys, null too, come out each; other columns are dropped.
     """
     if not 2 <= overlap <= chunk:
         raise ValueError("overlap must be from 2 to chunk")
