@@ -147,49 +147,71 @@ def normalise(text: str, latex: bool = True) -> str:
     return _letters(text)
 
 
-def located(text: str) -> tuple[list[str], np.ndarray]:
-    """The words that normalise gives, with (start, end) of each in text; a macro's words have the place of its name.
+@lru_cache(65_536)
+def _folded(c: str) -> tuple[list[int], list[bool]]:
+    """The code points that a character other than ASCII stands for, and which of them belong to words."""
+    letters = "".join(LIGATURES.get(x, x) for x in MARKS.sub("", unicodedata.normalize("NFD", c).casefold()))
+    return [ord(x) for x in letters], [OTHER.match(x) is None for x in letters]
+
+
+#: Of each ASCII character what it is folded to, and whether it belongs to words.
+PLAIN = np.array([ord(chr(c).lower()) for c in range(128)], np.uint32)
+IN_WORDS = np.array([chr(c).isalnum() for c in range(128)])
+
 
-    One character at a time: for texts with a finding."""
-    spans: list[tuple[str, int, int]] = []
-    source = list(range(len(text)))
+def located(text: str) -> tuple[list[str], np.ndarray]:
+    """The words that normalise gives, with (start, end) of each in text; a macro's words have the place of its name."""
+    source = np.arange(len(text))
+    plain = text
     if "\\" in text:
-        kept, at = [], 0
+        keep = np.ones(len(text), bool)
         for m in SWALLOW.finditer(text):
-            if text[: m.start()].endswith("\\") and (len(text[: m.start()]) - len(text[: m.start()].rstrip("\\"))) % 2:
-                continue
-            kept += source[at : m.end(1)]
-            at = m.end()
-        source = kept + source[at:]
-        text2 = "".join(text[i] for i in source)
+            before = m.start()
+            while before and text[before - 1] == "\\":
+                before -= 1
+            if not (m.start() - before) % 2:
+                keep[m.end(1) : m.end()] = False
+        if not keep.all():
+            source = source[keep]
+            plain = "".join(text[i] for i in source)
+    reader, at = Reader(plain), 0
+    parts: list[str] = []
+    starts: list[np.ndarray] = []
+    ends: list[np.ndarray] = []
+
+    def as_is(a: int, b: int) -> None:
+        parts.append(plain[a:b])
+        starts.append(source[a:b])
+        ends.append(source[a:b] + 1)
+
+    for m in COMMAND.finditer(plain) if "\\" in plain else ():
+        as_is(at, m.start())
+        said, at = reader.command(m), m.end()
+        if said:
+            parts.append(said)
+            starts.append(np.full(len(said), source[m.start()]))
+            ends.append(np.full(len(said), source[m.end() - 1] + 1))
+    as_is(at, len(plain))
+    flat = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+    keep = (flat != ord("{")) & (flat != ord("}")) & (flat != ord("%"))
+    flat, start, end = flat[keep], np.concatenate(starts)[keep], np.concatenate(ends)[keep]
+    other = np.flatnonzero(flat > 127)
+    if len(other):
+        stand = [_folded(chr(flat[i])) for i in other]
+        counts = np.ones(len(flat), np.int64)
+        counts[other] = [len(x) for x, _ in stand]
+        flat, start, end = np.repeat(flat, counts), np.repeat(start, counts), np.repeat(end, counts)
+        ascii_ = flat < 128
+        letters, inside = flat.copy(), np.zeros(len(flat), bool)
+        letters[~ascii_] = [x for xs, _ in stand for x in xs]
+        inside[~ascii_] = [x for _, xs in stand for x in xs]
+        letters[ascii_], inside[ascii_] = PLAIN[flat[ascii_]], IN_WORDS[flat[ascii_]]
     else:
-        text2 = text
-    reader, at = Reader(text2), 0
-    for m in COMMAND.finditer(text2) if "\\" in text2 else ():
-        spans += [(text2[i], source[i], source[i] + 1) for i in range(at, m.start())]
-        s, e = source[m.start()], source[m.end() - 1] + 1 if m.end() else 0
-        spans += [(c, s, e) for c in reader.command(m)]
-        at = m.end()
-    spans += [(text2[i], source[i], source[i] + 1) for i in range(at, len(text2))]
-    words: list[str] = []
-    places: list[tuple[int, int]] = []
-    run, start, end = [], 0, 0
-    for c, s, e in [*spans, (" ", 0, 0)]:
-        if c in "{}%":
-            continue
-        folded = MARKS.sub("", unicodedata.normalize("NFD", c).casefold())
-        for x in "".join(LIGATURES.get(y, y) for y in folded) or ("" if folded != c else ""):
-            if OTHER.match(x):
-                if run:
-                    words.append("".join(run))
-                    places.append((start, end))
-                    run = []
-            else:
-                if not run:
-                    start = s
-                run.append(x)
-                end = e
-    return words, np.array(places, np.int64).reshape(-1, 2)
+        letters, inside = PLAIN[flat], IN_WORDS[flat]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    first, last = edge[::2], edge[1::2] - 1
+    said = letters.astype("<u4").tobytes().decode("utf-32-le")
+    return [said[a : b + 1] for a, b in zip(first, last)], np.stack([start[first], end[last]], 1) if len(first) else np.zeros((0, 2), np.int64)
 
 
 class Finder:
