@@ -7,12 +7,12 @@ from datetime import datetime
 
 import pytest
 
-from tidemark.plans import changes, reference
+from tidemark.plans import changes, engine_queries, reference
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no shared tables")
-QUERIES = {**changes.QUERIES, **reference.QUERIES}
-SQL = {**changes.SQL, **reference.SQL}
+QUERIES = {**changes.QUERIES, **reference.QUERIES, **engine_queries.QUERIES}
+SQL = {**changes.SQL, **reference.SQL, **engine_queries.SQL}
 
 
 def plain(v):

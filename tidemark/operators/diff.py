@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import stage
+
 TOLERANCE = 1e-9
 
 
@@ -41,7 +43,7 @@ def compare_dataframes(lhs: DataFrame, rhs: DataFrame, on: Sequence[str], cmp_co
     missing:c_lhs then missing:c_rhs)."""
     a, b = suffixes
     missing = sorted(f"missing:{c}{a}" for c in set(rhs.columns) - set(lhs.columns)) + sorted(f"missing:{c}{b}" for c in set(lhs.columns) - set(rhs.columns))
-    rows = differing(lhs, rhs, on, cmp_cols, suffixes)
+    rows = stage(differing(lhs, rhs, on, cmp_cols, suffixes), "differing")
     cols = [c[: -len(a)] for c in rows.columns[len(on) :: 2]]
     kinds = {f.name: f.dataType for f in rhs.schema.fields}
 
