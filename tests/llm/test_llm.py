@@ -254,6 +254,30 @@ def test_cuts_are_natural():
     verify(t, pieces, 130, 8)
 
 
+def test_long_texts_are_cut_alike_by_many_tasks(spark):
+    """Chunks, blocks and squared tables against the local way, with stretches and repeated rows."""
+    rnd = random.Random(12)
+    words = ["alpha", "beta,", "don't", "gamma.", "delta? ", "x1", "漢字。", "\n\n", "\\section{A}", "\\end{equation}", "é", "'quoted'", "%", "   "]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1500, 3000)))) for i in range(4)]
+    rows += [(0, rows[0][1]), (9, rows[1][1] + "z" * 3000 + rows[2][1]), (10, "ab" * 2000), (None, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = split_corpus(df, limit=40, overlap=8, long_chars=1000, chunk=900)
+    by = {}
+    for r in got.collect():
+        by.setdefault((r.doc_id, r.piece_no), []).append((r.start, r.end, r.n_tokens, r.overlap_tokens, r.cut))
+    want = {}
+    for k, t in rows:
+        for i, p in enumerate(split(t, tok(), 40, 8)):
+            want.setdefault((k, i), []).append(p)
+    assert {k for k, _ in by} == {k for k, _ in want} == {0, 1, 2, 3, 9, 10, None}
+    assert {k: v for k, v in by.items() if k[0] not in (9, 10)} == {k: v for k, v in want.items() if k[0] not in (9, 10)}
+    for k, t in rows:
+        mine = [by[k, i][0] for i in range(sum(1 for x in by if x[0] == k))]
+        verify(t, mine, 40, 8)
+    text = dict(rows)
+    assert all(r.piece == text[r.doc_id][r.start : r.end] and r.n_pieces == sum(1 for x in by if x[0] == r.doc_id) for r in got.collect())
+
+
 def test_split_corpus(spark):
     rows = [(1, "word " * 3000), (2, "short"), (3, None), (4, ""), (5, "z" * 20_000), (5, "z" * 20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("piece", F.lit(0))

@@ -130,6 +130,11 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32()))
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks for work that is long for the bytes it moves, which are not to be merged for being small."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(key, ids) of every row: text unchanged as token ids, without special tokens; null and empty texts give the empty list.
 
@@ -200,7 +205,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
                 yield from [row] * copies
 
     short = docs.where(~is_long).mapInArrow(whole, f"k {kind}, ids array<int>")
-    cuts = texts.where(is_long).mapInArrow(cut, f"k {kind}, h bigint, i int, own bigint, last boolean, w string").repartition("k", "h", "i")
+    cuts = texts.where(is_long).mapInArrow(cut, f"k {kind}, h bigint, i int, own bigint, last boolean, w string").repartition(tasks(docs), "k", "h", "i")
     coded = cuts.mapInArrow(encode, f"k {kind}, h bigint, i int, ids array<int>, hp array<int>, hi array<int>, tp array<int>, ti array<int>")
     grouped = coded.groupBy("k", "h").agg(F.collect_list(F.struct("i", "ids", "hp", "hi", "tp", "ti")).alias("c")).select("k", "c")
     return short.unionByName(grouped.mapInArrow(stitch, f"k {kind}, ids array<int>")).withColumnRenamed("k", key)
