@@ -24,7 +24,7 @@ from tidemark.plans.audit_log import AuditLog
 from tidemark.plans.pipeline import DatasetRunner, run_datasets, run_transaction
 from tidemark.session import scratch
 from tidemark.sources import ipc
-from tidemark.sources.dsv import clean_payload, load_typed_dsv, sniff
+from tidemark.sources.dsv import clean_payload, load_typed_dsv, sniff, spans_lines
 from tidemark.sources.files import file_time, find_files
 from tidemark.sources.ipc import arrow_size, from_ipc_b64, to_ipc_b64
 from tidemark.sources.ziptools import convert_zipped_csvs_to_parquet, read_zipfile
@@ -433,6 +433,44 @@ def test_dsv(spark, tmp_path, as_bytes):
     assert load_typed_dsv(spark, text.encode(), COLUMNS, null_values=["x"]).count() == 3
 
 
+def test_several_and_split_files(spark, tmp_path, monkeypatch):
+    cols = [IngestColumn("s", "t", "a", "a", ingestion_data_type="INT"), IngestColumn("s", "t", "b", "b")]
+    (tmp_path / "1.csv").write_text("a,b\n1,x\n2,y\n1,x\n")
+    (tmp_path / "2.csv").write_text('b;a\n"p\nq";3\nx;1\n')
+    df = load_typed_dsv(spark, [str(tmp_path / "1.csv"), str(tmp_path / "2.csv")], cols, with_path="from")
+    assert [(r.a, r.b, r["from"][-5]) for r in df.orderBy("__ord").collect()] == [(1, "x", "1"), (2, "y", "1"), (3, "p\nq", "2"), (1, "x", "2")]
+    (tmp_path / "3.csv").write_text("a,b\n" + "".join(f'{i},"v ""{i}"", w"\n' for i in range(20_000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        assert not spans_lines(spark, str(tmp_path / "3.csv"))
+        df = load_typed_dsv(spark, str(tmp_path / "3.csv"), cols)
+        assert [(r.a, r.b) for r in df.orderBy("__ord").collect()] == [(i, f'v "{i}", w') for i in range(20_000)]
+        (tmp_path / "4.csv").write_text("a,b\n" + "".join(f'{i},"{"z" * 50}\n{i}"\n' for i in range(3000)))
+        assert spans_lines(spark, str(tmp_path / "4.csv")) and load_typed_dsv(spark, str(tmp_path / "4.csv"), cols).count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+@pytest.mark.parametrize("size", [1, 2, 10])
+def test_files_in_batches_are_as_files_in_turn(spark, db, tmp_path, size):
+    for n, rows in enumerate(["1,1.0,a\n2,2.0,b", "1,5.0,a", "2,2.0,b\n3,3.0,c", "1,1.0,a\n3,4.0,c"]):
+        (tmp_path / f"2024010{n + 1}.csv").write_text(f"id,double_col,varchar_col\n{rows}\n")
+    spec = {"root_path": str(tmp_path), "file_include": ["*.csv"], "timestamp": {"method": "regex", "datetime_regex": r".*/(?P<y>\d{4})(?P<m>\d\d)(?P<d>\d\d)"}}
+    dataset = {**STREAM, "input_config": {"type": "dsv", "files_per_batch": size, "search_paths": [spec]}, "delta_config": {"on_duplicate_key": "take_last", "drop_unchanged_rows": True}}
+    tables = TableConfigs([SIMPLE])
+    run_datasets(EngineConfig(tables, (DatasetConfig.of(dataset),)), db, wait=0)
+    day = lambda t: None if t.year == 2038 else t.day
+    got = sorted((r.id, r.double_col, day(r[FROM]), day(r[TO])) for r in db.from_table("test", "simple", TimeSlice("all")).collect() if r[TO].year != 2038)
+    live = sorted((r.id, r.double_col, r[FROM].day) for r in db.from_table("test", "simple").collect())
+    assert got == [(1, 1.0, 1, 2), (1, 5.0, 2, 4), (3, 3.0, 3, 4)] and live == [(1, 1.0, 4), (2, 2.0, 1), (3, 4.0, 4)]
+    assert db.row_count("test", "__audit_log") == 4 and db.log.latest() == 1 + -(-4 // size)
+    with pytest.raises(ValueError):
+        bad = {**dataset, "name": "other", "delta_config": {"on_duplicate_key": "take_last", "row_finality": "dropout"}, "input_config": {**dataset["input_config"], "files_per_batch": 2}}
+        (tmp_path / "20240109.csv").write_text("id,double_col,varchar_col\n9,9.0,z\n")
+        run_datasets(EngineConfig(tables, (DatasetConfig.of(bad),)), db, wait=0)
+
+
 def test_sniff_and_payload():
     assert sniff("a|b") == ("|", ["a", "b"]) and sniff('"x;y",b') == (",", ["x;y", "b"]) and sniff("a", "|") == ("|", ["a"])
     with pytest.raises(ValueError):

@@ -264,7 +264,8 @@ class TimePartition:
 @dataclass(frozen=True)
 class InputConfig:
     """Where a dataset comes from: type dsv (search_paths) or nats-jetstream (jetstream, payload_ingest, run_until).
-    late_messages: load, or reject for items older than the newest audited one to go to the dataset's reject table."""
+    late_messages: load, or reject for items older than the newest audited one to go to the dataset's reject table. files_per_batch: files loaded in one transaction, each at its own time; not for
+    datasets with dropout, where a file ends what it lacks."""
 
     type: str
     search_paths: tuple[Mapping[str, Any], ...] = ()
@@ -274,6 +275,7 @@ class InputConfig:
     payload_ingest: Mapping[str, Any] = field(default_factory=dict)
     run_until: str = "empty"
     late_messages: str = "load"
+    files_per_batch: int = 1
     options: Mapping[str, Any] = field(default_factory=dict)
 
     @classmethod
@@ -290,7 +292,7 @@ class InputConfig:
             if not os.path.isabs(root) and "://" not in root and not root.startswith("file:"):
                 root = os.path.abspath(os.path.join(os.path.dirname(base) if base else os.getcwd(), root))
             paths.append({**p, "root_path": root})
-        known = {k: d[k] for k in ("filter_past_events", "delimiter", "jetstream", "payload_ingest", "run_until", "late_messages") if d.get(k) is not None}
+        known = {k: d[k] for k in ("filter_past_events", "delimiter", "jetstream", "payload_ingest", "run_until", "late_messages", "files_per_batch") if d.get(k) is not None}
         return cls(d["type"], tuple(paths), options={k: v for k, v in d.items() if k not in known and k not in ("type", "search_paths")}, **known)
 
 

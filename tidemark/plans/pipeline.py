@@ -29,6 +29,8 @@ from tidemark.utils import NonRetryable, utc
 
 LOG = logging.getLogger(__name__)
 ATTEMPTS, WAIT = 3, 60.0
+#: Column with the time of a row's file, where a batch has several.
+FILE_TIME = "__file_time"
 
 
 @dataclass
@@ -95,7 +97,8 @@ class DatasetRunner:
         """rows with BUCKET: the payload's time, or by the dataset's time partition."""
         tp = self.dataset.time_partition
         if tp is None:
-            return rows.withColumn(BUCKET, moment(payload_time))
+            return rows.withColumnRenamed(FILE_TIME, BUCKET) if FILE_TIME in rows.columns else rows.withColumn(BUCKET, moment(payload_time))
+        rows = rows.drop(FILE_TIME)
         df = bucketed(rows, tp.column, tp.bucket_interval, self.keys, tp.bucket_strategy, tp.unique_strategy)
         if self.dataset.input_config.filter_past_events:
             seen = tx.state.setdefault("late", {})
@@ -205,16 +208,22 @@ class DatasetRunner:
     # --- sources
 
     def file_batches(self) -> Iterator[Batch]:
-        """Files of the search paths that the audit log doesn't have, in order of time."""
+        """Files of the search paths that the audit log doesn't have, in order of time, files_per_batch at a time."""
         spark, d = self.db.spark, self.dataset
         found = find_files(spark, d.input_config.search_paths)
         todo = self.audit.filter_items(found, self.main.name)
         self.audit.prevalidate_new_items(todo, self.main.name)
         files = sorted(((r["__created_at"], r["__path"]) for r in todo.select("__path", F.unix_micros("__created_at").alias("__created_at")).collect()))
-        for us, path in files[: d.scrape_limit] if d.scrape_limit > 0 else files:
-            t = _from_us(us)
-            rows = load_typed_dsv(spark, path, self.columns, d.input_config.delimiter, d.null_values)
-            yield Batch(rows, t, [("dsv", path, t)])
+        files = files[: d.scrape_limit] if d.scrape_limit > 0 else files
+        size = max(1, d.input_config.files_per_batch)
+        if size > 1 and d.delta_config.row_finality == "dropout":
+            raise ValueError("with dropout each file is a batch of its own")
+        for part in (files[i : i + size] for i in range(0, len(files), size)):
+            rows = load_typed_dsv(spark, [path for _, path in part], self.columns, d.input_config.delimiter, d.null_values, with_path="__path")
+            if size > 1 and d.time_partition is None:
+                times = spark.createDataFrame(part, "us long, __path string").select("__path", F.timestamp_micros("us").alias(FILE_TIME))
+                rows = rows.join(F.broadcast(times), "__path")
+            yield Batch(rows.drop("__path"), _from_us(part[-1][0]), [("dsv", path, _from_us(us)) for us, path in part])
 
     def payload_batch(self, payload: str, payload_time: datetime) -> Batch:
         """Delimited text given directly; the audit log isn't asked."""

@@ -462,21 +462,20 @@ def flatten_structs(spark, d):
 # --- sources and sinks
 
 
-def _csv(df: DataFrame, name: str) -> str:
-    """df as one file of text in the shared folder."""
+def _csv(df: DataFrame, name: str) -> list[str]:
+    """df as files of text in the shared folder."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.coalesce(1).write.csv(path, header=True, emptyValue="", nullValue="None", escape='"')
+    df.write.csv(path, header=True, emptyValue="", nullValue="None", escape='"')
     fs, p = jpath(spark, path)
-    return next(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().endswith(".csv"))
+    return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().endswith(".csv") and s.getLen())
 
 
 @query("select p_partkey id, p_name as name, p_size size, p_retailprice price from part")
 def dsv_scan(spark, d):
     p = table(spark, d, "part")
     cols = [IngestColumn("s", "t", "p_partkey", "id", ingestion_data_type="BIGINT"), IngestColumn("s", "t", "p_name", "name", ingestion_data_type="VARCHAR(64)"), IngestColumn("s", "t", "p_size", "size", ingestion_data_type="INT"), IngestColumn("s", "t", "p_retailprice", "price", ingestion_data_type="DOUBLE")]
-    path = _csv(p.unionByName(p), "part")
-    return load_typed_dsv(spark, path, cols).select(*(F.col(c.source).alias(c.target) for c in cols))
+    return load_typed_dsv(spark, _csv(p, "part"), cols).select(*(F.col(c.source).alias(c.target) for c in cols))
 
 
 # --- tables, end to end
@@ -541,12 +540,11 @@ _EV = EngineConfig(
 def _activity(spark: SparkSession, d: str) -> Database:
     """Events as a delimited file through a pipeline with a lookup table and daily buckets."""
     e = table(spark, d, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
-    path = _csv(e, "events")
-    folder, _, name = path.rpartition("/")
+    folder = _csv(e.orderBy("ts"), "events")[0].rpartition("/")[0]  # several files, later events in later ones
     dataset = {
         "name": "activity_feed",
         "delta_table_schema": "web",
-        "input_config": {"type": "dsv", "search_paths": [{"root_path": folder, "file_include": [name], "timestamp": {"method": "manual", "datetime": "2024-03-01T00:00:00", "source_tz": "UTC"}}]},
+        "input_config": {"type": "dsv", "files_per_batch": 100, "search_paths": [{"root_path": folder, "file_include": ["*.csv"], "timestamp": {"method": "manual", "datetime": "2024-03-01T00:00:00", "source_tz": "UTC"}}]},
         "time_partition": {"column": "time", "bucket_interval": "1d", "bucket_strategy": "round_down", "unique_strategy": "last"},
         "delta_config": {"drop_unchanged_rows": True, "on_duplicate_key": "take_last"},
         "pipeline": [
@@ -628,9 +626,9 @@ def upsert_counts(spark, d):
     return spark.createDataFrame([tuple(n)], "inserts bigint, updates bigint, deletions bigint")
 
 
-@query("select 'activity' table_name, 'dsv' data_source_type, 1709251200000000 data_source_ts union all select 'kinds', 'dsv', 1709251200000000")
+@query("select distinct 'activity' table_name, 'dsv' data_source_type, 1709251200000000 data_source_ts union all select 'kinds', 'dsv', 1709251200000000")
 def audit_entries(spark, d):
-    return AuditLog(_activity(spark, d), "web").rows().select("table_name", "data_source_type", *us("data_source_ts"))
+    return AuditLog(_activity(spark, d), "web").rows().select("table_name", "data_source_type", *us("data_source_ts")).distinct()
 
 
 @query("select user_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc) = 1")
