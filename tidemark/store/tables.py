@@ -201,7 +201,7 @@ class Transaction:
         rows = ops.resolve_duplicates(rows, [*keys, time], policy.on_duplicate_key).drop(ops.ORD)
         dropout = policy.row_finality == "dropout"
         current = self.live(name, located=not dropout)
-        if not dropout:  # rows of other keys stay where they are
+        if not dropout and self._entry(name)["current"]:  # rows of other keys stay where they are
             current = stage(current.join(rows.select(*keys).distinct(), keys, "left_semi"), "touched")
         was = current if config.is_temporal else current.withColumn(FROM, moment(EPOCH))
         out = stage(bulk_history(was.select(*config.names, FROM), rows, keys, config.fields, time, dropout, times), "history")
@@ -213,7 +213,7 @@ class Transaction:
         if dropout:
             self.put(name, live=out.where(live), ended=ended, grown=n[2])
         elif n[0] or n[1]:
-            dead = current.count()
+            dead = current.count() if self._entry(name)["current"] else 0
             self.put(name, append=out.where(live), gone=current if dead else None, ended=ended, grown=n[2] - dead, dead=dead)
         return ops.Counts(inserts=n[0], deletions=n[1])
 
