@@ -874,6 +874,23 @@ def test_helpers(tmp_path, monkeypatch):
     assert io and SENTINEL.year == 2038
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tidemark.session import DISPLAY, shared_dir, show_whole
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(unset)
+    unset.conf.get = lambda *a: "hdfs:///shared/"
+    assert shared_dir(unset) == "hdfs:///shared"
+    was = {k: spark.conf.get(k) for k in DISPLAY}
+    show_whole(spark)
+    assert {k: spark.conf.get(k) for k in DISPLAY} == DISPLAY
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
 def test_dead_rows_and_small_folders_are_tidied(spark, db, monkeypatch):
     monkeypatch.setattr("tidemark.store.tables.FOLDERS", 3)
     db.create(TableConfig.of(SIMPLE))

@@ -27,6 +27,7 @@ from tidemark.sources.ziptools import read_zipfile
 from tidemark.store.log import CommitConflict
 from tidemark.store.tables import Database
 from tidemark.streaming.tracker import UpdateTracker
+from tidemark.types import cast_columns
 from tidemark.utils import Clock, as_sql_date, as_sql_datetime, flatten_list, is_text_type, strip_outer_quotes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -348,6 +349,28 @@ def tracked_updates(spark, d):
     return spark.createDataFrame(rows, "schema_ string, table_name string, newest bigint, calls int, again int")
 
 
+@query(f"{_C} where c_nationkey < 16")
+def files_limited(spark, d):
+    """Files by the times in their paths, of which a run takes the first two."""
+    day = F.when(F.col("c_nationkey") < 8, "20240101").when(F.col("c_nationkey") < 16, "20240102").otherwise("20240103")
+    folder = scratch(spark, "days")
+    _customers(spark, d).withColumn("day", day).repartition("day").write.partitionBy("day").csv(folder, header=True)
+    spec = {"root_path": folder, "file_include": ["*.csv"], "dir_include": ["day=*"], "timestamp": {"method": "regex", "datetime_regex": r".*/day=(?P<y>\d{4})(?P<m>\d\d)(?P<d>\d\d)/"}}
+    tables = TableConfigs([CUSTOMER])
+    dataset = DatasetConfig.of({**MESSAGES, "input_config": {"type": "dsv", "search_paths": [spec]}, "scrape_limit": 2})
+    db = _database(spark)
+    run_datasets(EngineConfig(tables, (dataset,)), db, wait=0)
+    return db.from_table("shop", "customer")
+
+
+@query("select o_orderkey, o_orderdate::date d, epoch_us(date_trunc('second', o_orderdate)) t from orders")
+def inferred_dates(spark, d):
+    """Dates and times as texts of several forms, without a pattern given."""
+    day = F.concat_ws("-", F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"))
+    texts = table(spark, d, "orders").select("o_orderkey", day.alias("d"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("t"))
+    return cast_columns(texts, {"d": T.DateType(), "t": T.TimestampType()}).select("o_orderkey", "d", F.unix_micros("t").alias("t"))
+
+
 # --- helpers
 
 

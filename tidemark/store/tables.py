@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tidemark.config.model import TableConfig, TableConfigs
 from tidemark.operators import delta as ops
 from tidemark.operators.history import bulk_history
+from tidemark.operators.skew import dense_numbers, lookup_join
 from tidemark.operators.temporal import FROM, SENTINEL, TO, VALIDITY, TimeSlice, moment
 from tidemark.session import stage
 from tidemark.store.log import CommitLog
@@ -172,6 +173,8 @@ class Transaction:
             raise ValueError("no key among the compared columns")
         m = ops.Merge(config.primary_keys, config.fields, at, policy, main)
         current = self.live(name, located=True)
+        if policy.row_finality != "dropout" and self._entry(name)["current"]:  # rows of other keys are read and passed over, not shuffled
+            current = lookup_join(current, rows.select(*config.primary_keys).distinct(), config.primary_keys, "left_semi")
         if not config.is_temporal:
             current = current.withColumn(FROM, moment(EPOCH))
         # of the live rows only those that change are written, beside the delta's own
@@ -202,7 +205,7 @@ class Transaction:
         dropout = policy.row_finality == "dropout"
         current = self.live(name, located=not dropout)
         if not dropout and self._entry(name)["current"]:  # rows of other keys stay where they are
-            current = stage(current.join(rows.select(*keys).distinct(), keys, "left_semi"), "touched")
+            current = stage(lookup_join(current, rows.select(*keys).distinct(), keys, "left_semi"), "touched")
         was = current if config.is_temporal else current.withColumn(FROM, moment(EPOCH))
         out = stage(bulk_history(was.select(*config.names, FROM), rows, keys, config.fields, time, dropout, times), "history")
         first = times.agg(F.min(time)).first()[0]
@@ -395,8 +398,6 @@ class Database:
         rows = ops.dedupe(rows, uniqueness_col_set).drop(ops.ORD) if uniqueness_col_set else rows.drop(ops.ORD)
         auto = next((c for c in config.columns if c.autoincrement and c.name not in rows.columns), None)
         if auto is not None:
-            from tidemark.operators.skew import dense_numbers
-
             high = max(tx._entry(full)["high"], tx.live(full).agg(F.max(auto.name)).first()[0] or 0)
             rows = dense_numbers(rows.withColumn("__row", F.monotonically_increasing_id()), [*rows.columns, "__row"], auto.name, high + 1).withColumn(auto.name, F.col(auto.name).cast(auto.kind)).drop("__row")
         rows = rows.withColumns({c.name: literal(c.default_value, c.kind) if c.default_value is not None else F.lit(None).cast(c.kind) for c in config.columns if c.name not in rows.columns})
