@@ -14,11 +14,13 @@ SCHEMA = "__file string, __word bigint, __bits bigint"
 ROW_BYTES, BROADCAST_BYTES = 160, 32 << 20
 
 
-def write_vector(places: DataFrame, path: str) -> int:
-    """Writes the vector of places (FILE, POS); returns its rows: at most one for each 64 positions of a file."""
+def write_vector(places: DataFrame, path: str) -> tuple[int, list[str]]:
+    """Writes the vector of places (FILE, POS); returns its number of rows, at most one for each 64 positions of a file,
+    and the names of the files."""
     word, bit = F.shiftright(POS, 6), F.expr(f"shiftleft(1L, cast({POS} & 63 as int))")
     places.select(FILE, word.alias("__word"), bit.alias("__bits")).groupBy(FILE, "__word").agg(F.bit_or("__bits").alias("__bits")).write.parquet(path)
-    return places.sparkSession.read.schema(SCHEMA).parquet(path).count()
+    r = places.sparkSession.read.schema(SCHEMA).parquet(path).agg(F.count(F.lit(1)), F.collect_set(FILE)).first()
+    return r[0], sorted(r[1])
 
 
 def _joined(df: DataFrame, spark: SparkSession, paths: Sequence[str], rows: int, how: str) -> DataFrame:

@@ -130,7 +130,7 @@ class Transaction:
             e |= {"current": [self._write(name, live, "current")], "dvs": {}, "dead": 0, "rows": 0}
         if gone is not None:
             path = self._path(name, "dv")
-            e["dvs"] = {**e["dvs"], path: write_vector(gone, path)}
+            e["dvs"] = {**e["dvs"], path: write_vector(gone, path)[0]}
         if append is not None:
             e["current"] = e["current"] + [self._write(name, append, "current")]
         if ended is not None:

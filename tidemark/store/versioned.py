@@ -20,8 +20,8 @@ TRIES = 100
 
 
 class VersionedTable:
-    """A table whose versions are manifests in log. A version lists data files and deletion vectors with their number of
-    rows; neither is ever rewritten."""
+    """A table whose versions are manifests in log. A version lists data files and deletion vectors, with their number of
+    rows and the files they are about; neither is ever rewritten."""
 
     def __init__(self, log: CommitLog, name: str):
         self.log, self.name, self.spark = log, name, log.spark
@@ -38,6 +38,16 @@ class VersionedTable:
         df = self.spark.read.schema(schema).parquet(*files)
         return df.select(*schema.names, F.col("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(POS))
 
+    def _less(self, files: list[str], schema: T.StructType, dvs: dict[str, Any], scan: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+        """The records of files, by scan, less those of the vectors. Files that no vector is about are read without a join."""
+        hit = {n for d in dvs.values() for n in d["files"]}
+        dirty = [f for f in files if f.rsplit("/", 1)[-1] in hit]
+        clean = [f for f in files if f.rsplit("/", 1)[-1] not in hit]
+        if not dirty:
+            return scan(self._scan(files, schema))
+        out = without(scan(self._scan(dirty, schema)), list(dvs), sum(d["rows"] for d in dvs.values()))
+        return out.unionByName(scan(self._scan(clean, schema))) if clean else out
+
     def schema(self, version: int | None = None) -> T.StructType:
         s = self._at(version)["schema"]
         if s is None:
@@ -51,7 +61,7 @@ class VersionedTable:
         """The records of a version (None: the last) with FILE and POS."""
         version = self.log.latest() if version is None else version
         at = self._at(version)
-        return without(self._scan(at["files"], self.schema(version)), list(at["dvs"]), sum(at["dvs"].values()))
+        return self._less(at["files"], self.schema(version), at["dvs"])
 
     def read(self, version: int | None = None) -> DataFrame:
         """The records of a version; without deletion vectors a plain scan."""
@@ -82,29 +92,30 @@ class VersionedTable:
             add.select(*T.StructType.fromJson(at["schema"]).names).write.parquet(f"{where}/data")
             at["files"] = at["files"] + files_below(self.spark, f"{where}/data")
         if delete is not None:
-            rows = write_vector(delete, f"{where}/dv")
+            rows, names = write_vector(delete, f"{where}/dv")
             if rows:
-                at["dvs"] = {**at["dvs"], f"{where}/dv": rows}
+                at["dvs"] = {**at["dvs"], f"{where}/dv": {"rows": rows, "files": names}}
         return self.log.commit(n + 1, {**state, **(also or {}), "tables": {**state.get("tables", {}), self.name: at}})
 
     def changes(self, after: int, upto: int | None = None) -> DataFrame:
         """Record deltas between two versions, with CHANGE insert or delete, from their manifests alone.
 
-        Files in both versions are not read but for records whose deletion vector is new; of added files the records
+        Of files in both versions only those that a new deletion vector is about are read; of added files the records
         not deleted since are inserts, of removed files those not deleted before are deletes. after 0 is the empty table.
         """
         upto = self.log.latest() if upto is None else upto
         a, b = self._at(after), self._at(upto)
         schema = self.schema(upto)
         old, new = set(a["files"]), set(b["files"])
-        less = lambda df, dvs: without(df, list(dvs), sum(dvs.values()))
         fresh = {d: n for d, n in b["dvs"].items() if d not in a["dvs"]}
-        parts = [less(self._scan(sorted(new - old), schema), b["dvs"]).withColumn(CHANGE, F.lit("insert"))]
+        names = {n for d in fresh.values() for n in d["files"]}
+        kept = sorted(f for f in old & new if f.rsplit("/", 1)[-1] in names)
+        parts = [self._less(sorted(new - old), schema, b["dvs"]).withColumn(CHANGE, F.lit("insert"))]
         if old - new:
-            parts.append(less(self._scan(sorted(old - new), schema), a["dvs"]).withColumn(CHANGE, F.lit("delete")))
-        if fresh and old & new:
-            gone = within(self._scan(sorted(old & new), schema), list(fresh), sum(fresh.values()))
-            parts.append(less(gone, a["dvs"]).withColumn(CHANGE, F.lit("delete")))
+            parts.append(self._less(sorted(old - new), schema, a["dvs"]).withColumn(CHANGE, F.lit("delete")))
+        if kept:
+            gone = lambda df: within(df, list(fresh), sum(d["rows"] for d in fresh.values()))
+            parts.append(self._less(kept, schema, a["dvs"], gone).withColumn(CHANGE, F.lit("delete")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
