@@ -25,8 +25,3 @@ def clean_double(c: Column | str) -> Column:
 def fold(c: Column | str) -> Column:
     """Text for a comparison without case and outer spaces."""
     return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
-
-
-def micros(c: Column | str) -> Column:
-    """Microseconds since 1970."""
-    return F.unix_micros(F.col(c) if isinstance(c, str) else c)

@@ -140,12 +140,8 @@ def carried(rows: Ranged, order: Sequence[str], columns: Sequence[str]) -> Range
     return rows.on(out)
 
 
-def byte_size(df: DataFrame) -> int:
-    """About how many bytes df's rows take in memory; runs df once."""
-    return _measure(df)[1]
-
-
 def _measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, about how many bytes they take in memory); runs df once."""
     per = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) + 24 if f.dataType.simpleString() in ("string", "binary") else F.lit(16) for f in df.schema.fields), F.lit(16))
     n, size = df.agg(F.count(F.lit(1)), F.sum(per.cast("long"))).first()
     return int(n), int(size or 0)

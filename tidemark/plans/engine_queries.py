@@ -3,6 +3,7 @@ with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+import io
 import json
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,7 +16,6 @@ from pyspark.sql import types as T
 from tidemark.config.model import DatasetConfig, EngineConfig, IngestColumn, TableConfig, TableConfigs
 from tidemark.functions.registry import readers, transforms
 from tidemark.operators import delta
-from tidemark.operators.delta import Policy
 from tidemark.operators.temporal import is_temporal
 from tidemark.plans.pipeline import DatasetRunner, apply_transformations, run_datasets, run_transaction
 from tidemark.plans.reference import utc
@@ -23,7 +23,7 @@ from tidemark.plans.tables import table
 from tidemark.session import jpath, scratch
 from tidemark.sources.files import find_files
 from tidemark.sources.ipc import from_ipc_b64, to_ipc_b64
-from tidemark.sources.ziptools import read_zipfile
+from tidemark.sources.ziptools import convert_zipped_csvs_to_parquet, read_zipfile
 from tidemark.store.log import CommitConflict
 from tidemark.store.tables import Database
 from tidemark.streaming.tracker import UpdateTracker
@@ -239,15 +239,35 @@ def _texts(df: DataFrame, name: str) -> Iterator[bytes]:
 @query("select o_orderkey, o_orderstatus, o_totalprice from orders")
 def zip_scan(spark, d):
     """All orders as an archive of several delimited files."""
-    import io
-
-    archive = io.BytesIO()
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    with zipfile.ZipFile(archive, "w") as z:
-        for i, text in enumerate(_texts(o.repartition(4), "parts")):
-            z.writestr(f"{i}.csv", text)
-    archive.seek(0)
-    return read_zipfile(spark, archive, o.schema)
+    return read_zipfile(spark, f"{_zipped(o)}/0.zip", o.schema)
+
+
+def _zipped(df: DataFrame, archives: int = 1) -> str:
+    """A folder with df as archives of several delimited files each."""
+    spark, folder = df.sparkSession, scratch(df.sparkSession, "zips")
+    texts = list(_texts(df.repartition(4), "parts"))
+    for n in range(archives):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for i, text in enumerate(texts[n::archives]):
+                z.writestr(f"{i}.csv", text)
+        fs, p = jpath(spark, f"{folder}/{n}.zip")
+        out = fs.create(p, True)
+        out.write(data.getvalue())
+        out.close()
+    return folder
+
+
+@query("select c_custkey, c_name, c_acctbal, true zips_gone from customer")
+def zips_to_parquet(spark, d):
+    """A folder of archives, each made a Parquet folder in place of it."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    folder = _zipped(c, 2)
+    made = convert_zipped_csvs_to_parquet(spark, folder, c.schema, remove_original=True)
+    fs, p = jpath(spark, folder)
+    gone = not any(x.getPath().getName().endswith(".zip") for x in fs.listStatus(p))
+    return spark.read.parquet(*made).withColumn("zips_gone", F.lit(gone))
 
 
 @query("select c_custkey, c_name, c_acctbal from customer")

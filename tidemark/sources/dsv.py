@@ -6,7 +6,6 @@ import csv
 import io
 import logging
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,4 +122,8 @@ def load_typed_dsv(
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """The frames' rows in order, by name, columns that one lacks null; joined in pairs, so that the plan stays flat."""
+    frames = list(frames)
+    while len(frames) > 1:
+        frames = [a.unionByName(b[0], allowMissingColumns=True) if b else a for a, *b in (frames[i : i + 2] for i in range(0, len(frames), 2))]
+    return frames[0]
