@@ -74,13 +74,15 @@ def in_parts(df: DataFrame, keys: Sequence[str], order: str, work: Callable[[Ran
     """
     keys = tuple(keys)
     hot = hot_keys(df, keys, hot_rows)
+    # exchanged before any window, as what windows compare would else be worked out and moved as well
     if hot is None:
-        return work(Ranged(df, keys))
+        return work(Ranged(df.repartition(*keys), keys))
     table, n = hot
     mine = matches(df, keys, table, "left_semi")
     ranges = max(2, math.ceil(2 * n / hot_rows))
     cut = (reduce(mine) if reduce else mine).repartitionByRange(ranges, *keys, order).withColumn(RANGE, F.spark_partition_id())
-    return work(Ranged(matches(df, keys, table, "left_anti"), keys)).unionByName(work(Ranged(stage(cut, "ranges"), keys, ranges)))
+    cold = matches(df, keys, table, "left_anti").repartition(*keys)
+    return work(Ranged(cold, keys)).unionByName(work(Ranged(stage(cut, "ranges"), keys, ranges)))
 
 
 def _ends(df: DataFrame, rows: Ranged, ends: DataFrame) -> DataFrame:

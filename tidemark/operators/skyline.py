@@ -63,7 +63,8 @@ def survivors(
     agree = [a for c in cols for a in (F.min(F.when(F.col("strict"), F.col(c))).alias(f"lo{c}"), F.max(F.when(F.col("strict"), F.col(c))).alias(f"hi{c}"))]
     best = r.groupBy(*keys, "held", "trust").agg(F.max(F.struct("late", "row", *cols)).alias("b"), F.count(F.lit(1)).alias("n"), F.max("strict").alias("strict"), *agree)
     best = best.select(*keys, "held", "trust", "b.*", "n", "strict", *(f"{e}{c}" for c in cols for e in ("lo", "hi")))
-    best = _bounded(best, r, keys, cols, hot_rows)
+    # exchanged here, as what windows compare would else be worked out and moved as well
+    best = _bounded(best, r, keys, cols, hot_rows).repartition(*keys)
     best = best.withColumns({"full": F.length(F.replace(F.col("held"), F.lit("0"), F.lit(""))), "rank": F.struct("trust", "late"), "layer": F.lit(0)})
     whole, above = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("trust")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     holds = {c: F.substring("held", i + 1, 1) == "1" for i, c in enumerate(cols)}
