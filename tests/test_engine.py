@@ -734,6 +734,23 @@ def test_limited_messages_lose_nothing(spark, db, limit):
     assert [naks[t] for t in sorted(naks)] == {1: [0, 1, 2], 3: [0, 1, 2], 4: [0, 0, 1], 100: [0, 0, 0]}[limit]
 
 
+def test_runs_leave_nothing_staged(spark, db, tmp_path):
+    import glob
+
+    from tidemark.session import shared_dir
+
+    staged = lambda: set(glob.glob(shared_dir(spark).removeprefix("file://") + "/tidemark/*"))
+    tables = TableConfigs([{**SIMPLE, "is_temporal": False}])
+    db.create_all(tables)
+    r = DatasetRunner(db, DatasetConfig.of({**STREAM, "name": "clean"}), tables)
+    src = str(tmp_path / "in")
+    simple(spark, [(1, 1.0), (2, 2.0)]).write.parquet(src)
+    before = staged()
+    start_stream(r, spark.readStream.schema("id int, double_col double, varchar_col string").parquet(src), str(tmp_path / "cp")).awaitTermination(120)
+    r.run(iter([r.payload_batch("id,double_col,varchar_col\n3,3.0,x\n", y(2020))]), wait=0)
+    assert db.row_count("test", "simple") == 3 and staged() - before <= {db.root.removeprefix("file://")}
+
+
 class Returns:
     """Messages come again until they are acknowledged."""
 

@@ -20,7 +20,7 @@ from tidemark.operators.foreign_keys import deduce_keys
 from tidemark.operators.ingest import BUCKET, bucketed, drop_past, group_sum
 from tidemark.operators.temporal import moment
 from tidemark.plans.audit_log import AuditLog
-from tidemark.session import stage
+from tidemark.session import scratch_scope, stage
 from tidemark.sources.dsv import clean_payload, load_typed_dsv
 from tidemark.sources.files import find_files
 from tidemark.store.tables import Database, Transaction
@@ -66,13 +66,15 @@ def apply_transformations(df: DataFrame, columns: Sequence[IngestColumn]) -> Dat
 
 
 def run_transaction(db: Database, work: Callable[[Transaction], Any], attempts: int = ATTEMPTS, wait: float = WAIT, sleep: Callable[[float], None] = clock.sleep) -> Any:
-    """work in a transaction and its commit, tried again from the start after a failure that isn't NonRetryable."""
+    """work in a transaction and its commit, tried again from the start after a failure that isn't NonRetryable. What it
+    stages is gone after each attempt."""
     for left in range(attempts - 1, -1, -1):
         try:
-            tx = db.begin()
-            out = work(tx)
-            tx.commit()
-            return out
+            with scratch_scope(db.spark):
+                tx = db.begin()
+                out = work(tx)
+                tx.commit()
+                return out
         except NonRetryable:
             raise
         except Exception:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOG = logging.getLogger(__name__)
 #: Settings that the engine relies on; build() applies them, a given session keeps its own.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -63,9 +68,30 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What scratch and stage make in this thread within the scope goes at its end, for work that is repeated for ever."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            try:
+                remove(spark, path)
+            except Exception:
+                LOG.warning("could not remove %s", path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when this process ends."""
+    """A new path in the shared folder; what is written there goes with the scope, or else when this process ends."""
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    if scopes := _open.__dict__.get("scopes"):
+        scopes[-1].append(path)
+        return path
 
     def clean(pid: int = os.getpid()) -> None:
         try:

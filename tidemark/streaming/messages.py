@@ -199,14 +199,13 @@ def start_stream(runner: DatasetRunner, stream: DataFrame, checkpoint: str, run_
     key = name or runner.dataset.name
 
     def each(df: DataFrame, number: int) -> None:
-        df = stage(df, "micro-batch")  # read more than once, and whatever executor is lost
-
         def work(tx) -> None:
             seen = tx.state.setdefault("streams", {})
             if seen.get(key, -1) >= number:
                 return
             seen[key] = number
-            runner.load(tx, Batch(df, utc(None)))
+            # read more than once, and whatever executor is lost
+            runner.load(tx, Batch(stage(df, "micro-batch"), utc(None)))
 
         run_transaction(runner.db, work, wait=1.0)
 
