@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import stage
 
@@ -41,21 +42,38 @@ class Ranged:
         return Ranged(df, self.keys, self.ranges)
 
 
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, about how many bytes they take in memory, nested values by their text); runs df once."""
+    per = F.lit(16)
+    for f in df.schema.fields:
+        if f.dataType.simpleString() in ("string", "binary"):
+            per = per + F.coalesce(F.octet_length(f.name), F.lit(0)) + 24
+        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            per = per + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) + 32
+        else:
+            per = per + 16
+    n, size = df.agg(F.count(F.lit(1)), F.sum(per.cast("long"))).first()
+    return int(n), int(size or 0)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, row_bytes: int = 64, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, int] | None:
-    """(table of keys, small enough to broadcast, number of their rows) of the keys with more than hot_rows rows; None if
-    there are none. Counted with map-side aggregation; the driver gets two numbers.
+    """(table of keys, measured to be small enough to broadcast, number of their rows) of the keys with more than hot_rows
+    rows; None if there are none. Counted with map-side aggregation; the driver gets three numbers.
 
-    If there are so many that their rows, of row_bytes each, would not fit broadcast_bytes, only the larger ones are
-    taken: those left whole then have less than row_bytes / broadcast_bytes of all rows each.
+    If there are so many that they, or rows of row_bytes each, would not fit broadcast_bytes, only the larger ones are
+    taken: those left whole then have about row_bytes / broadcast_bytes of all rows each, or less.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
     n, rows = counts.agg(F.count(F.lit(1)), F.sum("__n")).first()
     if not n:
         return None
     counts, least = stage(counts, "hot"), hot_rows
-    while n * row_bytes > broadcast_bytes:
+    _, size = measure(counts)
+    while max(size, n * row_bytes) > broadcast_bytes:
         least *= 4
-        n, rows = counts.where(F.col("__n") > least).agg(F.count(F.lit(1)), F.sum("__n")).first()
+        n, size = measure(counts.where(F.col("__n") > least))
+    if least > hot_rows and n:
+        rows = counts.where(F.col("__n") > least).agg(F.sum("__n")).first()[0]
     return (counts.where(F.col("__n") > least).select(*keys), int(rows)) if n else None
 
 
@@ -86,11 +104,11 @@ def in_parts(df: DataFrame, keys: Sequence[str], order: str, work: Callable[[Ran
 
 
 def _ends(df: DataFrame, rows: Ranged, ends: DataFrame) -> DataFrame:
-    """df with __nb_0.. of a table of one row per key and range, which is broadcast if its size is bounded by that."""
+    """df with __nb_0.. of a table of one row per key and range, which is measured and broadcast if it is small."""
     own = {k: f"__nb_key_{i}" for i, k in enumerate(rows.keys)}
-    ends = ends.withColumnsRenamed({**own, RANGE: "__nb_range"})
+    ends = stage(ends.withColumnsRenamed({**own, RANGE: "__nb_range"}), "ends")
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()] + [F.col(RANGE) == F.col("__nb_range")]
-    small = rows.ranges * 512 <= BROADCAST_BYTES  # a partition is one range of a key, but where keys meet
+    small = measure(ends)[1] <= BROADCAST_BYTES
     return df.join(F.broadcast(ends) if small else ends.hint("merge"), same, "left").drop("__nb_range", *own.values())
 
 
@@ -142,13 +160,6 @@ def carried(rows: Ranged, order: Sequence[str], columns: Sequence[str]) -> Range
     return rows.on(out)
 
 
-def _measure(df: DataFrame) -> tuple[int, int]:
-    """(rows, about how many bytes they take in memory); runs df once."""
-    per = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) + 24 if f.dataType.simpleString() in ("string", "binary") else F.lit(16) for f in df.schema.fields), F.lit(16))
-    n, size = df.agg(F.count(F.lit(1)), F.sum(per.cast("long"))).first()
-    return int(n), int(size or 0)
-
-
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """big joined (inner, left, left_semi) to small, unique by on, where one key may hold a large share of big.
 
@@ -157,7 +168,7 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     match nothing.
     """
     on, small = list(on), stage(small, "lookup")
-    n, size = _measure(small)
+    n, size = measure(small)
     if size <= broadcast_bytes:
         return big.join(F.broadcast(small), on, how)
     hot = hot_keys(big.dropna(subset=on), on, hot_rows, max(64, size // max(n, 1) * 2), broadcast_bytes)
