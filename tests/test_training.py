@@ -569,6 +569,23 @@ def test_survivors(spark, seed):
     assert {(r.g, r.id): (r.n_rows, r.x_row, r.y_row) for r in few.collect()} == want
 
 
+@pytest.mark.parametrize("hot_rows", [1, 40])
+def test_survivors_of_hot_groups(spark, hot_rows):
+    """Layers in ranges are those of whole groups; a staircase of trust and time is all skyline."""
+    rnd = random.Random(7)
+    some = lambda *v: rnd.choice([None, *v])
+    rows = [(n, rnd.choice(["a", "b", "c", None]), some(1.0, 2.0), some("x", "y"), some(1, 2), some(*range(30)), some(*range(90))) for n in range(1, 400)]
+    rows += [(n, "stairs", 1.0, "x", 1, n, -n) for n in range(1000, 1060)]
+    # beaten by the stairs' full records, or only where those hold nothing
+    rows += [(n, "stairs", None, "z", None, n - 1000, -n) for n in range(1060, 1100)] + [(n, "late", n % 2 * 1.0 or None, None if n % 2 else "y", None, n, -n) for n in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, g string, x double, y string, z int, trust int, ts long")
+    how = (["g"], {c: F.col(c) for c in "xyz"}, F.col("trust"), F.col("ts"), F.col("row_id"), F.col("g") == "b", F.col("g") == "c")
+    whole = {r.g: r for r in survivors(df, *how).collect()}
+    assert (whole["stairs"].n_rows, whole["stairs"].n_skyline) == (100, 60)
+    assert max(r.n_layers for r in whole.values()) > 1
+    assert {r.g: r for r in survivors(df, *how, hot_rows=hot_rows).collect()} == whole
+
+
 def test_extra_columns_with_clashing_names(spark):
     extra = {c: F.lit("x") for c in ("__row", "__rank", "__late", "__next", "__range", "__salt", "__n", "__mask", "__change", "__file", "valid_from_us", "old", "reason", "head")}
     up = frame(spark, updates(random.Random(5), 60))

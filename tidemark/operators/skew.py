@@ -160,6 +160,24 @@ def carried(rows: Ranged, order: Sequence[str], columns: Sequence[str]) -> Range
     return rows.on(out)
 
 
+def highest(rows: Ranged, values: Mapping[str, Column], order: Sequence[str] = ()) -> Ranged:
+    """Adds each name of values: the key's highest value of the column, nulls left out; with order only of the row itself and
+    those after it. Hot keys: the highest of each range goes to the others (with order, to those before) by a table of one
+    row per range; for that the rows are read once more."""
+    df, keys = rows.df, rows.keys
+    w, by = Window.partitionBy(*rows.by), Window.partitionBy(*keys)
+    if order:
+        w = w.orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        by = by.orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumns({n: F.max(v).over(w) for n, v in values.items()})
+    if rows.ranges:
+        ends = df.groupBy(*rows.by).agg(*(F.max(v).alias(f"__nb_{i}") for i, v in enumerate(values.values())))
+        ends = ends.select(*rows.by, *(F.max(f"__nb_{i}").over(by).alias(f"__nb_{i}") for i in range(len(values))))
+        out = _ends(out, rows, ends).withColumns({n: F.greatest(n, f"__nb_{i}") for i, n in enumerate(values)})
+        out = out.drop(*(f"__nb_{i}" for i in range(len(values))))
+    return rows.on(out)
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """big joined (inner, left, left_semi) to small, unique by on, where one key may hold a large share of big.
 

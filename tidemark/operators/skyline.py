@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import HOT_ROWS, hot_keys, matches
+from tidemark.operators.skew import HOT_ROWS, Ranged, apart, highest, hot_keys, in_parts
 from tidemark.session import stage
 
 NEVER = -(2**63)
@@ -43,8 +43,8 @@ def survivors(
 
     Of records that hold the same fields with the same trust only the latest can be in a layer that matters, so each
     (group, held fields, trust) is first reduced to it, map-side. A group that still has more than hot_rows records, with
-    as many values of trust, is reduced to the policy's first record of each set of held fields, which no other of
-    the set can come before; its layers are those of the records kept.
+    as many values of trust, is worked on in ranges of (trust, completeness, recency), as what beats a record comes after
+    it in that order; its layers are the same ones.
     """
     names, keys = list(fields), [f"g{i}" for i in range(len(group))]
     oldest = F.coalesce(oldest_first, F.lit(False)) if oldest_first is not None else F.lit(False)
@@ -63,34 +63,7 @@ def survivors(
     agree = [a for c in cols for a in (F.min(F.when(F.col("strict"), F.col(c))).alias(f"lo{c}"), F.max(F.when(F.col("strict"), F.col(c))).alias(f"hi{c}"))]
     best = r.groupBy(*keys, "held", "trust").agg(F.max(F.struct("late", "row", *cols)).alias("b"), F.count(F.lit(1)).alias("n"), F.max("strict").alias("strict"), *agree)
     best = best.select(*keys, "held", "trust", "b.*", "n", "strict", *(f"{e}{c}" for c in cols for e in ("lo", "hi")))
-    # exchanged here, as what windows compare would else be worked out and moved as well
-    best = _bounded(best, r, keys, cols, hot_rows).repartition(*keys)
-    best = best.withColumns({"full": F.length(F.replace(F.col("held"), F.lit("0"), F.lit(""))), "rank": F.struct("trust", "late"), "layer": F.lit(0)})
-    whole, above = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("trust")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    holds = {c: F.substring("held", i + 1, 1) == "1" for i, c in enumerate(cols)}
-    alive = F.lit(True)
-    for n in range(1, len(cols) + 1):
-        # the latest record left of at least this trust and so complete; a record's own level has the record itself
-        tops = {f"top{k}": F.max(F.when(alive & (F.col("full") >= k), F.col("late"))).over(above) for k in range(len(cols) + 1)}
-        best = best.withColumns(tops)
-        own = F.coalesce(*(F.when(F.col("full") == k, F.col(f"top{k}")) for k in range(len(cols) + 1)))
-        best = best.withColumn("layer", F.when(alive & (own <= F.col("late")), n).otherwise(F.col("layer"))).drop(*tops)
-        if n < len(cols):
-            taken = {f"best{c}": F.max(F.when((F.col("layer") > 0) & holds[c], F.col("rank"))).over(whole) for c in cols}
-            best = best.withColumns(taken)
-            more = F.lit(False)
-            for c in cols:
-                more = more | (holds[c] & (F.col(f"best{c}").isNull() | (F.col("rank") > F.col(f"best{c}"))))
-            best = best.withColumn(f"alive{n}", (F.col("layer") == 0) & more).drop(*taken)
-            alive = F.col(f"alive{n}")
-    out = best.groupBy(*keys).agg(
-        F.sum("n").alias("n_rows"),
-        F.count_if(F.col("layer") == 1).alias("n_skyline"),
-        F.max("layer").alias("n_layers"),
-        F.max("strict").alias("strict"),
-        *(F.max_by(F.struct(F.col(c).alias("v"), F.col("row").alias("r")), F.when((F.col("layer") > 0) & holds[c], F.col("rank"))).alias(f"f{c}") for c in cols),
-        *(pick(f"{e}{c}").alias(f"{e}{c}") for c in cols for e, pick in (("lo", F.min), ("hi", F.max))),
-    ).where(F.col("n_rows") >= min_rows)
+    out = _in_layers(best, r, keys, cols, hot_rows).where(F.col("n_rows") >= min_rows)
     clash = F.lit(False)
     for c in cols:
         clash = clash | F.coalesce(F.col(f"lo{c}") != F.col(f"hi{c}"), F.lit(False))
@@ -104,17 +77,45 @@ def survivors(
     )
 
 
-def _bounded(best: DataFrame, rows: DataFrame, keys: list[str], cols: list[str], hot_rows: int) -> DataFrame:
-    """best with the groups of more than hot_rows records reduced to one record for each set of held fields. Only a group
-    of more rows can have them, so that is counted first."""
+def _in_layers(best: DataFrame, rows: DataFrame, keys: list[str], cols: list[str], hot_rows: int) -> DataFrame:
+    """_layers of best's groups; those of more than hot_rows records in ranges. Only a group of more rows can have so many,
+    so that is counted first."""
     if hot_keys(rows, keys, hot_rows) is None:
-        return best
-    best = stage(best, "candidates")
-    hot = hot_keys(best, keys, hot_rows)
-    if hot is None:
-        return best
-    ends = [f"{e}{c}" for c in cols for e in ("lo", "hi")]
-    few = matches(best, keys, hot[0], "left_semi").groupBy(*keys, "held").agg(
-        F.max(F.struct("trust", "late", "row", *cols)).alias("b"), F.sum("n").alias("n"), F.max("strict").alias("strict"), *((F.min if e.startswith("lo") else F.max)(e).alias(e) for e in ends)
+        # exchanged here, as what windows compare would else be worked out and moved as well
+        return _layers(Ranged(best.repartition(*keys), tuple(keys)), cols)
+    at = best.withColumn("at", F.struct("trust", _full().alias("full"), "late")).drop("trust", "late")
+    return in_parts(stage(at, "candidates"), keys, "at", lambda r: _layers(r.on(r.df.select("*", "at.trust", "at.late").drop("at")), cols), hot_rows)
+
+
+def _full() -> Column:
+    """How many fields a record holds."""
+    return F.length(F.replace(F.col("held"), F.lit("0"), F.lit("")))
+
+
+def _layers(rows: Ranged, cols: list[str]) -> DataFrame:
+    """One row per group: n_rows, n_skyline, n_layers, strict, and per field the value and row it gets and its ends."""
+    rows, rank = rows.on(rows.df.withColumns({"full": _full(), "layer": F.lit(0)})), F.struct("trust", "late")
+    holds = {c: F.substring("held", i + 1, 1) == "1" for i, c in enumerate(cols)}
+    alive = F.lit(True)
+    for n in range(1, len(cols) + 1):
+        # the latest record left of at least this trust and so complete; a record's own level has the record itself
+        tops = {f"top{k}": F.when(alive & (F.col("full") >= k), F.col("late")) for k in range(len(cols) + 1)}
+        rows = highest(rows, tops, ["trust", "full", "late"])
+        own = F.coalesce(*(F.when(F.col("full") == k, F.col(f"top{k}")) for k in range(len(cols) + 1)))
+        rows = rows.on(rows.df.withColumn("layer", F.when(alive & (own <= F.col("late")), n).otherwise(F.col("layer"))).drop(*tops))
+        if n < len(cols):
+            taken = {f"best{c}": F.when((F.col("layer") > 0) & holds[c], rank) for c in cols}
+            rows = highest(rows, taken)
+            more = F.lit(False)
+            for c in cols:
+                more = more | (holds[c] & (F.col(f"best{c}").isNull() | (rank > F.col(f"best{c}"))))
+            rows = apart(rows.on(rows.df.withColumn(f"alive{n}", (F.col("layer") == 0) & more).drop(*taken)))
+            alive = F.col(f"alive{n}")
+    return rows.df.groupBy(*rows.keys).agg(
+        F.sum("n").alias("n_rows"),
+        F.count_if(F.col("layer") == 1).alias("n_skyline"),
+        F.max("layer").alias("n_layers"),
+        F.max("strict").alias("strict"),
+        *(F.max_by(F.struct(F.col(c).alias("v"), F.col("row").alias("r")), F.when((F.col("layer") > 0) & holds[c], rank)).alias(f"f{c}") for c in cols),
+        *(pick(f"{e}{c}").alias(f"{e}{c}") for c in cols for e, pick in (("lo", F.min), ("hi", F.max))),
     )
-    return matches(best, keys, hot[0], "left_anti").unionByName(few.select(*keys, "held", "b.*", "n", "strict", *ends))
